@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, tokens, warc
+from . import packing, quality, secrets, sharding, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_quality": quality.op2_quality,
         "op4_warc": warc.op4_warc,
         "op5_packing": packing.op5_packing,
         "op6_tokens": tokens.op6_tokens,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op4_warc": warc.ORACLE}
+    return {"op1_sharding": sharding.oracle(), "op2_quality": quality.oracle(), "op4_warc": warc.ORACLE}
