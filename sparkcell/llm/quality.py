@@ -2,9 +2,9 @@
 
 Each rule votes good (1) or bad (-1) on a document's statistics, or abstains (0). The rules' votes
 are counted by pattern: at most 3 ** len(RULES) rows, however large the corpus. Expectation
-maximisation over these counts estimates each rule's accuracy (symmetric, and between CLAMP, so a
-rule is never worse than chance, which keeps "good" from trading places with "bad") and the share
-of good documents. A document is kept if its posterior probability of being good is at least 0.5,
+maximisation over these counts estimates each rule's two accuracies, how often it says "bad" of bad
+documents (CAUGHT) and of good ones (WRONG), and the share of good documents. The two stay within
+bounds that don't meet, which keeps "good" from trading places with "bad". A document is kept if its posterior probability of being good is at least 0.5,
 whatever a single rule says: no rule has to pass by itself.
 """
 
@@ -26,16 +26,19 @@ RULES = {
     "length": ("n_words >= 50", "n_words < 20"),
     "word_length": ("word_chars >= 3 * n_words and word_chars <= 11 * n_words", "2 * word_chars < 5 * n_words or word_chars > 15 * n_words"),
     "symbols": ("50 * n_symbols < n_words", "10 * n_symbols > n_words"),
-    "lines": ("n_lines >= 3 and 20 * n_dup_lines < n_lines", "10 * n_dup_lines > 3 * n_lines"),
-    "repeats": ("20 * n_repeat_words < n_words", "5 * n_repeat_words > n_words"),
+    "lines": ("n_lines >= 3 and 20 * n_dup_lines < n_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
+    "repeats": ("20 * n_repeat_words < n_words", "10 * n_repeat_words > 3 * n_words"),
     "variety": ("n_distinct * n_distinct > 16 * n_words", "n_distinct * n_distinct < 4 * n_words"),
     "sentences": ("100 * n_stops >= n_words and 10 * n_stops <= 3 * n_words", "n_words >= 30 and 200 * n_stops < n_words"),
     "digits": ("20 * n_digits < word_chars", "5 * n_digits > word_chars"),
 }
 ITERATIONS = 20
-FIRST = 0.8
-CLAMP = (0.55, 0.995)
-PRIOR = (0.02, 0.98)
+#: First value and bounds of the share of good documents, of P(bad vote | bad) and P(bad vote | good).
+#: The bounds say what the rules are made for: a bad vote is rarely wrong, but each rule sees a few
+#: kinds of junk only, so a good vote says little.
+SHARE = (0.8, 0.02, 0.98)
+CAUGHT = (0.3, 0.02, 0.35)
+WRONG = (0.002, 0.0005, 0.005)
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
@@ -94,32 +97,39 @@ def vote(name: str, prefix: str = "") -> str:
     return f"case when {bad} then -1 when {good} then 1 else 0 end"
 
 
-def _within(x: float, bounds: tuple[float, float]) -> float:
-    return min(max(x, bounds[0]), bounds[1])
+def _within(x: float, bounds: tuple[float, float, float]) -> float:
+    return min(max(x, bounds[1]), bounds[2])
 
 
-def estimate(patterns: dict[tuple[int, ...], int]) -> tuple[float, list[float]]:
-    """The share of good documents and each rule's accuracy, from counts of vote patterns."""
+def estimate(patterns: dict[tuple[int, ...], int]) -> tuple[float, list[float], list[float]]:
+    """The share of good documents and each rule's two accuracies, from counts of vote patterns."""
     m, total = len(RULES), sum(patterns.values())
-    prior, accuracy = FIRST, [FIRST] * m
-    if not total:
-        return prior, accuracy
-    cast = [sum(n for v, n in patterns.items() if v[j]) for j in range(m)]
-    for _ in range(ITERATIONS):
-        good, right = 0.0, [0.0] * m
+    share, caught, wrong = SHARE[0], [CAUGHT[0]] * m, [WRONG[0]] * m
+    for _ in range(ITERATIONS if total else 0):
+        good, cast_bad, cast_good, said_bad, said_wrong = 0.0, [0.0] * m, [0.0] * m, [0.0] * m, [0.0] * m
         for votes, n in patterns.items():
-            p = posterior(votes, prior, accuracy)
+            p = posterior(votes, share, caught, wrong)
             good += n * p
             for j, v in enumerate(votes):
                 if v:
-                    right[j] += n * (p if v > 0 else 1 - p)
-        prior = _within(good / total, PRIOR)
-        accuracy = [_within(right[j] / cast[j], CLAMP) if cast[j] else FIRST for j in range(m)]
-    return prior, accuracy
+                    cast_bad[j] += n * (1 - p)
+                    cast_good[j] += n * p
+                if v < 0:
+                    said_bad[j] += n * (1 - p)
+                    said_wrong[j] += n * p
+        share = _within(good / total, SHARE)
+        caught = [_within(x / y, CAUGHT) if y else CAUGHT[0] for x, y in zip(said_bad, cast_bad)]
+        wrong = [_within(x / y, WRONG) if y else WRONG[0] for x, y in zip(said_wrong, cast_good)]
+    return share, caught, wrong
 
 
-def posterior(votes: tuple[int, ...], prior: float, accuracy: list[float]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
+def weights(caught: float, wrong: float) -> tuple[float, float]:
+    """What a bad and a good vote add to the log odds of a good document."""
+    return math.log(wrong / caught), math.log((1 - wrong) / (1 - caught))
+
+
+def posterior(votes: tuple[int, ...], share: float, caught: list[float], wrong: list[float]) -> float:
+    odds = math.log(share / (1 - share)) + sum(weights(c, w)[v > 0] for v, c, w in zip(votes, caught, wrong) if v)
     return 1 / (1 + math.exp(-odds))
 
 
@@ -129,10 +139,11 @@ def judged(df: DataFrame) -> DataFrame:
     with_base = df.select("*", *(F.expr(vote(k, "__q.")).alias(f"__v{j}") for j, k in enumerate(RULES)))
     votes = [f"__v{j}" for j in range(len(RULES))]
     patterns = {tuple(r[:-1]): r[-1] for r in with_base.groupBy(*votes).count().collect()}
-    prior, accuracy = estimate(patterns)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for v, a in zip(votes, accuracy):
-        odds = odds + F.col(v) * F.lit(math.log(a / (1 - a)))
+    share, caught, wrong = estimate(patterns)
+    odds = F.lit(math.log(share / (1 - share)))
+    for v, c, w in zip(votes, caught, wrong):
+        bad, good = weights(c, w)
+        odds = odds + F.when(F.col(v) < 0, bad).when(F.col(v) > 0, good).otherwise(0.0)
     failed = F.expr(reduce(lambda s, k: s.replace(k, f"__q.{k}"), ["n_words", "n_repeat_words"], BASE_FAILED))
     out = with_base.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop(*votes)
@@ -161,14 +172,20 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for op2: the same statistics from words and lines as rows, and the same EM, one
     step after the other."""
-    rules, lo, hi = list(enumerate(RULES)), *CLAMP
+    rules = list(enumerate(RULES))
     pick = "".join(f", {vote(k)} as v{j}" for j, k in rules)
     vs = ", ".join(f"v{j}" for j, _ in rules)
-    steps, at = [f"i0 as (select {FIRST}::double as pi{''.join(f', {FIRST}::double as a{j}' for j, _ in rules)})"], "i0"
-    odds = "ln(pi / (1 - pi))" + "".join(f" + v{j} * ln(a{j} / (1 - a{j}))" for j, _ in rules)
+    first = "".join(f", {CAUGHT[0]}::double as c{j}, {WRONG[0]}::double as w{j}" for j, _ in rules)
+    steps, at = [f"i0 as (select {SHARE[0]}::double as pi{first})"], "i0"
+    odds = "ln(pi / (1 - pi))" + "".join(f" + case v{j} when -1 then ln(w{j} / c{j}) when 1 then ln((1 - w{j}) / (1 - c{j})) else 0 end" for j, _ in rules)
+
+    def part(weight: str, j: int, bounds: tuple[float, float, float], name: str) -> str:
+        ratio = f"sum(case when v{j} = -1 then n * {weight} else 0 end) / nullif(sum(case when v{j} <> 0 then n * {weight} else 0 end), 0)"
+        return f", coalesce(greatest(least({ratio}, {bounds[2]}), {bounds[1]}), {bounds[0]}) as {name}{j}"
+
     for k in range(1, ITERATIONS + 1):
-        right = "".join(f", coalesce(greatest(least(sum(case v{j} when 1 then n * p when -1 then n * (1 - p) else 0 end) / nullif(sum(n * abs(v{j})), 0), {hi}), {lo}), {FIRST}) as a{j}" for j, _ in rules)
-        steps.append(f"i{k} as materialized (select greatest(least(sum(n * p) / sum(n), {PRIOR[1]}), {PRIOR[0]}) as pi{right} from (select pat.*, 1 / (1 + exp(-({odds}))) as p from pat, {at}))")
+        rates = "".join(part("(1 - p)", j, CAUGHT, "c") + part("p", j, WRONG, "w") for j, _ in rules)
+        steps.append(f"i{k} as materialized (select greatest(least(sum(n * p) / sum(n), {SHARE[2]}), {SHARE[1]}) as pi{rates} from (select pat.*, 1 / (1 + exp(-({odds}))) as p from pat, {at}))")
         at = f"i{k}"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
