@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, sharding, tokens, warc
+from . import packing, quality, secrets, sharding, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op5_packing": packing.op5_packing,
         "op6_tokens": tokens.op6_tokens,
+        "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op2_quality": quality.oracle(), "op4_warc": warc.ORACLE}
+    return {"op1_sharding": sharding.oracle(), "op2_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
