@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, sharding, substrings, tokens, warc
+from . import neardup, packing, quality, secrets, sharding, substrings, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_quality": quality.op2_quality,
+        "op3_near_dedup": neardup.op3_near_dedup,
         "op4_warc": warc.op4_warc,
         "op5_packing": packing.op5_packing,
         "op6_tokens": tokens.op6_tokens,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op2_quality": quality.oracle(), "op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
+    return {"op1_sharding": sharding.oracle(), "op2_quality": quality.oracle(), "op3_near_dedup": neardup.ORACLE, "op4_warc": warc.ORACLE, "op9_substrings": substrings.ORACLE}
