@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, packing, quality, secrets, sharding, substrings, tokens, warc
+from . import decontam, neardup, packing, pii, quality, secrets, sharding, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_warc": warc.op4_warc,
         "op5_packing": packing.op5_packing,
         "op6_tokens": tokens.op6_tokens,
+        "op7_decontam": decontam.op7_decontam,
+        "op8_pii": pii.op8_pii,
         "op9_substrings": substrings.op9_substrings,
         "op10_secrets": secrets.op10_secrets,
     }
