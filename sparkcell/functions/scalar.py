@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def r6(c: Column | str) -> Column:
@@ -115,12 +116,12 @@ def t_two_sided(t: float, df: float) -> float:
     return t if t != t else beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf_udf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal (Spark has no error function)."""
     return z.map(lambda x: normal_sf(x) if x == x and x is not None else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(a, b) for a, b in zip(x, df)])

@@ -99,7 +99,7 @@ def marker_test(candidates: DataFrame, counts: DataFrame, factors: DataFrame, gr
     x = counts.join(candidates.select("gene_id").distinct(), "gene_id", "left_semi").join(factors.select("cell_id", "size_factor"), "cell_id")
     x = x.join(groups, "cell_id").join(panel_ids, "cell_id", "left").select("gene_id", F.col("grp").alias("g"), (F.col("value") / F.col("size_factor")).alias("x"), F.coalesce("in_panel", F.lit(False)).alias("in_panel"))
 
-    def test(key, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def test(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         for grp in wanted["grp"]:
             used = rows[(rows["g"] == grp) | rows["in_panel"]]
@@ -114,7 +114,7 @@ def marker_test(candidates: DataFrame, counts: DataFrame, factors: DataFrame, gr
         return pd.DataFrame(out, columns=["gene_id", "grp", "pseudo_R2", "marker_test_p_value"])
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    done = x.groupBy("gene_id").cogroup(candidates.select("gene_id", "grp").groupBy("gene_id")).applyInPandas(test, f"gene_id {kinds['gene_id']}, grp {kinds['grp']}, pseudo_R2 double, marker_test_p_value double")
+    done = x.groupBy("gene_id").cogroup(candidates.select(F.col("gene_id").alias("gene"), "grp").groupBy("gene")).applyInPandas(test, f"gene_id {kinds['gene_id']}, grp {kinds['grp']}, pseudo_R2 double, marker_test_p_value double")
     n_tests = counts.select("gene_id").distinct().agg((F.count(F.lit(1)) * len(sizes)).alias("__n"))
     return candidates.join(done, ["gene_id", "grp"]).crossJoin(F.broadcast(n_tests)).withColumn("marker_test_q_value", F.least(F.lit(1.0), F.col("marker_test_p_value") * F.col("__n"))).drop("__n")
 
