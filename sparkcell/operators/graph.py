@@ -131,3 +131,175 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
     n = nodes.select("node").join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left").fillna(0, ["degree"])
     return n.withColumn("kind", F.when(F.col("degree") == 1, "leaf").when(F.col("degree") > 2, "branch").otherwise("inner"))
+
+
+def minimum_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """A minimum spanning tree of points, by Prim's algorithm on squared distances."""
+    n = len(x)
+    if n < 2:
+        return []
+    best, parent, inside = ((x - x[0]) ** 2).sum(1), np.zeros(n, int), np.zeros(n, bool)
+    inside[0] = True
+    out = []
+    for _ in range(n - 1):
+        k = int(np.where(inside, np.inf, best).argmin())
+        out.append((int(parent[k]), k, float(best[k])))
+        inside[k] = True
+        d = ((x - x[k]) ** 2).sum(1)
+        closer = ~inside & (d < best)
+        best[closer], parent[closer] = d[closer], k
+    return out
+
+
+def n_centers(cells: int, clusters: int) -> int:
+    return int(min(round(15 * clusters * np.log10(max(cells, 2))), cells - 1))
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """((cell_id, vec, center), centres): Lloyd's rounds from evenly spaced cells in order of id, or,
+    above two million cells, by a hash of it. Centres are broadcast, sums are aggregates."""
+    n = points.count()
+    step = max(1, n // k)
+    spaced = points.select("cell_id", "vec", F.row_number().over(Window.orderBy("cell_id")).alias("i")) if n <= 2_000_000 else points.select("cell_id", "vec", F.xxhash64("cell_id").alias("i"))
+    centers = np.array([r.vec for r in spaced.where(F.pmod(F.col("i") - 1, F.lit(step)) == 0).orderBy("cell_id").limit(k).collect()])
+    d = centers.shape[1]
+    for _ in range(rounds):
+        nodes = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "node int, vec array<double>")
+        placed = points.select("cell_id", "vec").join(nearest_vertex(points, nodes).select("cell_id", F.col("node").alias("center")), "cell_id")
+        means = placed.groupBy("center").agg(*(F.avg(F.get("vec", F.lit(j))).alias(f"m{j}") for j in range(d))).collect()
+        new = centers.copy()
+        for r in means:
+            new[r.center] = [r[f"m{j}"] for j in range(d)]
+        done = np.abs(new - centers).max() < 1e-9
+        centers = new
+        if done:
+            break
+    return placed, centers
+
+
+def medoids(placed: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """(center, cell_id, density): the densest cell of each k-means cluster, ties kept; density is
+    exp(-mean neighbour distance)."""
+    rho = neighbors.groupBy("cell_id").agg(F.exp(-F.avg("distance")).alias("density"))
+    w = Window.partitionBy("center").orderBy(F.desc("density"))
+    return placed.join(rho, "cell_id").withColumn("r", F.rank().over(w)).where("r = 1").select("center", "cell_id", "density")
+
+
+def elastic_tree(points: DataFrame, centers: np.ndarray, sigma: float = 0.01, gamma: float = 0.5, rounds: int = 10, eps: float = 1e-5) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Centres and tree of a principal tree: in turns a spanning tree of the centres, soft shares of
+    each cell (an aggregate: column sums and weighted sums of cells), and centres that solve for
+    fit and tree length. Stops when the objective changes by less than eps of itself."""
+    k, d = centers.shape
+    before, tree = np.inf, []
+    for _ in range(rounds):
+        tree = minimum_tree(centers)
+        nodes = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in centers))
+        dist = F.transform(nodes, lambda c: squared(F.col("vec"), c))
+        x = points.select("vec", dist.alias("q")).withColumn("low", F.array_min("q"))
+        x = x.withColumn("e", F.transform("q", lambda v: F.exp(-(v - F.col("low")) / sigma)))
+        x = x.withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+        aggs = [F.sum(F.get("e", F.lit(i)) / F.col("t")).alias(f"p{i}") for i in range(k)] + [F.sum(F.get("e", F.lit(i)) / F.col("t") * F.get("vec", F.lit(j))).alias(f"x{i}_{j}") for i in range(k) for j in range(d)] + [F.sum(F.ln("t") - F.col("low") / sigma).alias("obj")]
+        row = x.agg(*aggs).first()
+        weight = np.array([row[f"p{i}"] for i in range(k)])
+        sums = np.array([[row[f"x{i}_{j}"] for j in range(d)] for i in range(k)])
+        lap = np.zeros((k, k))
+        for a, b, _ in tree:
+            lap[a, b] = lap[b, a] = -1
+        np.fill_diagonal(lap, -lap.sum(1))
+        objective = sum(w for _, _, w in tree) + gamma * -sigma * row["obj"]
+        centers = np.linalg.solve(2 * lap + 2 * gamma * np.diag(weight) + 1e-12 * np.eye(k), 2 * gamma * sums)
+        if abs(before - objective) <= eps * abs(objective):
+            break
+        before = objective
+    return centers, minimum_tree(centers)
+
+
+def close_loops(centers: np.ndarray, tree: list[tuple[int, int, float]], linked: set[tuple[int, int]] | None = None, euclid_ratio: float = 1.0, geodesic_ratio: float = 1 / 3) -> list[tuple[int, int]]:
+    """Pairs of tips to join: linked (by a test of their cells' neighbours), near against the
+    longest tree edge, and far apart along the tree against its diameter."""
+    degree, near = defaultdict(int), defaultdict(list)
+    for a, b, w in tree:
+        degree[a] += 1
+        degree[b] += 1
+        near[a].append(b)
+        near[b].append(a)
+    tips = [k for k in sorted(degree) if degree[k] == 1]
+    hops = {t: dijkstra(((a, b, 1.0) for a, b, _ in tree), [t]) for t in tips}
+    diameter = max((max(h.values()) for h in hops.values()), default=0)
+    longest = max((w for _, _, w in tree), default=0.0) ** 0.5
+    out = []
+    for i, a in enumerate(tips):
+        for b in tips[i + 1 :]:
+            if linked is not None and (a, b) not in linked and (b, a) not in linked:
+                continue
+            if np.linalg.norm(centers[a] - centers[b]) < euclid_ratio * longest and hops[a].get(b, 0) >= geodesic_ratio * diameter:
+                out.append((a, b))
+    return out
+
+
+def prune(tree: list[tuple[int, int, float]], minimal: int = 10, keep: set[int] = frozenset()) -> list[tuple[int, int, float]]:
+    """The tree without side branches of fewer than `minimal` nodes; nodes in `keep` stay."""
+    edges = {frozenset((a, b)): w for a, b, w in tree}
+    while True:
+        near = defaultdict(set)
+        for e in edges:
+            a, b = tuple(e)
+            near[a].add(b)
+            near[b].add(a)
+        gone = None
+        for tip in sorted(n for n in near if len(near[n]) == 1):
+            path, node, last = [tip], tip, None
+            while len(near[node]) <= 2:
+                onward = [m for m in near[node] if m != last]
+                if not onward:
+                    break
+                last, node = node, onward[0]
+                path.append(node)
+            if len(near[node]) > 2 and len(path) - 1 < minimal and not keep & set(path[:-1]) and (gone is None or len(path) < len(gone)):
+                gone = path
+        if gone is None:
+            return [(*sorted(e), w) for e, w in sorted(edges.items(), key=lambda x: sorted(x[0]))]
+        for a, b in zip(gone, gone[1:]):
+            edges.pop(frozenset((a, b)))
+
+
+def learn_graph(points: DataFrame, clusters: DataFrame | None = None, use_partition: bool = True, close_loop: bool = True, minimal_branch_len: int = 10, n_center: int | None = None, sigma: float = 0.01, gamma: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the principal graph: a tree for each partition, tips joined and short
+    branches dropped. points has cell_id and vec; clusters has cell_id, cluster and partition."""
+    spark = points.sparkSession
+    parts = [None] if clusters is None or not use_partition else [r[0] for r in clusters.select("partition").distinct().orderBy("partition").collect()]
+    nodes, edges = [], []
+    for part in parts:
+        own = points.select("cell_id", "vec") if part is None else points.select("cell_id", "vec").join(clusters.where(F.col("partition") == part), "cell_id", "left_semi")
+        n = own.count()
+        if n < 3:
+            continue
+        found = 1 if clusters is None else (clusters if part is None else clusters.where(F.col("partition") == part)).select("cluster").distinct().count()
+        k = max(2, min(n_center or n_centers(n, found), n - 1, MAX_NODES))
+        _, centers = kmeans(own, k)
+        centers, tree = elastic_tree(own, np.unique(centers, axis=0), sigma, gamma)
+        loops = close_loops(centers, tree) if close_loop else []
+        tree = prune(tree, minimal_branch_len, {n for pair in loops for n in pair})
+        tree += [(a, b, float(((centers[a] - centers[b]) ** 2).sum())) for a, b in loops]
+        base = len(nodes)
+        number = {v: base + i + 1 for i, v in enumerate(sorted({v for a, b, _ in tree for v in (a, b)}))}
+        nodes += [(number[v], centers[v].tolist(), 1 if part is None else int(part)) for v in sorted(number)]
+        edges += [(number[a], number[b], float(w) ** 0.5) for a, b, w in tree]
+    return spark.createDataFrame(nodes, "node int, vec array<double>, partition int"), spark.createDataFrame(edges, "src int, dst int, weight double")
+
+
+def order_cells(points: DataFrame, nodes: DataFrame, edges: DataFrame, root_nodes: list | None = None, root_cells: list | None = None, weight: str = "reference") -> DataFrame:
+    """(cell_id, pseudotime): least distance along the cell tree to the nearest root."""
+    if (root_nodes is None) == (root_cells is None):
+        raise ValueError("Please provide either root_nodes or root_cells, not both")
+    if nodes.count() >= MAX_NODES:
+        raise ValueError(f"principal graph is too large; order_cells doesn't support more than {MAX_NODES} nodes")
+    placed = project(points, nodes, edges)
+    if root_cells is not None:
+        root_nodes = [r[0] for r in placed.where(F.col("cell_id").isin(list(root_cells))).select("node").distinct().orderBy("node").collect()]
+    known = {r[0] for r in nodes.select("node").collect()}
+    if not root_nodes or not set(root_nodes) <= known:
+        raise ValueError("All provided root nodes must be present in the principal graph")
+    tree = cell_tree(placed, weight).unionByName(named_edges(nodes, edges))
+    found = pseudotime_driver(points.sparkSession, tree, [f"Y_{r}" for r in root_nodes])
+    return points.select("cell_id").join(found, F.col("cell_id").cast("string") == F.col("node"), "left").select("cell_id", "pseudotime")
