@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -264,14 +265,13 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, text_col)
     schema = f"`{id_col}` {kind}, leaked array<long>, top_score double, place long"
-    found, passes = None, 0
-    for block in blocks(items, item_id, item_text):
-        one = rows.mapInArrow(_leaks(Index(block), id_col), schema)
-        found, passes = one if found is None else stored(found, "leaks").unionByName(one), passes + 1
-    if found is None:
-        found = rows.mapInArrow(_leaks(Index([]), id_col), schema)
-    if passes > 1:
-        found = found.groupBy(id_col, "place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaked")))).alias("leaked"), F.max("top_score").alias("top_score"))
+    run = lambda block: rows.mapInArrow(_leaks(Index(block), id_col), schema)
+    lists = blocks(items, item_id, item_text)
+    found, more = run(next(lists, [])), next(lists, None)
+    if more is not None:  # a row's place is its task's number, so each pass is stored by itself
+        passes = [stored(found, "leaks"), stored(run(more), "leaks"), *(stored(run(b), "leaks") for b in lists)]
+        found = reduce(DataFrame.unionByName, passes).groupBy(id_col, "place")
+        found = found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaked")))).alias("leaked"), F.max("top_score").alias("top_score"))
     return found.select(id_col, "leaked", "top_score", (F.size("leaked") > 0).alias("contaminated"), (F.size("leaked") == 0).alias("kept"))
 
 
