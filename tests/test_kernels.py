@@ -42,7 +42,7 @@ def test_knn_edges(spark):
 def test_pca_is_a_dense_svd(spark):
     r = np.random.default_rng(2)
     x = r.poisson(1.0, (40, 7)).astype(float)
-    values = spark.createDataFrame([(i, j, x[i, j]) for i in range(40) for j in range(7) if x[i, j]], "cell_id long, gene_id long, value double")
+    values = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(7) if x[i, j]], "cell_id long, gene_id long, value double")
     cells = spark.range(40).select(F.col("id").alias("cell_id"))
     m = rd.fit(values, cells, 4)
     z = (x - x.mean(0)) / x.std(0, ddof=1)
