@@ -1,9 +1,11 @@
 """Near-duplicates by MinHash bands, odd sketches and full sets.
 
 1. Each text's set of 3-word shingles gives SAMPLES MinHash samples, BANDS band keys of WIDTH
-   samples (a pair at the threshold shares none once in three million), coarser keys of 2 and 4
-   bands together, and an odd sketch: the samples folded into a parity bitmap of BITS bits, whose
-   XOR with another's counts the samples that differ.
+   samples (a pair at the threshold shares none once in three million) and coarser keys of 2 and 4
+   bands together. Its odd sketch takes the shingles with the least hashes, the same share of each
+   set of its size (all shingles of a set of up to SAMPLED), and folds them into a parity bitmap of
+   BITS bits. The bits in which two sketches differ count the sampled shingles that the sets don't
+   share: never more than there are, and hardly fewer.
 2. Texts with equal sets are one class from here on; the least id stands for it.
 3. In each bucket (texts with one key) every text is paired with the bucket's hub only, the member
    whose own buckets are fullest: bases of copies are hubs. So a bucket of n gives n - 1 pairs.
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, table
 from .graph import components
 
-BANDS, WIDTH, BITS = 20, 4, 512
+BANDS, WIDTH = 20, 4
 SAMPLES = BANDS * WIDTH
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Most differing sketch bits of a pair that goes on to its full sets: what a similarity of 0.6
-#: gives on average, over five standard deviations below the threshold.
-MOST_BITS = 60
+#: Bits of a sketch, and the most shingles that go into it (on average).
+BITS, SAMPLED = 1024, 512
+#: Standard deviations that a sampled pair may lie beyond the threshold and still go on.
+SLACK = 6
 SHINGLE = 3
 BLOCK = 256
 #: Members that one copy of a hub's text is sent along with.
@@ -103,7 +106,8 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of each text: set size, two hashes of the set, all keys, and the sketch as 64-bit words."""
+    """Of each text: set size, two hashes of the set, all keys, the level (a share of 2 ** -level of
+    the shingles is sampled), and the sketches at this level and the next, as 64-bit words."""
     owner, value = shingle_sets(texts)
     n = np.bincount(owner, minlength=len(texts))
     some = np.flatnonzero(n)
@@ -122,39 +126,46 @@ def signed(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         return mixed(out + np.arange(rows.shape[1], dtype=np.uint64))
 
     keys = np.concatenate([folded(samples.reshape(len(texts), -1, WIDTH * w), w) for w in (1, 2, 4)], 1)
-    place = (mixed(samples * _BASE + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(BITS)).astype(np.int64)
-    flat = np.bincount((np.arange(len(texts))[:, None] * BITS + place).ravel(), minlength=len(texts) * BITS)
-    sketch = np.packbits((flat & 1).astype(np.uint8)).view(np.int64).reshape(len(texts), -1)
-    return n, sums[0].view(np.int64), sums[1].view(np.int64), keys.view(np.int64), sketch
+    level = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / SAMPLED))).astype(np.int64)
+    place, rank = mixed(value * _BASE), mixed(value ^ (_BASE >> np.uint64(7)))
 
+    def parity(extra: int) -> np.ndarray:
+        share = (level + extra)[owner].astype(np.uint64)
+        on = (share == 0) | ((rank >> (np.uint64(64) - np.maximum(share, np.uint64(1)))) == 0)
+        flat = np.bincount(owner[on] * BITS + (place[on] % np.uint64(BITS)).astype(np.int64), minlength=len(texts) * BITS)
+        return np.packbits((flat & 1).astype(np.uint8)).view(np.int64).reshape(len(texts), -1)
 
-KEYS = BANDS + BANDS // 2 + BANDS // 4
+    return n, sums[0].view(np.int64), sums[1].view(np.int64), keys.view(np.int64), level, parity(0), parity(1)
+
+
+SKETCH = ("level", "sketch", "half")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, s1, s2, keys, sketch = signed(batch.column(1).to_pylist())
+        n, s1, s2, keys, level, sketch, half = signed(batch.column(1).to_pylist())
         lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists(keys), lists(sketch)], ["doc", "n", "s1", "s2", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists(keys), pa.array(level), lists(sketch), lists(half)], ["doc", "n", "s1", "s2", "keys", "level", "sketch", "half"])
 
 
-def differing(a: str, b: str) -> Column:
+def differing(a: Column, b: Column) -> Column:
     """Bits in which two sketches differ."""
     out = F.lit(0)
     for k in range(BITS // 64):
-        out = out + F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k))))
+        out = out + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
     return out
 
 
-def estimate(bits: int) -> float:
-    """The similarity that a number of differing bits stands for."""
-    return 1 + BITS / (4 * SAMPLES) * float(np.log(max(1 - 2 * bits / BITS, 1e-9)))
-
-
-def _near(suffix_a: str, suffix_b: str) -> Column:
-    """Set sizes allow the threshold and the sketches differ in few bits."""
-    na, nb = F.col(f"n{suffix_a}"), F.col(f"n{suffix_b}")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (differing(f"sketch{suffix_a}", f"sketch{suffix_b}") <= MOST_BITS)
+def _near(x: str, y: str) -> Column:
+    """Whether set sizes and sketches allow a link. A link's sets differ in at most
+    (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes. Sketches are compared at the
+    higher of the two levels, which differ by one at most if the sizes allow a link."""
+    c = lambda k, side: F.col(f"{k}_{side}")
+    sizes = F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * PERCENT
+    own = lambda side, other: F.when(c("level", side) >= c("level", other), c("sketch", side)).otherwise(c("half", side))
+    most = (c("n", x) + c("n", y)) * ((100 - PERCENT) / (100 + PERCENT)) / F.pow(F.lit(2.0), F.greatest(c("level", x), c("level", y)))
+    most = F.when(F.greatest(c("level", x), c("level", y)) == 0, most).otherwise(most + SLACK * F.sqrt(most))
+    return sizes & (differing(own(x, y), own(y, x)) <= most + 1e-9)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,17 +197,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes(signs: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, component) of every text with shingles. signs is a stored table of _sign's rows."""
-    same = signs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    same = signs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), *(F.first(k).alias(k) for k in SKETCH))
     same = stored(same, "near-classes")
-    marks = same.select(F.col("rep").alias("doc"), "n", "sketch")
+    marks = same.select(F.col("rep").alias("doc"), "n", *SKETCH)
     keys = same.select(F.col("rep").alias("doc"), F.posexplode("keys").alias("at", "key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stored(keys.join(full, "key"), "near-members")
     rank = members.groupBy("doc").agg(F.sum(F.when(F.col("at") < BANDS, F.col("c")).otherwise(0)).alias("rank"))
     hubs = members.join(rank, "doc").groupBy("key").agg(F.max_by("doc", F.struct("rank", -F.col("doc"))).alias("hub"))
     stars = members.join(hubs, "key").where("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
-    left, right = (marks.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
-    near = lambda pairs: pairs.join(left, "u").join(right, "v").where(_near("_u", "_v")).select("u", "v")
+    left, right = (marks.select(F.col("doc").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", *SKETCH))) for x in "uv")
+    near = lambda pairs: pairs.join(left, "u").join(right, "v").where(_near("u", "v")).select("u", "v")
     links = stored(confirmed(stored(near(stars), "near-pairs"), texts), "near-links")
     first = components(links)
     # Buckets that still hold several components.
@@ -209,17 +220,18 @@ def classes(signs: DataFrame, texts: DataFrame) -> DataFrame:
     sized = placed.join(counts, "key").select("*", F.ceil(F.col("few") / BLOCK).alias("bf"), F.ceil(F.col("c") / BLOCK).alias("bc"))
     block = lambda x: F.pmod(F.xxhash64("doc"), F.greatest(F.col(x), F.lit(1)))
     each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(x), F.lit(1)).cast("long") - 1))
-    cols = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", "sketch")]
+    cols = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", *SKETCH)]
     few = sized.where("comp <> main").select("key", "at", block("bf").alias("i"), each("bc").alias("j"), *cols("x"))
     rest = sized.select("key", block("bc").alias("j"), each("bf").alias("i"), F.col("main").alias("m"), *cols("y"))
     # A pair of two outsiders would come twice.
     once = (F.col("comp_y") == F.col("m")) | (F.col("doc_x") < F.col("doc_y"))
     block_pair = (few["key"] == rest["key"]) & (few["i"] == rest["i"]) & (few["j"] == rest["j"])
-    over = few.join(rest, block_pair & (F.col("comp_x") != F.col("comp_y")) & once & _near("_x", "_y"))
+    over = few.join(rest, block_pair & (F.col("comp_x") != F.col("comp_y")) & once & _near("x", "y"))
     over = over.select(F.col("doc_x").alias("u"), F.col("doc_y").alias("v")).distinct()
     over = over.join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = stored(confirmed(stored(over, "near-pairs"), texts), "near-links")
-    found = first if more.isEmpty() else components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    over = stored(over, "near-pairs")
+    more = None if over.isEmpty() else stored(confirmed(over, texts), "near-links")
+    found = first if more is None or more.isEmpty() else components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     reps = same.select("rep", "s1", "s2", "n").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     return signs.select("doc", "s1", "s2", "n").join(reps, ["s1", "s2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
@@ -234,7 +246,7 @@ def near_dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     prepare(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    signs = stored(texts.mapInArrow(_sign, "doc long, n long, s1 long, s2 long, keys array<long>, sketch array<long>"), "near-signs")
+    signs = stored(texts.mapInArrow(_sign, "doc long, n long, s1 long, s2 long, keys array<long>, level long, sketch array<long>, half array<long>"), "near-signs")
     known = classes(signs.where("doc is not null"), texts.where("doc is not null"))
     loose = signs.where("doc is null").select("doc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
     out = known.unionByName(loose)
