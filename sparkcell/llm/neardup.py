@@ -191,7 +191,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("__c"))
     jobs = pairs.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("__c")).alias("chunk"))
     jobs = jobs.select("u", "chunk", F.lit(False).alias("leads"), F.col("v").alias("doc")).unionByName(jobs.select("u", "chunk").distinct().select("u", "chunk", F.lit(True).alias("leads"), F.col("u").alias("doc")))
-    jobs = jobs.join(texts, "doc").repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.desc("leads"))
+    # Pairs have no proven bound, so neither side is broadcast, whatever their size is now.
+    jobs = jobs.join(texts.hint("merge"), "doc").repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.desc("leads"))
     return jobs.select("u", "leads", "doc", "t").mapInArrow(run, "u long, v long")
 
 
