@@ -32,7 +32,7 @@ def entropy_term(p: Column) -> Column:
 def min_max_100(value: Column, *by: str) -> Column:
     w = Window.partitionBy(*by)
     low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high > low, 100 * (value - low) / (high - low)).otherwise(0.0)
+    return F.coalesce(F.try_divide(100 * (value - low), high - low), F.when(value.isNotNull(), 0.0))
 
 
 def p_adjust(df: DataFrame, p: str, out: str, by: tuple[str, ...] = (), method: str = "holm", n: Column | None = None) -> DataFrame:

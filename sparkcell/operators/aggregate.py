@@ -44,7 +44,7 @@ def aggregate(values: DataFrame, gene_groups: DataFrame | None = None, cell_grou
 def scaled(x: DataFrame, low: float = -3, high: float = 3) -> DataFrame:
     """Each row's values as z scores (sample deviation) within [low, high]; 0 where there is none."""
     w = Window.partitionBy("row")
-    z = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    z = F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
     return x.withColumn("value", F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.when(z.isNull() | F.isnan(z), 0.0).otherwise(z))))
 
 
@@ -52,7 +52,7 @@ def genes_by_group(counts: DataFrame, factors: DataFrame, groups: DataFrame, pse
     """(gene_id, grp, mean_ln, percentage, is_max): mean of ln(x + pseudocount) and share of cells
     above `lower` over all cells of each group; entries that aren't stored add ln(pseudocount)."""
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    x = counts.join(factors.select("cell_id", "size_factor"), "cell_id").select("cell_id", "gene_id", (F.col("value") / F.col("size_factor")).alias("value"))
+    x = counts.join(factors.select("cell_id", "size_factor"), "cell_id").select("cell_id", "gene_id", F.try_divide("value", "size_factor").alias("value"))
     zero = F.ln(F.lit(float(pseudocount)))
     sums = x.join(groups, "cell_id").groupBy("gene_id", "grp").agg(F.sum(F.ln(F.col("value") + pseudocount) - zero).alias("s"), F.count_if(F.col("value") > lower).alias("k"))
     every = sums.select("gene_id").distinct().join(sizes)
@@ -113,7 +113,7 @@ def violin_values(counts: DataFrame, factors: DataFrame, cells: DataFrame, genes
     every = cells.select("cell_id").join(genes.select("gene_id"))
     x = counts.join(genes.select("gene_id"), "gene_id", "left_semi")
     x = every.join(x, ["cell_id", "gene_id"], "left").join(factors.select("cell_id", "size_factor"), "cell_id")
-    value: Column = F.coalesce("value", F.lit(0.0)) / F.col("size_factor") + (1.0 if pseudocount > 0 else 0.0)
+    value: Column = F.try_divide(F.coalesce("value", F.lit(0.0)), F.col("size_factor")) + (1.0 if pseudocount > 0 else 0.0)
     return x.select("cell_id", "gene_id", F.greatest(value, F.lit(float(min_expr))).alias("value"))
 
 

@@ -25,7 +25,7 @@ def project(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     at = ends.withColumn("node", F.explode(F.array("src", "dst")))
     minus = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
     run = closest.join(F.broadcast(at), "node")
-    t = dot(minus(F.col("vec"), F.col("a")), minus(F.col("b"), F.col("a"))) / squared(F.col("a"), F.col("b"))
+    t = F.try_divide(dot(minus(F.col("vec"), F.col("a")), minus(F.col("b"), F.col("a"))), squared(F.col("a"), F.col("b")))
     run = run.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))))
     run = run.withColumn("proj", F.zip_with("a", "b", lambda x, y: x + F.col("t") * (y - x)))
     run = run.withColumn("distance", F.sqrt(squared(F.col("vec"), F.col("proj"))))

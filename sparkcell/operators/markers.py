@@ -20,12 +20,16 @@ def specificity(means: DataFrame) -> DataFrame:
     sum(h(p_i / 2)) - h(p_j / 2) + h((p_j + 1) / 2) - sum(h(p_i)) / 2, so one pass over a gene's
     groups gives all of its rows.
     """
+    return _with_specificity(means).select("gene_id", "grp", "specificity")
+
+
+def _with_specificity(means: DataFrame) -> DataFrame:
     w = Window.partitionBy("gene_id")
-    p = means.withColumn("p", F.when(F.sum("value").over(w) > 0, F.col("value") / F.sum("value").over(w)).otherwise(0.0))
     h = entropy_term
+    p = means.withColumn("p", F.coalesce(F.try_divide(F.col("value"), F.sum("value").over(w)), F.lit(0.0)))
     p = p.withColumn("a", F.sum(h(F.col("p") / 2)).over(w)).withColumn("b", F.sum(h(F.col("p"))).over(w)).withColumn("t", F.sum("p").over(w))
     js = F.col("a") - h(F.col("p") / 2) + h((F.col("p") + 1) / 2) - F.col("b") / 2
-    return p.select("gene_id", "grp", F.when(F.col("t") > 0, 1 - F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), js)))).otherwise(0.0).alias("specificity"))
+    return p.withColumn("specificity", F.when(F.col("t") > 0, 1 - F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), js)))).otherwise(0.0))
 
 
 def marker_scores(counts: DataFrame, factors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -35,16 +39,10 @@ def marker_scores(counts: DataFrame, factors: DataFrame, groups: DataFrame) -> D
     """
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     x = counts.join(factors.select("cell_id", "size_factor"), "cell_id").join(groups, "cell_id")
-    sums = x.groupBy("gene_id", "grp").agg(F.count_if(F.col("value") > 0).alias("k"), F.sum(F.col("value") / F.col("size_factor")).alias("s"))
+    sums = x.groupBy("gene_id", "grp").agg(F.count_if(F.col("value") > 0).alias("k"), F.sum(F.try_divide("value", "size_factor")).alias("s"))
     every = sums.select("gene_id").distinct().join(sizes)
     dense = every.join(sums, ["gene_id", "grp"], "left").select("gene_id", "grp", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("fraction_expressing"), (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("value"))
-    w = Window.partitionBy("gene_id")
-    p = dense.withColumn("p", F.when(F.sum("value").over(w) > 0, F.col("value") / F.sum("value").over(w)).otherwise(0.0))
-    h = entropy_term
-    p = p.withColumn("a", F.sum(h(F.col("p") / 2)).over(w)).withColumn("b", F.sum(h(F.col("p"))).over(w)).withColumn("t", F.sum("p").over(w))
-    js = F.col("a") - h(F.col("p") / 2) + h((F.col("p") + 1) / 2) - F.col("b") / 2
-    spec = F.when(F.col("t") > 0, 1 - F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), js)))).otherwise(0.0)
-    p = p.withColumn("specificity", spec)
+    p = _with_specificity(dense)
     return p.select("gene_id", "grp", "fraction_expressing", F.col("value").alias("mean_expression"), "specificity", (F.col("fraction_expressing") * F.col("specificity")).alias("marker_score"))
 
 
@@ -97,7 +95,7 @@ def marker_test(candidates: DataFrame, counts: DataFrame, factors: DataFrame, gr
     n_all = sum(sizes.values())
     panel_ids = panel.select("cell_id", F.lit(True).alias("in_panel"))
     x = counts.join(candidates.select("gene_id").distinct(), "gene_id", "left_semi").join(factors.select("cell_id", "size_factor"), "cell_id")
-    x = x.join(groups, "cell_id").join(panel_ids, "cell_id", "left").select("gene_id", F.col("grp").alias("g"), (F.col("value") / F.col("size_factor")).alias("x"), F.coalesce("in_panel", F.lit(False)).alias("in_panel"))
+    x = x.join(groups, "cell_id").join(panel_ids, "cell_id", "left").select("gene_id", F.col("grp").alias("g"), F.try_divide("value", "size_factor").alias("x"), F.coalesce("in_panel", F.lit(False)).alias("in_panel"))
 
     def test(key: tuple, rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -178,7 +178,8 @@ def cluster_links(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     ids = clusters.select("cluster").distinct()
     grid = ids.select(F.col("cluster").alias("c1")).join(ids.select(F.col("cluster").alias("c2")))
     grid = grid.join(per.select("c1", F.col("e").alias("e1")), "c1", "left").join(per.select(F.col("c1").alias("c2"), F.col("e").alias("e2")), "c2", "left").join(n, ["c1", "c2"], "left").crossJoin(F.broadcast(total)).fillna(0)
-    theta = F.col("e1") / F.col("total") * F.col("e2") / F.col("total")
-    grid = grid.withColumn("theta", theta).withColumn("variance", theta * (1 - theta) / F.col("total"))
-    z = (F.col("links") / F.col("total") - F.col("theta")) / F.sqrt("variance")
-    return grid.select("c1", "c2", "links", "theta", "variance", F.when(F.col("variance") > 0, z).alias("z"))
+    share = lambda e: F.coalesce(F.try_divide(F.col(e), F.col("total")), F.lit(0.0))
+    theta = share("e1") * share("e2")
+    grid = grid.withColumn("theta", theta).withColumn("variance", F.coalesce(F.try_divide(theta * (1 - theta), F.col("total")), F.lit(0.0)))
+    z = F.try_divide(share("links") - F.col("theta"), F.sqrt("variance"))
+    return grid.select("c1", "c2", "links", "theta", "variance", z.alias("z"))

@@ -29,7 +29,7 @@ def size_factors(counts: DataFrame, cells: DataFrame, method: str = METHODS[0],
     x = F.col("total") if method == METHODS[0] else F.ln("total")
     t = totals(counts, cells, round_values)
     scale = t.agg(F.exp(F.avg(F.ln(x))).alias("scale"))
-    factor = x / F.col("scale")
+    factor = F.try_divide(x, F.col("scale"))
     return t.crossJoin(F.broadcast(scale)).select("cell_id", F.when(F.isnan(factor) | factor.isNull(), 1.0).otherwise(factor).alias("size_factor"))
 
 
@@ -46,7 +46,7 @@ def normalized(counts: DataFrame, factors: DataFrame, method: str = "log", pseud
     if method == "binary":
         return counts.withColumn("value", (F.col("value") > 0).cast("double"))
     scaled = counts.join(factors.select("cell_id", "size_factor"), "cell_id")
-    ratio = F.col("value") / F.col("size_factor")
+    ratio = F.try_divide("value", "size_factor")
     if method == "log":
         if pseudocount != 1:
             raise ValueError("Pseudocount must equal 1 with sparse expression matrices")
@@ -61,7 +61,7 @@ def log2_normalized(counts: DataFrame, factors: DataFrame, method: str = "log",
     pseudo = (1.0 if method == "log" else 0.0) if pseudocount is None else float(pseudocount)
     if method == "none":
         return counts.withColumn("value", F.col("value") + pseudo), pseudo
-    ratio = F.col("value") / F.col("size_factor") + pseudo
+    ratio = F.try_divide("value", "size_factor") + pseudo
     out = counts.join(factors.select("cell_id", "size_factor"), "cell_id").select("cell_id", "gene_id", (F.log2(ratio) if method == "log" else ratio).alias("value"))
     return out, math.log2(pseudo) if method == "log" else pseudo
 
@@ -73,8 +73,8 @@ def gene_moments(values: DataFrame, n_cells: DataFrame, zero: float = 0.0) -> Da
     """
     d = F.col("value") - zero
     sums = values.groupBy("gene_id").agg(F.sum(d).alias("s"), F.sum(d * d).alias("q")).crossJoin(F.broadcast(n_cells))
-    mean = F.col("s") / F.col("n")
-    return sums.select("gene_id", (mean + zero).alias("mean"), ((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)).alias("variance"))
+    mean = F.try_divide("s", "n")
+    return sums.select("gene_id", (mean + zero).alias("mean"), F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1).alias("variance"))
 
 
 def tfidf(counts: DataFrame, n_cells: DataFrame, scale: float = 1e5) -> DataFrame:
@@ -83,7 +83,7 @@ def tfidf(counts: DataFrame, n_cells: DataFrame, scale: float = 1e5) -> DataFram
     cell = live.groupBy("cell_id").agg(F.sum("value").alias("t"))
     gene = live.groupBy("gene_id").agg(F.count(F.lit(1)).alias("df"))
     joined = live.join(cell, "cell_id").join(gene, "gene_id").crossJoin(F.broadcast(n_cells))
-    return joined.select("cell_id", "gene_id", (F.log1p(F.col("value") / F.col("t") * scale) * F.ln(1 + F.col("n") / F.col("df"))).alias("value"))
+    return joined.select("cell_id", "gene_id", (F.log1p(F.try_divide("value", "t") * scale) * F.ln(1 + F.col("n") / F.col("df"))).alias("value"))
 
 
 def detect_genes(ds: CellDataset, min_expr: float = 0) -> CellDataset:

@@ -56,16 +56,16 @@ def graph_statistics(values: DataFrame, cells: DataFrame, w: DataFrame, zero: fl
     m = c("q1") / c("n")
     t = t.withColumn("ss", c("q2") - c("n") * m * m).withColumn("m", m)
     t = t.withColumn("s4", c("q4") - 4 * c("m") * c("q3") + 6 * c("m") * c("m") * c("q2") - 3 * c("n") * F.pow("m", 4))
-    t = t.withColumn("k", c("s4") / c("n") / F.pow(c("ss") / c("n"), 2)).withColumn("s02", c("s0") * c("s0"))
-    i = c("n") / c("s0") * (c("wab") - c("m") * c("wy") + c("m") * c("m") * c("s0")) / c("ss")
-    e = -1 / (c("n") - 1)
+    t = t.withColumn("k", F.try_divide(c("s4") * c("n"), c("ss") * c("ss"))).withColumn("s02", c("s0") * c("s0"))
+    i = F.try_divide(c("n") * (c("wab") - c("m") * c("wy") + c("m") * c("m") * c("s0")), c("s0") * c("ss"))
+    e = F.try_divide(F.lit(-1.0), c("n") - 1)
     nn = c("n") * c("n")
-    vi = (c("n") * (c("s1") * (nn - 3 * c("n") + 3) - c("n") * c("s2") + 3 * c("s02")) - c("k") * (c("s1") * (nn - c("n")) - 2 * c("n") * c("s2") + 6 * c("s02"))) / ((c("n") - 1) * (c("n") - 2) * (c("n") - 3) * c("s02")) - e * e
-    g = (c("n") - 1) / (2 * c("s0")) * (c("wyy") - 2 * c("wab")) / c("ss")
+    vi = F.try_divide(c("n") * (c("s1") * (nn - 3 * c("n") + 3) - c("n") * c("s2") + 3 * c("s02")) - c("k") * (c("s1") * (nn - c("n")) - 2 * c("n") * c("s2") + 6 * c("s02")), (c("n") - 1) * (c("n") - 2) * (c("n") - 3) * c("s02")) - e * e
+    g = F.try_divide((c("n") - 1) * (c("wyy") - 2 * c("wab")), 2 * c("s0") * c("ss"))
     vc = (c("n") - 1) * c("s1") * (nn - 3 * c("n") + 3 - c("k") * (c("n") - 1)) - 0.25 * (c("n") - 1) * c("s2") * (nn + 3 * c("n") - 6 - c("k") * (nn - c("n") + 2)) + c("s02") * (nn - 3 - c("k") * F.pow(c("n") - 1, 2))
-    vc = vc / (c("n") * (c("n") - 2) * (c("n") - 3) * c("s02"))
+    vc = F.try_divide(vc, c("n") * (c("n") - 2) * (c("n") - 3) * c("s02"))
     t = t.where("ss > 0").select("gene_id", i.alias("morans_i"), e.alias("e_i"), vi.alias("v_i"), g.alias("gearys_c"), vc.alias("v_c"))
-    return t.withColumn("z_i", (c("morans_i") - c("e_i")) / F.sqrt("v_i")).withColumn("z_c", (1 - c("gearys_c")) / F.sqrt("v_c"))
+    return t.withColumn("z_i", F.try_divide(c("morans_i") - c("e_i"), F.sqrt("v_i"))).withColumn("z_c", F.try_divide(1 - c("gearys_c"), F.sqrt("v_c")))
 
 
 def graph_test(values: DataFrame, genes: DataFrame, cells: DataFrame, w: DataFrame, method: str = "Moran_I", alternative: str = "greater", zero: float = 0.0) -> DataFrame:

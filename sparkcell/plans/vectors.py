@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import normal_sf_udf, p_adjust, r6
 from ..operators import graph as gr
 from ..operators import neighbors as nb
-from ..operators import normalize as nz
+from ..operators import plotdata as pd_
 from ..operators import spatial as sp
 from ..operators import transfer as tr
 from . import views as v
@@ -214,7 +214,16 @@ def q44b(s, d):
 S44B = f"with {V}, n as (select distinct label as node from v) select node, (select count(*) from n m where abs(m.node - n.node) = 1)::bigint as degree, case (select count(*) from n m where abs(m.node - n.node) = 1) when 1 then 'leaf' when 2 then 'inner' else 'branch' end as kind from n"
 
 
+def q55(s, d):
+    seg = pd_.graph_segments(*chain(v.r1(s, d)))
+    return seg.select("src", "dst", *(r6(c).alias(c) for c in ("src_x1", "src_x2", "dst_x1", "dst_x2")))
+
+
+S55 = f"with {CENTROIDS} select a.node as src, b.node as dst, {r('a.c[1]')} as src_x1, {r('a.c[2]')} as src_x2, {r('b.c[1]')} as dst_x1, {r('b.c[2]')} as dst_x2 from ce a join ce b on b.node = a.node + 1"
+
+
 QUERIES = {
+    "q55_graph_segments": (q55, S55),
     "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18("1 - list_cosine_similarity(q.e, s.e)")), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
     "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
     "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, None), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, None),
