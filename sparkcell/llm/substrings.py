@@ -5,14 +5,15 @@ through WINDOW bytes, digit by digit, and a group that a pass leaves with one me
 
 1. The first digit of a suffix is the least (by a hash) GRAM-byte string inside its window, its
    anchor: content decides it, so equal windows have equal anchors at equal distances. One row per
-   anchor stands for all the suffixes that have it (some 35 bytes each), so this pass moves a
+   anchor stands for all the suffixes that have it (some 30 bytes each), so this pass moves a
    fraction of the positions. Each task first drops its own repeats.
 2. The second digit is the anchor's whole context, all bytes that any of its windows can reach. Of
    equal contexts only the first goes on; all windows of the others are repeats, whole. An anchor
    with one context is done.
-3. Only suffixes of anchors with several contexts are written out singly, with all of their window
-   as the last digit (128 bits of hash). Equal groups are the repeated windows; the least member
-   of each stays.
+3. Only for anchors with several contexts do these contexts travel, as bytes, to be told apart by
+   the last digit, a whole window (128 bits of hash): equal groups are the repeated windows, and
+   the least member of each stays. Up to CROWD contexts of an anchor are sorted in one task, batches
+   of anchors at a time; a larger group is dealt out by window, a row for each.
 
 What the passes find is laid over the documents as byte ranges.
 """
@@ -36,6 +37,8 @@ GRAM = 32
 REACH = WINDOW - GRAM
 #: Bytes that are worked on at once.
 BLOCK = 1 << 21
+#: Contexts of one anchor that one task may sort, and rows that it sorts together.
+CROWD, TOGETHER = 4096, 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -65,10 +68,14 @@ def _rolled(data: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
         total >>= 1
         if total:
             have = have[: len(have) - width] * power + have[width:]
-            width, power = 2 * width, power * power
+            width, power = 2 * width, _square(power)
     return out
 
 
+def _square(x: np.uint64) -> np.uint64:
+    return np.uint64(int(x) * int(x) & (1 << 64) - 1)
+
+
 def _least(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
     """The least of the `size` values from each place on."""
     width = 1
@@ -142,7 +149,7 @@ def anchors(block: list[Segment]) -> tuple[np.ndarray, ...]:
     begin, length = at - left, left + GRAM + right
     context = _spans(data, begin, length) + (left * 1000 + right).astype(np.uint64) * _SECOND
     doc = np.array([s.doc for s in block], np.int64)[which]
-    return doc, place, hashes[at].view(np.int64), _mixed(context).view(np.int64)
+    return doc, place, hashes[at].view(np.int64), _mixed(context).view(np.int64), size
 
 
 def _spans(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -158,7 +165,7 @@ def _spans(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
         if 2 * width > top:
             break
         have = have[: len(have) - width] * power + have[width:]
-        width, power = 2 * width, power * power
+        width, power = 2 * width, _square(power)
     return out
 
 
@@ -173,50 +180,124 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass one in a task: anchors with their contexts, of equal ones the first only; the others
-    come out as covered anchors (covered true)."""
-    for block in segments((k, t.encode()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and k is not None):
-        doc, place, anchor, context = anchors(block)
+    """Pass one in a task: anchors with their contexts, of equal ones the first only (till 0); what
+    the others cover comes out as runs [place, till), under an anchor of their own."""
+    rows = ((k, t.encode()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and k is not None)
+    for block in segments(rows):
+        doc, place, anchor, context, size = anchors(block)
         order = np.lexsort((place, doc, context, anchor))
-        doc, place, anchor, context = doc[order], place[order], anchor[order], context[order]
+        doc, place, anchor, context, size = (x[order] for x in (doc, place, anchor, context, size))
         same = np.zeros(len(doc), bool)
-        same[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, doc, place.astype(np.int64), same)], ["anchor", "context", "doc", "place", "covered"])
+        same[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+        runs = []
+        for d in np.unique(doc[same]).tolist():
+            on = same & (doc == d)
+            begin, end = np.maximum(place[on] - REACH, 0), np.minimum(place[on] + WINDOW, size[on])
+            begin, end = _merged(begin[end - begin >= WINDOW], end[end - begin >= WINDOW])
+            runs += [(d, x, y) for x, y in zip(begin.tolist(), end.tolist())]
+        run = np.array(runs, np.int64).reshape(-1, 3)
+        own = _mixed(_mixed(run[:, 0].astype(np.uint64)) + run[:, 1].astype(np.uint64)).view(np.int64)
+        columns = [(anchor[~same], own), (context[~same], np.zeros(len(run), np.int64)), (doc[~same], run[:, 0]), (place[~same].astype(np.int64), run[:, 1]), (np.zeros((~same).sum(), np.int64), run[:, 2])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["anchor", "context", "doc", "place", "till"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, crowd, doc, place, low, bytes): the bytes from `low` on that an open anchor reaches."""
+    for batch in batches:
+        rows = []
+        for doc, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode()
+            for m in marks:
+                low = max(0, m["place"] - REACH)
+                rows.append((m["anchor"], m["crowd"], doc, m["place"], low, raw[low : m["place"] + WINDOW]))
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = [*[pa.int64()] * 5, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "crowd", "doc", "place", "low", "bytes"])
+
+
+_WIDE = REACH + WINDOW
+
+
+def _window_keys(places: np.ndarray, lows: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and two hashes of each whole window in contexts that are set side by side, their
+    anchors in one column."""
+    data = np.zeros((len(raw), _WIDE), np.uint64)
+    left, size = places - lows, np.array([len(x) for x in raw])
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    row = np.repeat(np.arange(len(raw)), size)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(REACH - left, size)
+    data[row, column] = flat.astype(np.uint64) + np.uint64(1)
+    shift = np.arange(REACH + 1)  # a window begins so many bytes left of its anchor
+    fine = (shift <= left[:, None]) & (WINDOW - shift <= (size - left)[:, None])
+    keys = []
+    for base in (_ODD, _SECOND):
+        back = np.uint64(pow(int(base), -1, 1 << 64))
+        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_WIDE - 1, base)]))
+        undo = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(REACH, back)]))
+        sums = np.concatenate([np.zeros((len(raw), 1), np.uint64), np.cumsum(data * power, axis=1)], axis=1)
+        begin = REACH - shift
+        keys.append(_mixed((sums[:, begin + WINDOW] - sums[:, begin]) * undo[begin]))
+    r, s = np.nonzero(fine)
+    return r, places[r] - s, keys[0][r, s], keys[1][r, s]
+
+
+def _repeats(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, begin, end) of what the last digit covers, for whole groups of rows (anchor, doc,
+    place, low, bytes) that are in order by anchor, doc, place."""
+    anchor, doc, place, low = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    row, at, k1, k2 = _window_keys(place, low, [r[4] for r in rows])
+    k1 = _mixed(k1 + anchor[row].view(np.uint64) * _SECOND)
+    order = np.lexsort((row, k2, k1))
+    row, at, k1, k2 = row[order], at[order], k1[order], k2[order]
+    again = np.zeros(len(row), bool)
+    again[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(row))))
+    again &= (doc[row] != doc[row[first]]) | (at != at[first])
+    row, at = row[again], at[again]
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(row)) - 1 if len(row) else head
+    return doc[row[head]], at[head], at[tail] + WINDOW
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass three for anchors of up to CROWD contexts; rows come in order by anchor, doc, place."""
+    held: list[tuple] = []
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _repeats(rows)], ["doc", "begin", "end"])
+
+    for batch in batches:
+        held += zip(*(c.to_pylist() for c in batch.columns))
+        if len(held) >= TOGETHER:
+            cut = len(held) - 1
+            while cut and held[cut - 1][0] == held[-1][0]:
+                cut -= 1
+            if cut:
+                yield out(held[:cut])
+                held = held[cut:]
+    if held:
+        yield out(held)
 
 
-def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass three's suffixes: the windows whose anchor is one of a document's open places."""
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass three for larger groups: a row for each window."""
     for batch in batches:
-        for doc, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-            raw, wanted = text.encode(), np.unique(np.array(places, np.int64))
-            for (s,) in segments([(doc, raw)], BLOCK) if len(raw) <= BLOCK else ([x] for b in segments([(doc, raw)], BLOCK) for x in b):
-                data, _, hashes, own = _masked([s])
-                least = _minima(hashes, own)
-                near = wanted[(wanted >= s.begin) & (wanted < s.end + REACH + 1)] - s.low
-                starts = (near[:, None] - np.arange(REACH + 1)).ravel()
-                value = np.repeat(hashes[near], REACH + 1)
-                fine = starts >= 0
-                starts, value = starts[fine], value[fine]
-                starts = np.unique(starts[least[starts] == value])
-                one = _spans2(data, starts)
-                yield pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts + s.low)], ["k1", "k2", "doc", "place"])
-
-
-def _spans2(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(_mixed(_rolled(data, WINDOW, base))[starts].view(np.int64) for base in (_ODD, _SECOND))
-
-
-def _cut(raw: bytes, covers: list[int] | None) -> tuple[list[tuple[int, int]], bytes]:
-    """The removed runs and the kept bytes. A cover is place * 2 + 1 for a whole context around an
-    anchor, place * 2 for a window."""
+        doc, place, low, raw = (c.to_pylist() for c in batch.columns)
+        if raw:
+            row, at, k1, k2 = _window_keys(np.array(place, np.int64), np.array(low, np.int64), raw)
+            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.array(doc, np.int64)[row]), pa.array(at)], ["k1", "k2", "doc", "place"])
+
+
+def _cut(raw: bytes, covers: list[dict] | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The removed runs and the kept bytes. A cover may reach over the end; it counts if at least
+    WINDOW bytes of it are there."""
     if not covers:
         return [], raw
-    x = np.array(covers, np.int64)
-    place, context = x >> 1, (x & 1).astype(bool)
-    begin = np.where(context, np.maximum(place - REACH, 0), place)
-    end = np.where(context, np.minimum(place + GRAM + REACH, len(raw)), place + WINDOW)
+    begin, end = np.array([c["begin"] for c in covers], np.int64), np.minimum(np.array([c["end"] for c in covers], np.int64), len(raw))
     begin, end = _merged(begin[end - begin >= WINDOW], end[end - begin >= WINDOW])
     runs = list(zip(begin.tolist(), end.tolist()))
     kept, at = [], 0
@@ -226,26 +307,31 @@ def _cut(raw: bytes, covers: list[int] | None) -> tuple[list[tuple[int, int]], b
     return runs, b"".join([*kept, raw[at:]])
 
 
-def covers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, covers): what repeats an earlier string, for documents that have any."""
-    prepare(df.sparkSession)
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    found = stored(texts.mapInArrow(_firsts, "anchor long, context long, doc long, place long, covered boolean"), "substring-anchors")
+def covers(texts: DataFrame) -> DataFrame:
+    """(doc, covers): byte ranges that repeat an earlier string, for documents that have any; texts
+    is (doc, t) without null doc."""
+    found = texts.mapInArrow(_firsts, "anchor long, context long, doc long, place long, till long")
     # Passes one and two share one exchange and sort, by anchor.
-    by_context = Window.partitionBy("anchor", "context").orderBy("doc", "place")
-    least = F.first(F.struct("doc", "place")).over(by_context)
-    digits = found.where("not covered").select("anchor", "context", "doc", "place", least.alias("first"))
+    me = F.struct("doc", "place")
+    first = F.first(me).over(Window.partitionBy("anchor", "context").orderBy("doc", "place"))
+    digits = found.withColumn("later", me != first)
     whole = Window.partitionBy("anchor")
-    digits = digits.withColumn("several", F.min("context").over(whole) != F.max("context").over(whole))
-    digits = stored(digits.select("doc", "place", (F.struct("doc", "place") != F.col("first")).alias("later"), "several").where("later or several"), "substring-digits")
-    # Pass three.
-    opened = digits.where("not later").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    suffixes = texts.where("t is not null").join(opened, "doc").select("doc", "t", "places").mapInArrow(_expanded, "k1 long, k2 long, doc long, place long")
-    firsts = Window.partitionBy("k1", "k2").orderBy("doc", "place")
-    suffixes = suffixes.select("doc", "place", F.first(F.struct("doc", "place")).over(firsts).alias("first")).where(F.struct("doc", "place") != F.col("first"))
-    context = lambda d: d.select("doc", (F.col("place") * 2 + 1).alias("c"))
-    every = context(found.where("covered")).unionByName(context(digits.where("later"))).unionByName(suffixes.select("doc", (F.col("place") * 2).alias("c")))
-    return every.groupBy("doc").agg(F.collect_list("c").alias("covers"))
+    digits = digits.withColumn("several", F.min("context").over(whole) != F.max("context").over(whole)).withColumn("crowd", F.sum((~F.col("later")).cast("long")).over(whole))
+    digits = digits.select("anchor", "doc", "place", "till", "later", "crowd").where("later or several or till > 0")
+    digits = stored(digits, "substring-digits")
+    # Pass three. The texts are dealt by doc once, for this join and the caller's.
+    opened = digits.where("not later and till = 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "crowd")).alias("marks"))
+    contexts = texts.join(opened, "doc").select("doc", "t", "marks").mapInArrow(_contexts, "anchor long, crowd long, doc long, place long, low long, bytes binary")
+    few = contexts.where(F.col("crowd") <= CROWD).select("anchor", "doc", "place", "low", "bytes").repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
+    few = few.mapInArrow(_resolved, "doc long, begin long, end long")
+    many = contexts.where(F.col("crowd") > CROWD).select("doc", "place", "low", "bytes").mapInArrow(_dealt, "k1 long, k2 long, doc long, place long")
+    many = many.select("doc", "place", F.first(me).over(Window.partitionBy("k1", "k2").orderBy("doc", "place")).alias("first")).where(me != F.col("first"))
+    ranges = lambda d, b, e: d.select("doc", b.cast("long").alias("begin"), e.cast("long").alias("end"))
+    place = F.col("place")
+    every = ranges(digits.where("till > 0"), place, F.col("till"))
+    every = every.unionByName(ranges(digits.where("later and till = 0"), F.greatest(place - REACH, F.lit(0)), place + WINDOW))
+    every = every.unionByName(few).unionByName(ranges(many, place, place + WINDOW))
+    return every.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
 
 
 def dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -256,8 +342,8 @@ def dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for one document (give each its own id); an empty table gives an empty result; other columns
     are not read.
     """
-    found = covers(df, id_col, text_col)
-    kind = df.schema[id_col].dataType.simpleString()
+    prepare(df.sparkSession)
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +352,16 @@ def dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 raw = (text or "").encode()
                 runs, kept = _cut(raw, marks)
                 rows.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs))
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = list(zip(*rows)) or [()] * 6
             columns[5] = [[{"start": b, "end": e} for b, e in runs] for runs in columns[5]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    rows = rows.join(found, F.col("__id") == F.col("doc"), "left").select("__id", "__t", "covers")
-    return rows.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    known = texts.join(covers(texts), "doc", "left").select("doc", "t", "covers")
+    loose = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.col(text_col).alias("t"), F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("covers"))
+    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    out = known.mapInArrow(cut, schema).unionByName(loose.mapInArrow(cut, schema))
+    return out.withColumnRenamed("doc", id_col).withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
