@@ -38,7 +38,7 @@ REACH = WINDOW - GRAM
 #: Bytes that are worked on at once.
 BLOCK = 1 << 21
 #: Contexts of one anchor that one task may sort, and rows that it sorts together.
-CROWD, TOGETHER = 4096, 2048
+CROWD, TOGETHER = 65_536, 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -243,17 +243,39 @@ def _window_keys(places: np.ndarray, lows: np.ndarray, raw: list[bytes]) -> tupl
 
 def _repeats(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, begin, end) of what the last digit covers, for whole groups of rows (anchor, doc,
-    place, low, bytes) that are in order by anchor, doc, place."""
+    place, low, bytes) that are in order by anchor, doc, place.
+
+    Contexts stand side by side, a byte a cell, with their anchors in one column. One distance of
+    window and anchor after the other, the windows' hashes roll on by a byte and are sorted; equal
+    windows have their anchors at equal distances. So a row costs some WINDOW + REACH bytes.
+    """
     anchor, doc, place, low = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-    row, at, k1, k2 = _window_keys(place, low, [r[4] for r in rows])
-    k1 = _mixed(k1 + anchor[row].view(np.uint64) * _SECOND)
-    order = np.lexsort((row, k2, k1))
-    row, at, k1, k2 = row[order], at[order], k1[order], k2[order]
-    again = np.zeros(len(row), bool)
-    again[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(row))))
-    again &= (doc[row] != doc[row[first]]) | (at != at[first])
-    row, at = row[again], at[again]
+    raw = [r[4] for r in rows]
+    left, size = place - low, np.array([len(x) for x in raw])
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    data = np.zeros((_WIDE, len(rows)), np.uint8)
+    data[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(REACH - left, size), np.repeat(np.arange(len(rows)), size)] = flat
+    cell = lambda k: data[k].astype(np.uint64) + np.uint64(1)
+    bases = (_ODD, _SECOND)
+    tops = [np.uint64(pow(int(b), WINDOW - 1, 1 << 64)) for b in bases]
+    rolled = [np.zeros(len(rows), np.uint64) for _ in bases]
+    for k in range(REACH + WINDOW - 1, REACH - 1, -1):
+        rolled = [h * b + cell(k) for h, b in zip(rolled, bases)]
+    group, found_row, found_at = anchor.view(np.uint64) * _SECOND, [], []
+    for shift in range(REACH + 1):
+        if shift:
+            rolled = [(h - cell(_WIDE - shift) * t) * b + cell(REACH - shift) for h, b, t in zip(rolled, bases, tops)]
+        row = np.flatnonzero((shift <= left) & (WINDOW - shift <= size - left))
+        k1, k2 = _mixed(_mixed(rolled[0][row]) + group[row]), rolled[1][row]
+        order = np.lexsort((row, k2, k1))
+        row, k1, k2 = row[order], k1[order], k2[order]
+        again = np.zeros(len(row), bool)
+        again[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(row))))
+        again &= (doc[row] != doc[row[first]]) | (place[row] != place[row[first]])
+        found_row.append(row[again])
+        found_at.append(place[row[again]] - shift)
+    row, at = np.concatenate(found_row), np.concatenate(found_at)
     order = np.lexsort((at, row))
     row, at = row[order], at[order]
     new = np.ones(len(row), bool)
