@@ -1,5 +1,10 @@
 """Queries that have to cover every row of their tables, on tables where a subset would show."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkcell.operators import glm
 from sparkcell.plans import views as v
 from sparkcell.plans.catalog import QUERIES
 from tests.compare import SF, agrees
@@ -12,3 +17,23 @@ def test_p_adjust_covers_all_events(spark):
     assert query(spark, SF).count() == v.table(spark, SF, "events").count()
     assert "% 5" not in sql
     agrees(spark, query, sql)
+
+
+def test_gaussian_fits_cover_all_genes(spark):
+    query, sql = QUERIES["q29b_gaussian_fits_all"]
+    assert v.x1(spark, LARGER).counts.select("gene_id").distinct().count() > 200 and "< 200" not in sql
+    agrees(spark, query, sql, LARGER)
+
+
+def test_binomial_fits_cover_all_genes_and_cells(spark):
+    ds = v.x2(spark, LARGER)
+    cells = ds.cells.join(v.factors(ds), "cell_id").orderBy("cell_id").toPandas()
+    assert (cells.cell_id >= 400).any()
+    x = np.column_stack([np.ones(len(cells)), cells.covariate / 10000])
+    rows = ds.counts.select("gene_id", "cell_id", F.floor(F.col("value") / 20).cast("double").alias("y")).toPandas()
+    got = {(r.gene_id, r.term): r.estimate for r in QUERIES["q33e_binomial"][0](spark, LARGER).collect()}
+    assert {g for g, _ in got} == set(rows.gene_id) and len(set(rows.gene_id)) > 3
+    for gene in sorted(set(rows.gene_id))[::6]:
+        y = rows[rows.gene_id == gene].set_index("cell_id").y.reindex(cells.cell_id).fillna(0).to_numpy()
+        want = glm.fit((y > 0).astype(float), x, np.log(cells.size_factor.to_numpy()), "binomial").beta
+        assert [got[gene, "(Intercept)"], got[gene, "covariate"]] == pytest.approx(want, abs=1e-6)
