@@ -111,13 +111,22 @@ def q23(s, d):
 def spatial_inputs(s, d):
     x = v.r1(s, d)
     w = sp.weights(nb.knn(x, x, 8, exclude_self=True))
-    values = x.select("cell_id", F.posexplode("vec").alias("gene_id", "value")).where("gene_id < 12 and value > 0")
+    values = x.select("cell_id", F.posexplode("vec").alias("gene_id", "value")).where("value > 0")
     return values, x.select("cell_id"), w
 
 
+def moran_geary(values, cells, w):
+    return sp.graph_statistics(values, cells, w).select("gene_id", *(r6(c).alias(c) for c in ("morans_i", "e_i", "z_i", "gearys_c", "z_c")))
+
+
 def q25(s, d):
+    """The dimensions that S25 is about; q25c has all."""
     values, cells, w = spatial_inputs(s, d)
-    return sp.graph_statistics(values, cells, w).select("gene_id", *(r6(c).alias(c) for c in ("morans_i", "e_i", "z_i", "gearys_c", "z_c")))
+    return moran_geary(values.where("gene_id < 12"), cells, w)
+
+
+def q25c(s, d):
+    return moran_geary(*spatial_inputs(s, d))
 
 
 S25 = f"""with {V}, k as ({knn_sql(8, EUCLID, own=False)}), w as (select id as i, nb as j, 0.125::double as w from k), n as (select count(*)::double as n from v),
@@ -127,6 +136,7 @@ c as (select n, (select sum(w) from w) as s0, (select sum(pow(coalesce(a.w, 0) +
 q as (select g, n / s0 * wz / ss as i, -1 / (n - 1) as e, (n * (s1 * (n * n - 3 * n + 3) - n * s2 + 3 * s0 * s0) - k * (s1 * (n * n - n) - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - 1 / pow(n - 1, 2) as vi,
 (n - 1) / (2 * s0) * wd / ss as gc, ((n - 1) * s1 * (n * n - 3 * n + 3 - k * (n - 1)) - 0.25::double * (n - 1) * s2 * (n * n + 3 * n - 6 - k * (n * n - n + 2)) + s0 * s0 * (n * n - 3 - k * pow(n - 1, 2))) / (n * (n - 2) * (n - 3) * s0 * s0) as vc from st join cr using (g) cross join c)
 select g::int as gene_id, {r('i')} as morans_i, {r('e')} as e_i, {r('(i - e) / sqrt(vi)')} as z_i, {r('gc')} as gearys_c, {r('(1 - gc) / sqrt(vc)')} as z_c from q"""
+S25C = S25.replace("range(12)", "range(64)")
 
 
 def q25b(s, d):
@@ -226,7 +236,7 @@ QUERIES = {
     "q55_graph_segments": (q55, S55),
     "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18("1 - list_cosine_similarity(q.e, s.e)")), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
     "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
-    "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, None), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, None),
+    "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, None), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, None), "q25c_moran_geary_all": (q25c, S25C),
     "q26_label_transfer": (q26, S26), "q27_value_transfer": (q27, S27), "q28_fill_labels": (q28, S28), "q39_mutual_pairs": (q39, S39),
     "q43_cell_tree": (q43, S43), "q44a_pseudotime": (q44, None), "q44b_degrees": (q44b, S44B), "q45_path_subset": (q45, S45),
 }

@@ -37,3 +37,20 @@ def test_binomial_fits_cover_all_genes_and_cells(spark):
         y = rows[rows.gene_id == gene].set_index("cell_id").y.reindex(cells.cell_id).fillna(0).to_numpy()
         want = glm.fit((y > 0).astype(float), x, np.log(cells.size_factor.to_numpy()), "binomial").beta
         assert [got[gene, "(Intercept)"], got[gene, "covariate"]] == pytest.approx(want, abs=1e-6)
+
+
+def test_tsne_lays_out_all_points(spark):
+    assert {r.cell_id for r in QUERIES["q40g_tsne"][0](spark, SF).collect()} == {r.cell_id for r in v.r1(spark, SF).select("cell_id").collect()}
+
+
+def test_matrix_files_hold_all_cells(spark):
+    query, sql = QUERIES["q49b_matrix_files_all"]
+    assert v.x1(spark, LARGER).cells.where("cell_id >= 40").count() and "< 40" not in sql
+    agrees(spark, query, sql, LARGER)
+
+
+def test_graph_tests_cover_all_dimensions(spark):
+    query, sql = QUERIES["q25c_moran_geary_all"]
+    agrees(spark, query, sql)
+    want = set(range(len(v.r1(spark, SF).first().vec)))
+    assert {r.gene_id for r in QUERIES["q25b_graph_test"][0](spark, SF).collect()} == want and "range(64)" in sql
