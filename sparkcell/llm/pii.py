@@ -80,6 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Regions: numbers with separators, and words around a spelt-out at sign.
 NUMERIC = re.compile(r"[0-9][0-9()./\x20-]{6,}[0-9]")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]+\x20?[(\[{](?:at|AT)[)\]}]\x20?[A-Za-z0-9-]+(?:\x20?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?[A-Za-z0-9-]+)+")
+SIGN = re.compile(r"[(\[{](?:at|AT)[)\]}]")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "mastercard", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax", "telefon")}
 HINT = {w: k for k, ws in HINTS.items() for w in ws}
@@ -97,8 +98,7 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
             begin -= 1
         if sum(c.isdigit() for c in m[0]) >= 7:
             yield begin, m.end()
-    low = text.find("at")
-    if low >= 0 and re.search(r"[(\[{](?:at|AT)[)\]}]", text):
+    if SIGN.search(text):
         for m in SPELT.finditer(text):
             yield m.start(), m.end()
 

@@ -403,6 +403,15 @@ def test_semi_markov_field():
     assert pii.expected(n, segs, sc)[segs.index((0, 1)), 0] == pytest.approx(brute)
 
 
+def found_kinds(text):
+    return [(pii.KINDS[k], text[s:e]) for s, k, e in pii.added_spans(text, [], pii.trained())]
+
+
+def test_upper_case_addresses():
+    address = "JOHN.DOE [AT] EXAMPLE [DOT] COM"
+    assert found_kinds(f"WRITE {address} NOW") == [("email", address)]
+
+
 def repeat_brute(rows):
     """Bytes to remove, by a table of all windows."""
     raw = {k: (t or "").encode() for k, t in rows if k is not None}
