@@ -2,9 +2,11 @@
 
 The patterns give the base spans, which always stay. The field adds spans that they miss: numbers
 in other writings and addresses with the signs spelt out. It works on regions, runs of text that
-may hold such data, cut into tokens. A candidate segment is up to LONGEST tokens with a type; its
-features look at the whole span and what stands before and after it. Dynamic programming over
-segments and types chooses boundaries and types of a region jointly, at a cost of tokens * LONGEST.
+may hold such data, cut into tokens. A spelt-out sign with its spaces, the name before an at sign and
+each label after it are one token. A candidate segment is up to LONGEST tokens with a type, or up to
+ADDRESS_LONGEST from such a name; its features look at the whole span and what stands before and
+after it. Dynamic programming over segments and types chooses boundaries and types of a region
+jointly, at a cost of tokens * LONGEST, and ADDRESS_LONGEST for each name.
 
 Weights are trained on the driver by conditional log-likelihood over labelled regions made by rule
 from a fixed seed (SAMPLES of them, a documented bound) and sent with the task.
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import prepare, table
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Tokens in a segment at most; a longer span is no personal data of these types.
+#: Tokens in a segment at most, but for spelt-out addresses.
 LONGEST = 20
+#: Tokens in a spelt-out address at most: a domain has 253 characters, so 127 labels, at most.
+ADDRESS_LONGEST = 2 + 2 * 127 - 1
 SAMPLES = 240
 EPOCHS = 6
 
@@ -81,13 +85,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 NUMERIC = re.compile(r"[0-9][0-9()./\x20-]{6,}[0-9]")
 SPELT = re.compile(r"[A-Za-z0-9._%+-]+\x20?[(\[{](?:at|AT)[)\]}]\x20?[A-Za-z0-9-]+(?:\x20?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?[A-Za-z0-9-]+)+")
 SIGN = re.compile(r"[(\[{](?:at|AT)[)\]}]")
+#: A label, or what stands between two.
+PART = re.compile(r"\x20?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?|[A-Za-z0-9-]+")
+MORE = re.compile(r"\s?[(\[{](?:dot|DOT)[)\]}]\s?[A-Za-z0-9-]|\.[A-Za-z0-9-]")
+STOP = re.compile(r"\.\s")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "mastercard", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax", "telefon")}
 HINT = {w: k for k, ws in HINTS.items() for w in ws}
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[{](?:at|AT)[)\]}]\s?[A-Za-z0-9-]+(?:\s?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\s?[A-Za-z0-9-]+)*\s?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\s?[A-Za-z]{2,}")
 AREA = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?\(0?[0-9]{2,4}\)[ ]?[0-9]{3,4}([ .-][0-9]{2,4}){1,3}")
 GROUPED = re.compile(r"(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
-FEATURES = ["bias", "length", "spelt", "area", "grouped", "date", "digits7_9", "digits10_12", "digits13", "digits14_19", "luhn14_19", "digits20", "one_run", "four_parts", "parts_255", "slash", "joined_left", "joined_right", "space_edge", "letters", "hint_email", "hint_ip", "hint_card", "hint_phone", "few_digits", "fours"]
+FEATURES = ["bias", "length", "spelt", "area", "grouped", "date", "digits7_9", "digits10_12", "digits13", "digits14_19", "luhn14_19", "digits20", "one_run", "four_parts", "parts_255", "slash", "joined_left", "joined_right", "space_edge", "letters", "hint_email", "hint_ip", "hint_card", "hint_phone", "few_digits", "fours", "more_labels", "stop_inside"]
 DATE = re.compile(r"(?:19|20)[0-9]{2}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:19|20)?[0-9]{2}")
 
 
@@ -134,15 +142,35 @@ def features(text: str, begin: int, end: int, hint: str) -> list[float]:
         *(float(hint == k) for k in KINDS),
         float(n < 7),
         float(bool(re.fullmatch(r"[0-9]{4}(?:[ .][0-9]{4}){2}[ .][0-9]{1,7}", span))),
+        float(bool(MORE.match(text, end))),
+        float(bool(STOP.search(span))),
     ]
 
 
+def tokens(text: str, begin: int, end: int) -> tuple[list[int], set[int]]:
+    """Token edges of a region, and the numbers of the tokens that are names before an at sign."""
+    edges, names, done = [], set(), begin
+    for m in SPELT.finditer(text, begin, end) if SIGN.search(text, begin, end) else ():
+        sign = SIGN.search(text, m.start())
+        edges += [x.start() for x in TOKEN.finditer(text, done, m.start())]
+        names.add(len(edges))
+        after = sign.end() + (text[sign.end()] == " ")
+        edges += [m.start(), sign.start() - (text[sign.start() - 1] == " "), *(x.start() for x in PART.finditer(text, after, m.end()))]
+        done = m.end()
+    return [*edges, *(x.start() for x in TOKEN.finditer(text, done, end)), end], names
+
+
+def reach(i: int, n: int, names: set[int]) -> int:
+    """The last edge of the segments from edge i, of n tokens."""
+    return min(n, i + (ADDRESS_LONGEST if i in names else LONGEST))
+
+
 def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
     """Token edges of a region, all segments (from edge, to edge) and their features."""
-    edges = [m.start() + begin for m in TOKEN.finditer(text[begin:end])] + [end]
+    edges, names = tokens(text, begin, end)
     words = re.findall(r"[a-z]+", text[max(0, begin - 24) : begin].lower())[-2:]
     hint = next((HINT[w] for w in reversed(words) if w in HINT), "")
-    segments = [(i, j) for i in range(len(edges) - 1) for j in range(i + 1, min(len(edges), i + LONGEST + 1))]
+    segments = [(i, j) for i in range(len(edges) - 1) for j in range(i + 1, reach(i, len(edges) - 1, names) + 1)]
     return edges, segments, np.array([features(text, edges[i], edges[j], hint) for i, j in segments])
 
 
@@ -204,7 +232,8 @@ def samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int, int, list[
 
     def address() -> str:
         o, c = r.choice(["()", "[]", "{}"])
-        return f"{word()}.{word()} {o}at{c} {word()} {o}dot{c} {r.choice(['com', 'org', 'net', 'de'])}"
+        s, labels = r.choice([" ", " ", ""]), [word() for _ in range(r.choice([1, 1, 2, 3]))]
+        return ".".join(word() for _ in range(r.randint(1, 3))) + f"{s}{o}at{c}{s}" + f"{s}{o}dot{c}{s}".join([*labels, r.choice(["com", "org", "net", "de"])])
 
     plain = [lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: d(r.randint(8, 13)), lambda: f"{d(1)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(2)} {d(4)}", lambda: f"{d(5)}-{d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: d(r.choice([14, 15, 16, 20, 24])), lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", lambda: f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"]
     makers = [(address, 1), (card, 3), (phone, 4)]
@@ -219,6 +248,8 @@ def samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int, int, list[
         text += entity
         if r.random() < 0.2 and kind != 1:
             text += f" {d(r.randint(1, 3))}"
+        if r.random() < 0.2 and kind == 1:
+            text += f". {word()}"
         out.append((text + f" {word()}", len(lead), len(text), labels))
     return out
 

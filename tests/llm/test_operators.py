@@ -412,6 +412,12 @@ def test_upper_case_addresses():
     assert found_kinds(f"WRITE {address} NOW") == [("email", address)]
 
 
+def test_long_addresses_are_whole():
+    for address in ["john.doe [at] mail [dot] example [dot] com", "j.r.r.van.der.berg (at) a (dot) b (dot) c (dot) example (dot) org", "x{at}" + "{dot}".join(["sub"] * 14) + "{dot}net", ".".join(["name"] * 12) + " [at] example.co [dot] uk"]:
+        assert found_kinds(f"write {address} now") == [("email", address)]
+        assert pii.masked(f"write {address}. Then wait", pii.trained()) == "write [EMAIL]. Then wait"
+
+
 def repeat_brute(rows):
     """Bytes to remove, by a table of all windows."""
     raw = {k: (t or "").encode() for k, t in rows if k is not None}
