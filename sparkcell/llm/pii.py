@@ -31,6 +31,8 @@ KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 20
 #: Tokens in a spelt-out address at most: a domain has 253 characters, so 127 labels, at most.
 ADDRESS_LONGEST = 2 + 2 * 127 - 1
+#: Edges whose segments are scored together.
+STARTS = 64
 SAMPLES = 240
 EPOCHS = 6
 
@@ -165,11 +167,15 @@ def reach(i: int, n: int, names: set[int]) -> int:
     return min(n, i + (ADDRESS_LONGEST if i in names else LONGEST))
 
 
+def hint_before(text: str, begin: int) -> str:
+    words = re.findall(r"[a-z]+", text[max(0, begin - 24) : begin].lower())[-2:]
+    return next((HINT[w] for w in reversed(words) if w in HINT), "")
+
+
 def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
     """Token edges of a region, all segments (from edge, to edge) and their features."""
     edges, names = tokens(text, begin, end)
-    words = re.findall(r"[a-z]+", text[max(0, begin - 24) : begin].lower())[-2:]
-    hint = next((HINT[w] for w in reversed(words) if w in HINT), "")
+    hint = hint_before(text, begin)
     segments = [(i, j) for i in range(len(edges) - 1) for j in range(i + 1, reach(i, len(edges) - 1, names) + 1)]
     return edges, segments, np.array([features(text, edges[i], edges[j], hint) for i, j in segments])
 
@@ -200,6 +206,27 @@ def best(n: int, segments: list[tuple[int, int]], score: np.ndarray) -> list[tup
     return out[::-1]
 
 
+def decoded(text: str, begin: int, end: int, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """What best() finds in a region, as (start, kind's number, end). Features are made for the
+    segments from STARTS edges at a time, so a region may be of any length."""
+    edges, names = tokens(text, begin, end)
+    hint, n = hint_before(text, begin), len(edges) - 1
+    total, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
+    for first in range(0, n, STARTS):
+        segments = [(i, j) for i in range(first, min(n, first + STARTS)) for j in range(i + 1, reach(i, n, names) + 1)]
+        score = scores(segments, np.array([features(text, edges[i], edges[j], hint) for i, j in segments]), weights)
+        for (i, j), kind, top in zip(segments, score.argmax(1).tolist(), score.max(1).tolist()):
+            if total[i] + top > total[j]:
+                total[j], back[j] = total[i] + top, (i, kind)
+    out, j = [], n
+    while j:
+        i, kind = back[j]
+        if kind:
+            out.append((edges[i], kind - 1, edges[j]))
+        j = i
+    return out[::-1]
+
+
 def expected(n: int, segments: list[tuple[int, int]], score: np.ndarray) -> np.ndarray:
     """Posterior probability of each segment with each type, by the forward-backward sums."""
     weight = np.logaddexp.reduce(score, 1)
@@ -286,10 +313,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
     out, taken = [], [(s, e) for s, _, e in base]
     for begin, end in regions(text):
         for a, b in _outside(begin, end, taken):
-            for lo, hi in _pieces(text, a, b):
-                edges, segments, values = lattice(text, lo, hi)
-                if segments:
-                    out += [(edges[i], kind - 1, edges[j]) for i, j, kind in best(len(edges) - 1, segments, scores(segments, values, weights)) if kind]
+            out += decoded(text, a, b, weights)
     return sorted(set(out))
 
 
@@ -305,16 +329,6 @@ def _outside(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[i
     return [(a, b) for a, b in out if b - a >= 7]
 
 
-def _pieces(text: str, begin: int, end: int, size: int = 400) -> list[tuple[int, int]]:
-    """A very long region in pieces that end at white space, where there is any."""
-    out = []
-    while end - begin > size:
-        cut = max(text.rfind(" ", begin, begin + size), begin + size // 2)
-        out.append((begin, cut))
-        begin = cut
-    return [*out, (begin, end)]
-
-
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -418,6 +418,15 @@ def test_long_addresses_are_whole():
         assert pii.masked(f"write {address}. Then wait", pii.trained()) == "write [EMAIL]. Then wait"
 
 
+def test_long_regions_are_not_cut():
+    numbers = [f"555 123 {4567 + k}" for k in range(120)]
+    assert [x for _, x in found_kinds(f"call {' '.join(numbers)} now")] == numbers
+    text, weights = "call " + "/".join(numbers) + " now", pii.trained()
+    edges, segments, values = pii.lattice(text, 5, len(text) - 4)
+    want = [(edges[i], k - 1, edges[j]) for i, j, k in pii.best(len(edges) - 1, segments, pii.scores(segments, values, weights)) if k]
+    assert pii.decoded(text, 5, len(text) - 4, weights) == want
+
+
 def repeat_brute(rows):
     """Bytes to remove, by a table of all windows."""
     raw = {k: (t or "").encode() for k, t in rows if k is not None}
