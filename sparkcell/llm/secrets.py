@@ -25,7 +25,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: length inside the last two patterns drops just what a check afterwards would.
 BASE = {"assign": (ASSIGN, 12, 2), "access": ("AKIA[A-Z0-9]{14,}", 18, 0), "hex": ("[0-9a-f]{16,}", 16, 0)}
 KINDS = [*BASE, "markov"]
-#: Runs that the models judge: key characters, with a digit and a letter.
+#: Runs that the models judge: key characters, of whatever kinds.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 4000
@@ -41,14 +41,30 @@ image color width height left right top bottom total average sum result input ou
 create remove find search sort filter group join split merge copy move open close read write load save send receive model
 view control layer weight batch epoch train valid embed vector matrix tensor shape dimension feature label sample""".split()
 
+#: Parts of long words.
+WORD_PARTS = """inter nation al iz ation ment able ness ful less tion sion ity ing ed er est ly over under counter respons ib il character
+ist ic pro fess or com muni cat ion re con struct ive dis ad vant age ous environ mental develop govern under stand work shop day light
+ver ge be ent er zer auf aus ein un vor nach lich keit heit schaft ung en isch bar haft sam los stadt haus arbeit zeit gesell schafts
+versicherung bund es recht land wirtschaft kraft fahr zeug donau dampf schiff fahrt kapit pf sch ach eit chen berg bach stein
+eau eux aux elle ille ence ance ique isme iste oire eur euse ment aire ouv ent re des mal heureux que lle ou eurs
+mente cion dad idad ando iendo ado ido os as es ar er ir able oso osa ista ismo para contra sobre entre des con""".split()
+
 
 def training_samples(n: int = SAMPLES, seed: int = 7) -> tuple[list[str], list[str]]:
-    """n random strings and n ordinary identifiers, the labelled samples."""
+    """n random strings and n ordinary identifiers, words and rulers, the labelled samples."""
     r = random.Random(seed)
-    sets = ["0123456789abcdef", SYMBOLS[:62], SYMBOLS[:64], SYMBOLS[26:62], SYMBOLS[:26] + "0123456789", SYMBOLS]
+    sets = ["0123456789abcdef", SYMBOLS[:62], SYMBOLS[:64], SYMBOLS[26:62], SYMBOLS[:26] + "0123456789", SYMBOLS, SYMBOLS[:52], SYMBOLS[:26], SYMBOLS[26:52]]
     noise = ["".join(r.choice(sets[k % len(sets)]) for _ in range(r.randint(20, 64))) for k in range(n)]
     names = []
     for _ in range(n):
+        kind = r.random()
+        if kind < 0.04:  # rulers
+            names.append(r.choice(SYMBOLS) * r.randint(20, 64))
+            continue
+        if kind < 0.3:  # long words
+            long = "".join(r.choice(WORD_PARTS) for _ in range(r.randint(5, 9)))
+            names.append(r.choice([long, long, long.capitalize(), long.upper()]))
+            continue
         parts = [r.choice(PARTS) for _ in range(r.randint(3, 7))]
         if r.random() < 0.4:
             parts[r.randrange(1, len(parts))] = str(r.choice([1, 2, 3, 10, 64, 100, 2024, 2020, r.randint(0, 9999)]))
@@ -141,7 +157,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD
     for rank, (kind, (pattern, least, group)) in enumerate(BASE.items()):
         fails = (lambda x, p=pattern, n=least, g=group: F.length(F.regexp_extract(x, p, g)) < n) if group else (lambda x: F.lit(False))
         rows = rows.withColumn(f"__{kind}", _spans(text, pattern, rank, fails))
-    ordinary = lambda x: ~(x.rlike("[0-9]") & x.rlike("[A-Za-z]")) | (_random(x, ratios, codes) <= threshold)
+    ordinary = lambda x: _random(x, ratios, codes) <= threshold
     rows = rows.withColumn("__markov", _spans(text, CANDIDATE, len(BASE), ordinary))
     rows = rows.withColumn("__base", F.sort_array(F.concat(*(F.col(f"__{k}") for k in BASE))))
     return rows.select(

@@ -498,5 +498,15 @@ def test_markov_models_on_held_out_samples():
     assert sum(secrets.ratio(x, ratios) <= secrets.THRESHOLD for x in names if len(x) >= 20) >= 0.99 * sum(len(x) >= 20 for x in names)
 
 
+def test_keys_of_letters_only_are_judged(spark):
+    r = random.Random(12)
+    sets = [secrets.SYMBOLS[:52], secrets.SYMBOLS[:26], secrets.SYMBOLS[26:52], secrets.SYMBOLS[:62]]
+    keys = ["".join(r.choice(sets[k % 4]) for _ in range(32 if k % 4 < 3 else 20)) for k in range(200)]
+    plain = ["internationalizations", "Donaudampfschifffahrtsgesellschaft", "desafortunadamentemente", "-" * 40, "=" * 30, "_" * 25, "a" * 24, "getUserSessionHandlerFactory"]
+    out = secrets.scan(docs(spark, [(k, f"see {t} there") for k, t in enumerate(keys + plain)]), "doc_id", "text").collect()
+    got = {x.doc_id for x in out if x.n_markov}
+    assert len(got & set(range(200))) >= 196 and not got - set(range(200))
+
+
 def test_the_queries_run_without_limits(spark):
     assert warc.op4_warc(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
