@@ -1,24 +1,28 @@
 """Near-duplicates by MinHash bands, odd sketches and full sets.
 
-1. Each text's set of 3-word shingles gives SAMPLES MinHash samples, BANDS band keys of WIDTH
-   samples (a pair at the threshold shares none once in three million) and coarser keys of 2 and 4
-   bands together. Its odd sketch takes the shingles with the least hashes, the same share of each
-   set of its size (all shingles of a set of up to SAMPLED), and folds them into a parity bitmap of
-   BITS bits. The bits in which two sketches differ count the sampled shingles that the sets don't
-   share: never more than there are, and hardly fewer.
+1. Each text's set of word shingles gives MinHash samples for as many bands of WIDTH samples as let
+   a pair at the threshold share none once in 1 / MISS times, and coarser keys of 2 and 4 bands
+   together. PLACES further MinHash samples, one for each place of a one-permutation hash (the least
+   hash of the shingles that fall there; a place without any has none), are folded into its odd
+   sketch, a parity bitmap of BITS bits: each sample (place, value) flips one bit. Samples that two
+   texts share cancel, so the bits in which two sketches differ count the samples they don't share;
+   from that count and the numbers of samples comes the estimate of the sets' similarity.
 2. Texts with equal sets are one class from here on; the least id stands for it.
 3. In each bucket (texts with one key) every text is paired with the bucket's hub only, the member
    whose own buckets are fullest: bases of copies are hubs. So a bucket of n gives n - 1 pairs.
-   Sketches drop pairs far below the threshold, full sets confirm the rest, and components are
-   taken.
+   Pairs whose estimate lies more than SLACK standard deviations below the threshold go, full sets
+   confirm the rest, and components are taken.
 4. What stars can miss: a bucket with members of several components. There, each member outside
    the hub's component is compared with the members of other components, sketch by sketch in
    blocks of BLOCK by BLOCK, in the join's condition. Pairs that pass are confirmed on full sets.
    Pairs inside a component are never made. Components are taken again. No bucket is capped.
+
+Joins with a bucket's one row are salted by its size, SALT members at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,27 +33,35 @@ from pyspark.sql import functions as F
 from .common import prepare, stored, table
 from .graph import components
 
-BANDS, WIDTH = 20, 4
-SAMPLES = BANDS * WIDTH
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Bits of a sketch, and the most shingles that go into it (on average).
-BITS, SAMPLED = 1024, 512
-#: Standard deviations that a sampled pair may lie beyond the threshold and still go on.
+WIDTH = 4
+#: Chance that a pair at the threshold shares no band.
+MISS = 4e-7
+#: Words of a shingle, and links need 100 * intersection >= percent * union: of op3's contract, and
+#: of other uses.
+OP3_SHINGLE, OP3_PERCENT = 3, 85
+SHINGLE, PERCENT = 5, 80
+#: Places of the one-permutation hash whose samples a sketch folds, and its bits.
+PLACES, BITS = 512, 1024
+#: Standard deviations that an estimate may lie below the threshold.
 SLACK = 6
-SHINGLE = 3
+SALT = 1024
 BLOCK = 256
 #: Members that one copy of a hub's text is sent along with.
 CHUNK = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, 512, dtype=np.uint64)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 
 
+def bands(percent: int) -> int:
+    """Bands of WIDTH samples, a multiple of 4, of which a pair at the threshold shares one."""
+    return min(len(_A) // WIDTH, 4 * math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** WIDTH)) / 4)) if percent < 100 else 4
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -85,16 +97,16 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(first, begin, "right") - 1, hashes
 
 
-def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, hash) of each distinct shingle, ordered by both."""
     doc, word = word_hashes(texts)
     counts = np.bincount(doc, minlength=len(texts))
-    times = [np.uint64((2 * k + 3) * int(_BASE) & (1 << 64) - 1) for k in range(SHINGLE)]
-    whole = np.flatnonzero(doc[: max(0, len(doc) - SHINGLE + 1)] == doc[SHINGLE - 1 :]) if len(doc) >= SHINGLE else np.zeros(0, np.int64)
-    value = mixed(sum(word[whole + k] * times[k] for k in range(SHINGLE))) if len(whole) else np.zeros(0, np.uint64)
+    times = [np.uint64((2 * k + 3) * int(_BASE) & (1 << 64) - 1) for k in range(shingle)]
+    whole = np.flatnonzero(doc[: max(0, len(doc) - shingle + 1)] == doc[shingle - 1 :]) if len(doc) >= shingle else np.zeros(0, np.int64)
+    value = mixed(sum(word[whole + k] * times[k] for k in range(shingle))) if len(whole) else np.zeros(0, np.uint64)
     owner = doc[whole]
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    few = np.flatnonzero((counts > 0) & (counts < shingle))
     if len(few):
         short = np.array([mixed(np.array([sum(int(word[first[d] + k]) * int(times[k]) for k in range(counts[d])) + int(counts[d]) & (1 << 64) - 1], np.uint64))[0] for d in few], np.uint64)
         owner, value = np.concatenate([owner, few]), np.concatenate([value, short])
@@ -105,20 +117,21 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], value[new]
 
 
-def signed(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of each text: set size, two hashes of the set, all keys, the level (a share of 2 ** -level of
-    the shingles is sampled), and the sketches at this level and the next, as 64-bit words."""
-    owner, value = shingle_sets(texts)
-    n = np.bincount(owner, minlength=len(texts))
+def signed(texts: list[str | None], shingle: int, percent: int) -> tuple[np.ndarray, ...]:
+    """Of each text: set size, two hashes of the set, all keys, the number of samples that its
+    sketch folds, and the sketch, as 64-bit words."""
+    owner, value = shingle_sets(texts, shingle)
+    m, n = bands(percent) * WIDTH, np.bincount(owner, minlength=len(texts))
     some = np.flatnonzero(n)
     first = np.concatenate([[0], np.cumsum(n[some])[:-1]]).astype(np.int64) if len(some) else np.zeros(0, np.int64)
     sums = np.zeros((2, len(texts)), np.uint64)
-    samples = np.zeros((len(texts), SAMPLES), np.uint64)
+    samples = np.zeros((len(texts), m), np.uint64)
     if len(some):
         sums[0, some] = np.add.reduceat(mixed(value), first)
         sums[1, some] = np.add.reduceat(mixed(value ^ _BASE), first)
-        for k in range(SAMPLES):
+        for k in range(m):
             samples[some, k] = np.minimum.reduceat((value * _A[k] + _B[k]) >> np.uint64(24), first)
+
     def folded(rows: np.ndarray, tag: int) -> np.ndarray:
         out = np.full(rows.shape[:2], np.uint64(tag), np.uint64)
         for j in range(rows.shape[2]):
@@ -126,26 +139,31 @@ def signed(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         return mixed(out + np.arange(rows.shape[1], dtype=np.uint64))
 
     keys = np.concatenate([folded(samples.reshape(len(texts), -1, WIDTH * w), w) for w in (1, 2, 4)], 1)
-    level = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / SAMPLED))).astype(np.int64)
-    place, rank = mixed(value * _BASE), mixed(value ^ (_BASE >> np.uint64(7)))
+    # One permutation: a hash's high bits are its place, and the least hash of a place its sample.
+    hashed = mixed(value * _BASE)
+    place = owner * PLACES + (hashed >> np.uint64(55)).astype(np.int64)
+    least = np.full(len(texts) * PLACES, ~np.uint64(0))
+    np.minimum.at(least, place, hashed)
+    at = np.flatnonzero(np.bincount(place, minlength=len(least)))
+    doc, bit = at // PLACES, (mixed(least[at] ^ (_BASE >> np.uint64(7))) % np.uint64(BITS)).astype(np.int64)
+    parity = np.packbits((np.bincount(doc * BITS + bit, minlength=len(texts) * BITS) & 1).astype(np.uint8)).view(np.int64).reshape(len(texts), -1)
+    return n, sums[0].view(np.int64), sums[1].view(np.int64), keys.view(np.int64), np.bincount(doc, minlength=len(texts)), parity
 
-    def parity(extra: int) -> np.ndarray:
-        share = (level + extra)[owner].astype(np.uint64)
-        on = (share == 0) | ((rank >> (np.uint64(64) - np.maximum(share, np.uint64(1)))) == 0)
-        flat = np.bincount(owner[on] * BITS + (place[on] % np.uint64(BITS)).astype(np.int64), minlength=len(texts) * BITS)
-        return np.packbits((flat & 1).astype(np.uint8)).view(np.int64).reshape(len(texts), -1)
 
-    return n, sums[0].view(np.int64), sums[1].view(np.int64), keys.view(np.int64), level, parity(0), parity(1)
+SKETCH = ("m", "sketch")
 
 
-SKETCH = ("level", "sketch", "half")
+def _sign(shingle: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s1, s2, keys, m, sketch = signed(batch.column(1).to_pylist(), shingle, percent)
+            lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists(keys), pa.array(m.astype(np.int64)), lists(sketch)], ["doc", "n", "s1", "s2", "keys", "m", "sketch"])
+
+    return run
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, s1, s2, keys, level, sketch, half = signed(batch.column(1).to_pylist())
-        lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), lists(keys), pa.array(level), lists(sketch), lists(half)], ["doc", "n", "s1", "s2", "keys", "level", "sketch", "half"])
+SIGNS = "doc long, n long, s1 long, s2 long, keys array<long>, m long, sketch array<long>"
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -156,26 +174,38 @@ def differing(a: Column, b: Column) -> Column:
     return out
 
 
-def _near(x: str, y: str) -> Column:
-    """Whether set sizes and sketches allow a link. A link's sets differ in at most
-    (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes. Sketches are compared at the
-    higher of the two levels, which differ by one at most if the sizes allow a link."""
-    c = lambda k, side: F.col(f"{k}_{side}")
-    sizes = F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * PERCENT
-    own = lambda side, other: F.when(c("level", side) >= c("level", other), c("sketch", side)).otherwise(c("half", side))
-    most = (c("n", x) + c("n", y)) * ((100 - PERCENT) / (100 + PERCENT)) / F.pow(F.lit(2.0), F.greatest(c("level", x), c("level", y)))
-    most = F.when(F.greatest(c("level", x), c("level", y)) == 0, most).otherwise(most + SLACK * F.sqrt(most))
-    return sizes & (differing(own(x, y), own(y, x)) <= most + 1e-9)
-
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether set sizes and the sketches' estimate allow a link.
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    At the threshold t the union has (n_x + n_y) / (1 + t) shingles and fills `places` places (as
+    expected, and as many more as the two sets fill above what is expected of them), of which a
+    share of t have a common sample. z differing bits stand for
+    -BITS / 2 * ln(1 - 2 z / BITS) samples that are not common, so (m_x + m_y - that) / 2 are.
+    The estimate errs by the choice of samples and by bits that cancel by chance.
+    """
+    t = percent / 100
+    c = lambda k, side: F.col(f"{k}_{side}")
+    sizes = F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * percent
+    filled = lambda n: PLACES * (1 - F.pow(F.lit(1 - 1 / PLACES), n))
+    places = filled((c("n", x) + c("n", y)) / (1 + t)) + (c("m", x) - filled(c("n", x)) + c("m", y) - filled(c("n", y))) / 2
+    apart = F.least(differing(c("sketch", x), c("sketch", y)) * (2.0 / BITS), F.lit(0.999))
+    lost = -BITS / 2 * F.log(1 - apart)
+    # At the threshold, `there` samples are not common; what they add to the variance of `lost` is
+    # BITS / 4 * (e ** r - 1 - r) with r = 4 * there / BITS, as of any odd sketch.
+    there = c("m", x) + c("m", y) - 2 * t * places
+    ratio = F.greatest(there, F.lit(1.0)) * (4.0 / BITS)
+    error = F.sqrt(places * ((1 - t) * (t + 0.25)) + BITS / 16 * (F.exp(ratio) - 1 - ratio))
+    return sizes & ((c("m", x) + c("m", y) - lost) / 2 >= t * places - SLACK * error - 1)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets pass. texts has doc and t. A text travels once for each
     CHUNK pairs in which it is the first, and once for each in which it is the second."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, np.zeros(0, np.uint64)
         for batch in batches:
-            owner, value = shingle_sets(batch.column(3).to_pylist())
+            owner, value = shingle_sets(batch.column(3).to_pylist(), shingle)
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             out = []
             for k, (u, leads, doc) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)))):
@@ -184,7 +214,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     hub, hub_set = u, own
                     continue
                 both = len(np.intersect1d(hub_set, own, assume_unique=True))
-                if u == hub and 100 * both >= PERCENT * (len(hub_set) + len(own) - both):
+                if u == hub and 100 * both >= percent * (len(hub_set) + len(own) - both):
                     out.append((u, doc))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["u", "v"])
 
@@ -196,29 +226,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return jobs.select("u", "leads", "doc", "t").mapInArrow(run, "u long, v long")
 
 
-def classes(signs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, component) of every text with shingles. signs is a stored table of _sign's rows."""
+def _salted(rows: DataFrame, buckets: DataFrame, names: list[str]) -> DataFrame:
+    """rows (key, c, doc, ...) with the columns `names` of buckets (key, c, ...), which has one row
+    a key: a bucket of c members is dealt out in about c / SALT parts."""
+    parts = F.ceil(F.col("c") / SALT).cast("long")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), parts))
+    return left.join(buckets.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), *names), ["key", "salt"]).drop("salt")
+
+
+def links(signs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (rep, s1, s2, n) of equal sets, and edges (u, v) of their representatives whose
+    components are those of all links. signs is a stored table of _sign's rows, one for each doc."""
     same = signs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), *(F.first(k).alias(k) for k in SKETCH))
     same = stored(same, "near-classes")
     marks = same.select(F.col("rep").alias("doc"), "n", *SKETCH)
     keys = same.select(F.col("rep").alias("doc"), F.posexplode("keys").alias("at", "key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stored(keys.join(full, "key"), "near-members")
-    rank = members.groupBy("doc").agg(F.sum(F.when(F.col("at") < BANDS, F.col("c")).otherwise(0)).alias("rank"))
-    hubs = members.join(rank, "doc").groupBy("key").agg(F.max_by("doc", F.struct("rank", -F.col("doc"))).alias("hub"))
-    stars = members.join(hubs, "key").where("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
+    rank = members.groupBy("doc").agg(F.sum(F.when(F.col("at") < bands(percent), F.col("c")).otherwise(0)).alias("rank"))
+    hubs = members.join(rank, "doc").groupBy("key").agg(F.max_by("doc", F.struct("rank", -F.col("doc"))).alias("hub"), F.max("c").alias("c"))
+    stars = _salted(members, hubs, ["hub"]).where("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
     left, right = (marks.select(F.col("doc").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in ("n", *SKETCH))) for x in "uv")
-    near = lambda pairs: pairs.join(left, "u").join(right, "v").where(_near("u", "v")).select("u", "v")
-    links = stored(confirmed(stored(near(stars), "near-pairs"), texts), "near-links")
-    first = components(links)
+    near = lambda pairs: pairs.join(left, "u").join(right, "v").where(_near("u", "v", percent)).select("u", "v")
+    found = stored(confirmed(stored(near(stars), "near-pairs"), texts, shingle, percent), "near-links")
+    first = components(found)
     # Buckets that still hold several components.
-    placed = members.where(F.col("at") < BANDS).join(first, F.col("doc") == F.col("node"), "left")
+    placed = members.where(F.col("at") < bands(percent)).join(first, F.col("doc") == F.col("node"), "left")
     placed = placed.select("key", "at", "c", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed_up = placed.where("c > 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    main = hubs.join(first, F.col("hub") == F.col("node"), "left").select("key", F.coalesce("component", "hub").alias("main"))
-    placed = stored(placed.join(mixed_up, "key").join(main, "key").join(marks, "doc"), "near-mixed")
-    counts = placed.groupBy("key").agg(F.sum((F.col("comp") != F.col("main")).cast("long")).alias("few"))
-    sized = placed.join(counts, "key").select("*", F.ceil(F.col("few") / BLOCK).alias("bf"), F.ceil(F.col("c") / BLOCK).alias("bc"))
+    main = hubs.join(first, F.col("hub") == F.col("node"), "left").select("key", "c", F.coalesce("component", "hub").alias("main"))
+    placed = stored(_salted(placed, main.join(mixed_up, "key"), ["main"]).join(marks, "doc"), "near-mixed")
+    counts = placed.groupBy("key").agg(F.sum((F.col("comp") != F.col("main")).cast("long")).alias("few"), F.max("c").alias("c"))
+    sized = _salted(placed, counts, ["few"]).select("*", F.ceil(F.col("few") / BLOCK).alias("bf"), F.ceil(F.col("c") / BLOCK).alias("bc"))
     block = lambda x: F.pmod(F.xxhash64("doc"), F.greatest(F.col(x), F.lit(1)))
     each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(x), F.lit(1)).cast("long") - 1))
     cols = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", *SKETCH)]
@@ -227,50 +266,95 @@ def classes(signs: DataFrame, texts: DataFrame) -> DataFrame:
     # A pair of two outsiders would come twice.
     once = (F.col("comp_y") == F.col("m")) | (F.col("doc_x") < F.col("doc_y"))
     block_pair = (few["key"] == rest["key"]) & (few["i"] == rest["i"]) & (few["j"] == rest["j"])
-    over = few.join(rest, block_pair & (F.col("comp_x") != F.col("comp_y")) & once & _near("x", "y"))
+    over = few.join(rest, block_pair & (F.col("comp_x") != F.col("comp_y")) & once & _near("x", "y", percent))
     over = over.select(F.col("doc_x").alias("u"), F.col("doc_y").alias("v")).distinct()
     over = over.join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     over = stored(over, "near-pairs")
-    more = None if over.isEmpty() else stored(confirmed(over, texts), "near-links")
-    found = first if more is None or more.isEmpty() else components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    reps = same.select("rep", "s1", "s2", "n").join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    return signs.select("doc", "s1", "s2", "n").join(reps, ["s1", "s2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    edges = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if not over.isEmpty():
+        edges = edges.unionByName(stored(confirmed(over, texts, shingle, percent), "near-links"))
+    return same.select("rep", "s1", "s2", "n"), edges
 
 
-def near_dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: the id, n_shingles, component_id, kept.
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(id, n, component, first) of each row, `first` telling whether the row's document is its
+    component's least; and, where ids repeat, the rows (node, id, t) of such ids, else None.
 
-    Words are split at white space, A-Z read as a-z. A text of one or two words has one shingle, its
-    whole sequence; null, empty and blank texts have none and are linked with nothing. Rows that
-    share an id count as one document. Rows with a null id have a null component_id, are linked with
-    nothing and are kept. An empty table gives an empty result. Other columns are not read.
+    Rows whose id has several sets of shingles are nodes of their own, with numbers above all ids;
+    by_id links those that share an id.
     """
     prepare(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    signs = stored(texts.mapInArrow(_sign, "doc long, n long, s1 long, s2 long, keys array<long>, level long, sketch array<long>, half array<long>"), "near-signs")
-    known = classes(signs.where("doc is not null"), texts.where("doc is not null"))
-    loose = signs.where("doc is null").select("doc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
-    out = known.unionByName(loose)
-    kept = F.coalesce(F.col("doc") == F.col("component"), F.lit(True))
-    return out.select(F.col("doc").alias(id_col), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+    sign = lambda rows: rows.mapInArrow(_sign(shingle, percent), SIGNS)
+    signs = stored(sign(texts), "near-signs")
+    null = signs.where("doc is null").select(F.col("doc").alias("id"), "n", F.lit(None).cast("long").alias("component"), F.lit(True).alias("first"))
+    signs, texts = signs.where("doc is not null"), texts.where("doc is not null")
+    several = signs.groupBy("doc").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc")
+    several, loose = stored(several, "near-shared-ids"), None
+    if not several.isEmpty():
+        top = signs.agg(F.max("doc")).first()[0] + 1
+        loose = stored(texts.join(several, "doc", "left_semi").select((F.monotonically_increasing_id() + F.lit(top)).alias("node"), F.col("doc").alias("id"), "t"), "near-shared-texts")
+        if loose.agg(F.max("node")).first()[0] < top:
+            raise ValueError("ids leave no room for numbers above them")
+        own = loose.select(F.col("node").alias("doc"), "t")
+        signs = stored(signs.join(several, "doc", "left_anti").unionByName(sign(own)), "near-signs")
+        texts = texts.join(several, "doc", "left_anti").unionByName(own)
+    same, edges = links(signs, texts, shingle, percent)
+    if loose is not None and by_id:
+        # Of each class the representative is the node; classes in which one id occurs are linked.
+        nodes = signs.where("n > 0").join(same, ["s1", "s2", "n"]).join(loose.select(F.col("node").alias("doc"), "id"), "doc").groupBy("id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
+        edges = edges.unionByName(nodes.select("u", F.explode("all").alias("v")).where("u <> v"))
+    found = components(edges)
+    reps = same.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    out = signs.select("doc", "s1", "s2", "n").join(reps, ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    if loose is None:
+        return out.select(F.col("doc").alias("id"), "n", "component", (F.col("doc") == F.col("component")).alias("first")).unionByName(null), None
+    out = out.join(loose.select(F.col("node").alias("doc"), F.col("id").alias("real")), "doc", "left").withColumn("real", F.coalesce("real", "doc"))
+    if by_id:  # rows of an id without shingles follow its other rows
+        linked = out.where("n > 0").groupBy("real").agg(F.min("component").alias("of"))
+        out = out.join(linked, "real", "left").withColumn("component", F.coalesce("of", "component"))
+    least = out.groupBy("component").agg(F.min("real").alias("least"))
+    out = out.join(least, "component").select(F.col("real").alias("id"), "doc", "n", F.col("least").alias("component"), (F.col("real") == F.col("least")).alias("first"))
+    return out.select("id", "n", "component", "first", "doc").unionByName(null.withColumn("doc", F.lit(None).cast("long"))), loose
+
+
+def near_dedup(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row: the id, n_shingles, component_id, kept.
+
+    Words are split at white space, A-Z read as a-z. A text of fewer words than a shingle has one
+    shingle, its whole sequence; null, empty and blank texts have none and are linked with nothing.
+    Rows that share an id are one document, which is linked with whatever one of its texts is linked
+    with. Rows with a null id have a null component_id, are linked with nothing and are kept. An
+    empty table gives an empty result. Other columns are not read.
+    """
+    out, _ = _grouped(df, id_col, text_col, shingle, percent, by_id=True)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("first").alias("kept"))
 
 
-def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose document stays, one for each component."""
-    gone = near_dedup(df, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of df whose document stays, one for each component. Where rows with different texts
+    share an id, each row is judged by its own text, so none is lost that is held nowhere else."""
+    out, loose = _grouped(df, id_col, text_col, shingle, percent, by_id=False)
+    gone = out.where("not first")
+    name = next(f"gone{k}" for k in range(len(df.columns) + 1) if f"gone{k}" not in map(str.lower, df.columns))
+    one = gone if loose is None else gone.join(loose, gone["doc"] == loose["node"], "left_anti")
+    left = df.join(one.select(F.col("id").alias(name)).distinct(), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+    if loose is not None:
+        rows = gone.select("doc").join(loose, F.col("doc") == F.col("node")).select(F.col("id").alias(name), F.coalesce("t", F.lit("")).alias(f"{name}t")).distinct()
+        left = left.join(rows, (F.col(f"`{id_col}`").cast("long") == F.col(name)) & (F.coalesce(F.col(f"`{text_col}`"), F.lit("")) == F.col(f"{name}t")), "left_anti")
+    return left
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return near_dedup(table(spark, sf_dir, "documents"), "doc_id", "text", OP3_SHINGLE, OP3_PERCENT)
 
 
 ORACLE = f"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
-s as materialized (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {SHINGLE} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda k: array_to_string(w[k:k + {SHINGLE - 1}], ' ')) end) as s from d)),
+s as materialized (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {OP3_SHINGLE} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {OP3_SHINGLE - 2}), lambda k: array_to_string(w[k:k + {OP3_SHINGLE - 1}], ' ')) end) as s from d)),
 n as materialized (select doc_id, count(*) as n from s group by 1),
 c as (select a.doc_id as u, b.doc_id as v, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
-e as materialized (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * i >= {PERCENT} * (x.n + y.n - i)),
+e as materialized (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * i >= {OP3_PERCENT} * (x.n + y.n - i)),
 b as materialized (select u, v from e union all select v, u from e),
 r as (select doc_id as a, doc_id as z from d union select r.a, b.v from r join b on r.z = b.u),
 m as (select a, min(z) as component_id from r group by 1)

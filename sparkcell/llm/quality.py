@@ -3,9 +3,11 @@
 Each rule votes good (1) or bad (-1) on a document's statistics, or abstains (0). The rules' votes
 are counted by pattern: at most 3 ** len(RULES) rows, however large the corpus. Expectation
 maximisation over these counts estimates each rule's two accuracies, how often it says "bad" of bad
-documents (CAUGHT) and of good ones (WRONG), and the share of good documents. The two stay within
-bounds that don't meet, which keeps "good" from trading places with "bad". A document is kept if its posterior probability of being good is at least 0.5,
-whatever a single rule says: no rule has to pass by itself.
+documents (CAUGHT) and of good ones (WRONG), and the share of good documents. No estimate is bounded:
+the first values alone say which class is "good", and a few pseudo-votes (PRIOR) keep rates off 0 and
+1. Several rules look at each kind of junk, as one rule that no other agrees with is estimated to be
+noise. A document is kept if its posterior probability of being good is at least 0.5, whatever a
+single rule says: no rule has to pass by itself.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+SYMBOLS = "#*$%&|<>"
 #: Statistics of a text; the first five and n_repeat_words are of the fixed definition.
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_stops", "n_digits"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_stops", "n_digits", "n_symbol_words", "n_upper", "n_exclaims"]
 #: name -> (condition for good, condition for bad), in SQL that both engines read.
 RULES = {
     "length": ("n_words >= 50", "n_words < 20"),
@@ -31,14 +34,15 @@ RULES = {
     "variety": ("n_distinct * n_distinct > 16 * n_words", "n_distinct * n_distinct < 4 * n_words"),
     "sentences": ("100 * n_stops >= n_words and 10 * n_stops <= 3 * n_words", "n_words >= 30 and 200 * n_stops < n_words"),
     "digits": ("20 * n_digits < word_chars", "5 * n_digits > word_chars"),
+    "symbol_words": ("50 * n_symbol_words < n_words", "5 * n_symbol_words > n_words"),
+    "capitals": ("6 * n_upper < word_chars", "2 * n_upper > word_chars"),
+    "exclaims": ("50 * n_exclaims < n_words", "5 * n_exclaims > n_words"),
 }
 ITERATIONS = 20
-#: First value and bounds of the share of good documents, of P(bad vote | bad) and P(bad vote | good).
-#: The bounds say what the rules are made for: a bad vote is rarely wrong, but each rule sees a few
-#: kinds of junk only, so a good vote says little.
-SHARE = (0.8, 0.02, 0.98)
-CAUGHT = (0.3, 0.02, 0.35)
-WRONG = (0.002, 0.0005, 0.005)
+#: First value of the share of good documents, of P(bad vote | bad) and of P(bad vote | good).
+SHARE, CAUGHT, WRONG = 0.8, 0.3, 0.02
+#: Pseudo-counts of the three rates: (of the event, of all).
+PRIOR = {"share": (4, 5), "caught": (1, 3), "wrong": (0.2, 10)}
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
@@ -80,13 +84,16 @@ def with_stats(df: DataFrame, text_col: str) -> DataFrame:
     stats = {
         "n_words": _size(F.col("__w")),
         "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": without("#*$%&|<>"),
+        "n_symbols": without(SYMBOLS),
         "n_dup_lines": _size(F.col("__l")) - _size(F.array_distinct("__l")),
         "n_repeat_words": _repeats(F.col("__h")),
         "n_lines": _size(F.col("__l")),
         "n_distinct": _size(F.array_distinct("__w")),
         "n_stops": without(".!?"),
         "n_digits": without("0123456789"),
+        "n_symbol_words": F.when(without(SYMBOLS) == 0, F.lit(0).cast("long")).otherwise(_size(F.filter(words, lambda w: F.translate(w, SYMBOLS, "") != w))),
+        "n_upper": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_exclaims": without("!"),
     }
     return df.withColumn("__q", F.struct(*(c.alias(k) for k, c in stats.items()))).drop("__w", "__l", "__h")
 
@@ -97,14 +104,15 @@ def vote(name: str, prefix: str = "") -> str:
     return f"case when {bad} then -1 when {good} then 1 else 0 end"
 
 
-def _within(x: float, bounds: tuple[float, float, float]) -> float:
-    return min(max(x, bounds[1]), bounds[2])
+def _rate(event: float, total: float, name: str) -> float:
+    """A rate with its pseudo-counts."""
+    return (event + PRIOR[name][0]) / (total + PRIOR[name][1])
 
 
 def estimate(patterns: dict[tuple[int, ...], int]) -> tuple[float, list[float], list[float]]:
     """The share of good documents and each rule's two accuracies, from counts of vote patterns."""
     m, total = len(RULES), sum(patterns.values())
-    share, caught, wrong = SHARE[0], [CAUGHT[0]] * m, [WRONG[0]] * m
+    share, caught, wrong = SHARE, [CAUGHT] * m, [WRONG] * m
     for _ in range(ITERATIONS if total else 0):
         good, cast_bad, cast_good, said_bad, said_wrong = 0.0, [0.0] * m, [0.0] * m, [0.0] * m, [0.0] * m
         for votes, n in patterns.items():
@@ -117,9 +125,9 @@ def estimate(patterns: dict[tuple[int, ...], int]) -> tuple[float, list[float],
                 if v < 0:
                     said_bad[j] += n * (1 - p)
                     said_wrong[j] += n * p
-        share = _within(good / total, SHARE)
-        caught = [_within(x / y, CAUGHT) if y else CAUGHT[0] for x, y in zip(said_bad, cast_bad)]
-        wrong = [_within(x / y, WRONG) if y else WRONG[0] for x, y in zip(said_wrong, cast_good)]
+        share = _rate(good, total, "share")
+        caught = [_rate(x, y, "caught") for x, y in zip(said_bad, cast_bad)]
+        wrong = [_rate(x, y, "wrong") for x, y in zip(said_wrong, cast_good)]
     return share, caught, wrong
 
 
@@ -130,7 +138,7 @@ def weights(caught: float, wrong: float) -> tuple[float, float]:
 
 def posterior(votes: tuple[int, ...], share: float, caught: list[float], wrong: list[float]) -> float:
     odds = math.log(share / (1 - share)) + sum(weights(c, w)[v > 0] for v, c, w in zip(votes, caught, wrong) if v)
-    return 1 / (1 + math.exp(-odds))
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -155,14 +163,16 @@ def score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null and empty texts have 0 words and fail; repeated rows are judged each; ids may be null; an
     empty table gives an empty result; other columns are not read.
     """
-    rows = with_stats(df.select(F.col(id_col), F.col(text_col).alias("__t")), "__t").select(id_col, "__q")
-    return judged(stored(rows, "quality-stats")).select(id_col, "__q.*", "base_failed", "p_good", "kept")
+    rows = with_stats(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t").select("id", "__q")
+    return judged(stored(rows, "quality-stats")).select(F.col("id").alias(id_col), "__q.*", "base_failed", "p_good", "kept")
 
 
 def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that are kept, with df's columns. Texts are read and judged once: rows and
-    statistics are written to the shared folder, as the estimate needs all of them first."""
-    return judged(stored(with_stats(df, text_col), "quality-rows")).where("kept").select(*df.columns)
+    """The rows of df that are kept, with df's columns, whatever their names. Texts are read and
+    judged once: rows and statistics are written to the shared folder, as the estimate needs all of
+    them first. Rows are judged as score() says; an empty table stays empty."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("t"))
+    return judged(stored(with_stats(rows, "t").drop("t"), "quality-rows")).where("kept").select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,17 +185,17 @@ def oracle() -> str:
     rules = list(enumerate(RULES))
     pick = "".join(f", {vote(k)} as v{j}" for j, k in rules)
     vs = ", ".join(f"v{j}" for j, _ in rules)
-    first = "".join(f", {CAUGHT[0]}::double as c{j}, {WRONG[0]}::double as w{j}" for j, _ in rules)
-    steps, at = [f"i0 as (select {SHARE[0]}::double as pi{first})"], "i0"
+    first = "".join(f", {CAUGHT}::double as c{j}, {WRONG}::double as w{j}" for j, _ in rules)
+    steps, at = [f"i0 as (select {SHARE}::double as pi{first})"], "i0"
     odds = "ln(pi / (1 - pi))" + "".join(f" + case v{j} when -1 then ln(w{j} / c{j}) when 1 then ln((1 - w{j}) / (1 - c{j})) else 0 end" for j, _ in rules)
 
-    def part(weight: str, j: int, bounds: tuple[float, float, float], name: str) -> str:
-        ratio = f"sum(case when v{j} = -1 then n * {weight} else 0 end) / nullif(sum(case when v{j} <> 0 then n * {weight} else 0 end), 0)"
-        return f", coalesce(greatest(least({ratio}, {bounds[2]}), {bounds[1]}), {bounds[0]}) as {name}{j}"
+    def part(weight: str, j: int, prior: str, name: str) -> str:
+        event, total = PRIOR[prior]
+        return f", (sum(case when v{j} = -1 then n * {weight} else 0 end) + {event}) / (sum(case when v{j} <> 0 then n * {weight} else 0 end) + {total}) as {name}{j}"
 
     for k in range(1, ITERATIONS + 1):
-        rates = "".join(part("(1 - p)", j, CAUGHT, "c") + part("p", j, WRONG, "w") for j, _ in rules)
-        steps.append(f"i{k} as materialized (select greatest(least(sum(n * p) / sum(n), {SHARE[2]}), {SHARE[1]}) as pi{rates} from (select pat.*, 1 / (1 + exp(-({odds}))) as p from pat, {at}))")
+        rates = "".join(part("(1 - p)", j, "caught", "c") + part("p", j, "wrong", "w") for j, _ in rules)
+        steps.append(f"i{k} as materialized (select (sum(n * p) + {PRIOR['share'][0]}) / (sum(n) + {PRIOR['share'][1]}) as pi{rates} from (select pat.*, 1 / (1 + exp(-({odds}))) as p from pat, {at}))")
         at = f"i{k}"
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -196,8 +206,9 @@ h as (select doc_id, k, array_to_string(w[k:k + 7], ' ') as s from g),
 r as (select doc_id, k from h qualify count(*) over (partition by doc_id, s) > 1),
 c as (select doc_id, sum(least(8, coalesce(nx - k, 8)))::bigint as n from (select doc_id, k, lead(k) over (partition by doc_id order by k) as nx from r) group by 1),
 s as materialized (select doc_id, len(w)::bigint as n_words, length(translate(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), ''))::bigint as word_chars,
-      (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
-      len(l)::bigint as n_lines, len(list_distinct(w))::bigint as n_distinct, (length(t) - length(translate(t, '.!?', '')))::bigint as n_stops, (length(t) - length(translate(t, '0123456789', '')))::bigint as n_digits
+      (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+      len(l)::bigint as n_lines, len(list_distinct(w))::bigint as n_distinct, (length(t) - length(translate(t, '.!?', '')))::bigint as n_stops, (length(t) - length(translate(t, '0123456789', '')))::bigint as n_digits,
+      len(list_filter(w, lambda x: translate(x, '{SYMBOLS}', '') <> x))::bigint as n_symbol_words, (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::bigint as n_upper, (length(t) - length(replace(t, '!', '')))::bigint as n_exclaims
       from w left join c using (doc_id)),
 v as materialized (select *{pick} from s),
 pat as materialized (select {vs}, count(*) as n from v group by all),

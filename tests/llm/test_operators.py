@@ -93,27 +93,46 @@ def test_quality_finds_junk_by_labels(spark):
     assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0))
 
 
-def test_estimate_recovers_rates():
+@pytest.mark.parametrize("rates", [(0.9, 0.002, 0.3), (0.7, 0.05, 0.6), (0.95, 0.01, 0.45)])
+def test_estimate_recovers_rates(rates):
+    """Every rule with the same rates, but one that errs more often than the others."""
+    share_is, wrong_is, caught_is = rates
     r = random.Random(2)
     m, votes = len(quality.RULES), Counter()
-    for _ in range(20000):
-        good = r.random() < 0.9
-        votes[tuple(-1 if r.random() < (0.002 if good else 0.3) else 1 for _ in range(m))] += 1
+    for _ in range(30000):
+        good = r.random() < share_is
+        votes[tuple(-1 if r.random() < ((0.2 if j == 3 else wrong_is) if good else caught_is) else 1 for j in range(m))] += 1
     share, caught, wrong = quality.estimate(dict(votes))
-    assert abs(share - 0.9) < 0.03 and all(abs(c - 0.3) < 0.06 for c in caught) and all(w < 0.005 for w in wrong)
-    assert quality.estimate({}) == (quality.SHARE[0], [quality.CAUGHT[0]] * m, [quality.WRONG[0]] * m)
+    assert abs(share - share_is) < 0.03 and all(abs(c - caught_is) < 0.06 for c in caught)
+    assert abs(wrong[3] - 0.2) < 0.02 and all(abs(w - wrong_is) < 0.01 for j, w in enumerate(wrong) if j != 3)
+    assert quality.estimate({}) == (quality.SHARE, [quality.CAUGHT] * m, [quality.WRONG] * m)
 
 
-def shingle_set(text):
+def test_one_bad_vote_does_not_decide(spark):
+    """On the tables some documents with a single bad vote are likely good, others likely bad."""
+    out = quality.op2_quality(spark, SF.replace("0.001", "0.1")).select("p_good", *(F.expr(quality.vote(k)).alias(k) for k in quality.RULES)).collect()
+    one = [x.p_good for x in out if sum(v == -1 for v in x[1:]) == 1]
+    assert min(one) < 0.5 < max(one)
+    assert any(x.p_good < 0.5 for x in out) and len({round(x.p_good, 6) for x in out}) > 20
+
+
+@pytest.mark.parametrize("name", ["__q", "__w", "__l", "__h", "__v0", "kept", "base_failed", "p_good", "row", "t", "n_words"])
+def test_quality_keeps_columns_of_any_name(spark, name):
+    rows = [(k, " ".join(f"word{k}{j}" for j in range(60)) + ".", f"v{k}") for k in range(8)] + [(9, "short", "v9")]
+    out = quality.keep(spark.createDataFrame(rows, f"doc_id long, text string, `{name}` string"))
+    assert {tuple(x) for x in out.collect()} == set(rows[:8])
+
+
+def shingle_set(text, n=3):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} - {()}
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
-def near_brute(rows):
+def near_brute(rows, n=3, percent=85):
     sets = {}
     for k, t in rows:
         if k is not None:
-            sets.setdefault(k, []).append(shingle_set(t))
+            sets.setdefault(k, []).append(shingle_set(t, n))
     parent = {k: k for k in sets}
 
     def find(k):
@@ -122,15 +141,16 @@ def near_brute(rows):
         return k
 
     for a, b in itertools.combinations(sets, 2):
-        if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+        if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_dedup(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize("block,n,percent", [(256, 3, 85), (2, 3, 85), (256, 5, 80)])
+def test_near_dedup(spark, texts, monkeypatch, block, n, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SALT", 3)
     monkeypatch.setattr(neardup, "CHUNK", 3)
     r = random.Random(3)
     rows = list(AWKWARD)
@@ -144,28 +164,59 @@ def test_near_dedup(spark, texts, monkeypatch, block):
             if k % 3 == 0:
                 base = w
     rows += [(1000 + k, prose(r, 30)) for k in range(20)] + [(1100 + k, "Exact Copy of a text, all of it") for k in range(15)]
-    out = neardup.near_dedup(docs(spark, rows), "doc_id", "text").collect()
-    want = near_brute(rows)
+    out = neardup.near_dedup(docs(spark, rows), "doc_id", "text", n, percent).collect()
+    want = near_brute(rows, n, percent)
     assert len(out) == len(rows)
     for x in out:
         if x.doc_id is None:
             assert x.component_id is None and x.kept
         else:
             assert x.component_id == want[x.doc_id] and x.kept == (x.component_id == x.doc_id)
-    assert {(x.doc_id, x.n_shingles) for x in out} == {(k, len(shingle_set(t))) for k, t in rows}
-    left = neardup.keep(docs(spark, rows))
+    assert {(x.doc_id, x.n_shingles) for x in out} == {(k, len(shingle_set(t, n))) for k, t in rows}
+    left = neardup.keep(docs(spark, rows), shingle=n, percent=percent)
     assert left.columns == SCHEMA_NAMES and {x.doc_id for x in left.collect()} == {None, *want.values()}
     assert neardup.near_dedup(docs(spark, []), "doc_id", "text").count() == 0
 
 
-def test_sketch_never_counts_too_many():
+def test_shared_ids_lose_no_text(spark):
+    a, b, c, d = (prose(random.Random(k), 40) for k in range(4))
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, None), (8, c), (9, d), (9, d), (6, a + " x")]
+    out = neardup.near_dedup(docs(spark, rows), "doc_id", "text").collect()
+    want = near_brute(rows, neardup.SHINGLE, neardup.PERCENT)
+    assert Counter((x.doc_id, x.component_id, x.kept) for x in out) == Counter((k, want[k], want[k] == k) for k, _ in rows)
+    left = Counter((x.doc_id, x.text) for x in neardup.keep(docs(spark, rows)).collect())
+    assert left == Counter([(3, b), (5, a), (7, c), (7, None), (9, d), (9, d)])
+
+
+@pytest.mark.parametrize("name", ["__gone", "gone0", "id", "node", "first", "component", "keys"])
+def test_near_dedup_keeps_columns_of_any_name(spark, name):
+    a = prose(random.Random(1), 40)
+    df = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (3, "other", "z")], f"doc_id long, text string, `{name}` string")
+    assert {tuple(x) for x in neardup.keep(df).collect()} == {(1, a, "x"), (3, "other", "z")}
+
+
+@pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
+def test_sketches_pass_links_and_stop_others(spark, shingle, percent):
+    """Estimates from the sketches lose no link, and stop most pairs well below the threshold."""
     r = random.Random(4)
-    for n in (5, 60, 400):
-        a = prose(r, n).split()
-        b = [w if r.random() > 0.05 else w + "q" for w in a]
-        _, _, _, _, level, sketch, _ = neardup.signed([" ".join(a), " ".join(b)])
-        bits = sum(bin((int(x) ^ int(y)) & (1 << 64) - 1).count("1") for x, y in zip(*sketch))
-        assert not level.any() and bits <= len(shingle_set(" ".join(a)) ^ shingle_set(" ".join(b)))
+    pairs = []
+    for k in range(500):
+        a = prose(r, r.choice([8, 40, 200, 900])).split()
+        rate = r.choice([0.0, 0.01, 0.03, 0.05, 0.12])
+        pairs.append((k, " ".join(a), " ".join(w if r.random() > rate else w + "q" for w in a)))
+    sides = []
+    for j in (1, 2):
+        n, _, _, _, m, sketch = neardup.signed([p[j] for p in pairs], shingle, percent)
+        sides.append((n.tolist(), m.tolist(), sketch.tolist()))
+    df = spark.createDataFrame([(p[0], *(v[k] for side in sides for v in side)) for k, p in enumerate(pairs)], "k long, n_u long, m_u long, sketch_u array<long>, n_v long, m_v long, sketch_v array<long>")
+    passed = {x.k for x in df.where(neardup._near("u", "v", percent)).collect()}
+    alike = {}
+    for k, x, y in pairs:
+        x, y = shingle_set(x, shingle), shingle_set(y, shingle)
+        alike[k] = 100 * len(x & y) / len(x | y)
+    assert {k for k, j in alike.items() if j >= percent} <= passed
+    low = {k for k, j in alike.items() if j < percent - 20 and len(shingle_set(pairs[k][1], shingle)) > 150}
+    assert len(low) > 30 and len(low & passed) <= 0.05 * len(low)
 
 
 def test_components(spark):

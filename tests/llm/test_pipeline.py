@@ -20,7 +20,7 @@ def test_against_plain_stages(spark, pieces):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     kept = {r.doc_id for r in quality.op2_quality(spark, SF).where("kept").collect()}
     docs = {k: t for k, t in docs.items() if k in kept}
-    groups = near_brute(list(docs.items()))
+    groups = near_brute(list(docs.items()), 5, 80)
     docs = {k: t for k, t in docs.items() if groups[k] == k}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {k: t for k, t in docs.items() if not any(i in t for i in items)}
