@@ -41,9 +41,9 @@ MISS = 4e-7
 OP3_SHINGLE, OP3_PERCENT = 3, 85
 SHINGLE, PERCENT = 5, 80
 #: Places of the one-permutation hash whose samples a sketch folds, and its bits.
-PLACES, BITS = 512, 1024
+PLACES, BITS = 2048, 2048
 #: Standard deviations that an estimate may lie below the threshold.
-SLACK = 6
+SLACK = 5
 SALT = 1024
 BLOCK = 256
 #: Members that one copy of a hub's text is sent along with.
@@ -141,7 +141,7 @@ def signed(texts: list[str | None], shingle: int, percent: int) -> tuple[np.ndar
     keys = np.concatenate([folded(samples.reshape(len(texts), -1, WIDTH * w), w) for w in (1, 2, 4)], 1)
     # One permutation: a hash's high bits are its place, and the least hash of a place its sample.
     hashed = mixed(value * _BASE)
-    place = owner * PLACES + (hashed >> np.uint64(55)).astype(np.int64)
+    place = owner * PLACES + (hashed >> np.uint64(53)).astype(np.int64)
     least = np.full(len(texts) * PLACES, ~np.uint64(0))
     np.minimum.at(least, place, hashed)
     at = np.flatnonzero(np.bincount(place, minlength=len(least)))
@@ -181,20 +181,22 @@ def _near(x: str, y: str, percent: int) -> Column:
     expected, and as many more as the two sets fill above what is expected of them), of which a
     share of t have a common sample. z differing bits stand for
     -BITS / 2 * ln(1 - 2 z / BITS) samples that are not common, so (m_x + m_y - that) / 2 are.
-    The estimate errs by the choice of samples and by bits that cancel by chance.
     """
     t = percent / 100
     c = lambda k, side: F.col(f"{k}_{side}")
     sizes = F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * percent
     filled = lambda n: PLACES * (1 - F.pow(F.lit(1 - 1 / PLACES), n))
-    places = filled((c("n", x) + c("n", y)) / (1 + t)) + (c("m", x) - filled(c("n", x)) + c("m", y) - filled(c("n", y))) / 2
+    union = (c("n", x) + c("n", y)) / (1 + t)
+    places = filled(union) + (c("m", x) - filled(c("n", x)) + c("m", y) - filled(c("n", y))) / 2
     apart = F.least(differing(c("sketch", x), c("sketch", y)) * (2.0 / BITS), F.lit(0.999))
     lost = -BITS / 2 * F.log(1 - apart)
-    # At the threshold, `there` samples are not common; what they add to the variance of `lost` is
-    # BITS / 4 * (e ** r - 1 - r) with r = 4 * there / BITS, as of any odd sketch.
-    there = c("m", x) + c("m", y) - 2 * t * places
-    ratio = F.greatest(there, F.lit(1.0)) * (4.0 / BITS)
-    error = F.sqrt(places * ((1 - t) * (t + 0.25)) + BITS / 16 * (F.exp(ratio) - 1 - ratio))
+    # Variances at the threshold: the choice of `places` samples out of the union; whether what only
+    # one of the sets has falls on a filled place, half of which shows in m_x and m_y; and, of `there` samples that are not common, the
+    # BITS / 4 * (e ** r - 1 - r) with r = 4 * there / BITS that any odd sketch adds to `lost`.
+    share = F.least(places / PLACES, F.lit(1.0))
+    choice = places * (t * (1 - t)) * (1 - F.least(places / union, F.lit(1.0)))
+    ratio = F.greatest(c("m", x) + c("m", y) - 2 * t * places, F.lit(1.0)) * (4.0 / BITS)
+    error = F.sqrt(choice + union * (1 - t) * share * (1 - share) * (t * t / 4) + BITS / 16 * (F.exp(ratio) - 1 - ratio))
     return sizes & ((c("m", x) + c("m", y) - lost) / 2 >= t * places - SLACK * error - 1)
 
 
