@@ -1,19 +1,23 @@
 """A BPE vocabulary with word ends, compiled to a counting transducer.
 
-The machine reads characters. The word rule (a compiled regular expression, itself a DFA over
-character classes) cuts words; white space resets the machine to its start state from any state, so
-what it emits for a stretch between white space does not depend on what stood before. The
-transition that leaves a word emits that word's tokens, found by the merge ranks. Words are
-compiled when first met, all new words of a batch at once by array operations, and kept, up to
-STATES of them: a worker's memory is bounded however many words a corpus has.
-
-A chunk of text, cut anywhere, is a state map: which state the machine ends in and how much it has
-emitted, for any state it may have been in. As white space resets the machine, the map is known but
-for the text before the first and after the last white space (`head`, `tail`). Maps compose
-associatively, so chunks are mapped apart and folded by a parallel prefix scan.
-
-Characters outside ALPHABET (whose normal form or lower case may depend on their neighbours) and
-pieces that may hold a special string are handed to the vocabulary's own library: same result.
+The machine reads characters. BPE itself is finite-state: the last token of what a prefix of a word
+encodes to is the one suffix t of it that is a token and that the last token before t stands beside
+unmerged. So all that counts of a prefix is, for each place from which a token may still be under
+way, the last token up to that place and how many tokens have come since. A State is that (with the
+kind of word it is in), and each of its transitions is annotated with the tokens that it emits: the
+difference of two prefixes' counts within a word, and what the word's end adds where it ends.
+Contractions, numbers and runs of other characters are states and transitions of the same machine.
+States and transitions are compiled when first met and kept, up to STATES of them, so that a
+worker's memory is bounded however many words a corpus has.
+
+A chunk of text, cut anywhere, is a state map: from the state before it to the state after it and the
+tokens emitted. White space leads from every state to the start state, so a map is a constant but for
+the text up to its first white space (`head`). Maps compose associatively; chunks are mapped apart
+and joined by a parallel prefix scan.
+
+Characters outside ALPHABET (whose normal form or lower case may depend on their neighbours),
+pieces that may hold a special string and pieces of more than LONG characters are single symbols,
+whose tokens the vocabulary's own library counts: same result.
 """
 
 from __future__ import annotations
@@ -24,11 +28,14 @@ import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 
-#: Compiled words that a worker keeps (about 200 bytes each).
-STATES = 600_000
+#: Compiled words (about 200 bytes each) and states (about 700) that a worker keeps.
+WORDS_KEPT, STATES = 600_000, 250_000
+#: Characters of a piece that the machine reads, at most.
+LONG = 512
 #: Characters in a chunk.
 CHUNK = 1 << 16
 
@@ -54,10 +61,22 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_L
 #: Separators that str.split() knows and the vocabulary does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"\s")
+LONG_PIECE = re.compile(rf"\S{{{LONG + 1}}}")
+
+
+def stretches(text: str) -> list[tuple[bool, str]]:
+    """The text as stretches between white space that the machine reads (True), and pieces (or a whole
+    text with separators that the vocabulary does not know) for the library."""
+    if ODD_SPACE.search(text):
+        return [(False, text)]
+    if "<|" not in text and PLAIN.fullmatch(text) and not LONG_PIECE.search(text):
+        return [(True, text)]
+    fits = lambda piece: len(piece) <= LONG and "<|" not in piece and bool(PLAIN.fullmatch(piece))
+    return [part for plain, pieces in groupby(text.split(), fits) for part in ([(True, " ".join(pieces))] if plain else [(False, x) for x in pieces])]
 
 
 def _bytes_to_chars() -> list[str]:
-    """The byte alphabet of byte-level vocabularies: printable Latin-1 bytes stand for themselves,
+    """The byte alphabet of byte-level vocabularies. Printable Latin-1 bytes stand for themselves,
     the others for the characters from U+0100 on."""
     out, n = [], 0
     for b in range(256):
@@ -75,6 +94,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         model = json.loads(open(path, encoding="utf-8").read())["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
+        self.model = model
         self.path, self.lib, self.words = path, None, {}
         self.inner = np.array([vocab[c] for c in _bytes_to_chars()], np.int64)
         self.last = np.array([vocab[c + end] for c in _bytes_to_chars()], np.int64)
@@ -94,18 +114,18 @@ class Vocabulary:
     def cut(self, text: str) -> list[str]:
         """The keys of a text's words, in order. A piece for the library is one key, after a space."""
         if "<|" not in text and PLAIN.fullmatch(text):
-            return WORDS.findall(text.lower())
-        if ODD_SPACE.search(text):
-            return [" " + text]
-        out: list[str] = []
-        for piece in text.split():
-            out += WORDS.findall(piece.lower()) if "<|" not in piece and PLAIN.fullmatch(piece) else [" " + piece]
+            out = WORDS.findall(text.lower())
+            if len(max(out, key=len, default="")) <= LONG:
+                return out
+        out = []
+        for plain, part in stretches(text):
+            out += WORDS.findall(part.lower()) if plain else [" " + part]
         return out
 
     def compile(self, keys: Iterable[str]) -> None:
         """Afterwards each key's ids are in self.words."""
         keys = set(keys)
-        if len(self.words) > STATES:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
         by_size: dict[int, list[tuple[bytes, str]]] = {}
         for key in keys.difference(self.words):
@@ -175,25 +195,90 @@ class Vocabulary:
         return out
 
 
+class Merges:
+    """What the machine is compiled from: tokens as strings of byte characters, and their merges."""
+
+    def __init__(self, model: dict) -> None:
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        chars = _bytes_to_chars()
+        self.rank = {(vocab[x], vocab[y]): k for k, (x, y) in enumerate(model["merges"])}
+        halves = {vocab[x + y]: (vocab[x], vocab[y], k) for k, (x, y) in reversed([*enumerate(model["merges"])])}
+        made = {vocab[c + e] for c in chars for e in ("", end)} | halves.keys()
+        text = {i: t for t, i in vocab.items() if i in made}
+        self.inner = {t: i for i, t in text.items() if not t.endswith(end)}
+        self.ends = {t[: -len(end)]: i for i, t in text.items() if t.endswith(end)}
+        self.begun = {t[:k] for t in self.inner for k in range(len(t))} | {t[:k] for t in self.ends for k in range(len(t) + 1)}
+        self.halves, self.spines, self.beside_known = halves, {}, {}
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token and its halves on one side, down to one byte, each with the rank of the merge
+        that ends it (of the token itself: none)."""
+        if (token, side) not in self.spines:
+            out, rank, x = [], 1 << 40, token
+            while True:
+                out.append((x, rank))
+                if x not in self.halves:
+                    break
+                rank, x = self.halves[x][2], self.halves[x][side]
+            self.spines[token, side] = out
+        return self.spines[token, side]
+
+    def beside(self, left: int, right: int) -> bool:
+        """Whether two tokens stand side by side unmerged: no pair across their border comes to be
+        merged before one of the two is used up. Of equal merges the leftmost comes first."""
+        known = self.beside_known.get((left, right))
+        if known is None:
+            known = True
+            for x, x_rank in self.spine(left, 1):
+                for y, y_rank in self.spine(right, 0):
+                    rank = self.rank.get((x, y))
+                    if rank is not None and rank < x_rank and rank <= y_rank:
+                        known = False
+            self.beside_known[left, right] = known
+        return known
+
+
+#: Kinds of words that a state is in: none, letters, other characters, an apostrophe at a word's
+#: begin, and that with a letter that may become a contraction.
+START, LETTERS, OTHERS, QUOTE = "", "L", "O", "'"
+#: What completes a contraction.
+CONTRACTIONS = {"'": "stmd", "'r": "e", "'v": "e", "'l": "l"}
+
+
+class State(dict):
+    """Transitions: character -> (state, tokens emitted); compiled when first asked for.
+
+    `begun` is the longest end of the word's text with which a token may begin, and `places` has, for
+    each such end of k bytes, (k, last token before it, tokens since)."""
+
+    __slots__ = ("machine", "kind", "begun", "places", "end")
+
+    def __init__(self, machine: "Transducer", kind: str, begun: str, places: tuple) -> None:
+        self.machine, self.kind, self.begun, self.places, self.end = machine, kind, begun, places, None
+
+    def __missing__(self, char: str) -> tuple["State", int]:
+        self[char] = found = self.machine.transition(self, char)
+        return found
+
+
 @dataclass(frozen=True)
 class StateMap:
-    """What a chunk does: `emitted` between its first and last white space; head and tail are what
-    stands outside those. A chunk without white space has all of its text in head and reset False."""
+    """What a chunk does to a state: it reads `head` from it; then, if `after` is there, emits
+    `emitted` and ends in `after`, whatever the state was."""
 
     head: str
     emitted: int = 0
-    tail: str = ""
-    reset: bool = False
+    after: State | None = None
+
+    def of(self, state: State) -> tuple[State, int]:
+        state, n = state.machine.read(self.head, state)
+        return (state, n) if self.after is None else (self.after, n + self.emitted)
 
-    def then(self, after: "StateMap", count) -> "StateMap":
-        if not self.reset and not after.reset:
-            return StateMap(self.head + after.head)
-        if not self.reset:
-            return StateMap(self.head + after.head, after.emitted, after.tail, True)
-        if not after.reset:
-            return StateMap(self.head, self.emitted, self.tail + after.head, True)
-        middle = self.tail + after.head
-        return StateMap(self.head, self.emitted + (count(middle) if middle else 0) + after.emitted, after.tail, True)
+    def then(self, other: "StateMap") -> "StateMap":
+        if self.after is None:
+            return StateMap(self.head + other.head, other.emitted, other.after)
+        state, n = other.of(self.after)
+        return StateMap(self.head, self.emitted + n, state)
 
 
 class Transducer:
@@ -201,36 +286,124 @@ class Transducer:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-
-    def one(self, text: str) -> int:
-        return len(self.vocabulary.encode([text])[0]) // 2
-
-    def parts(self, text: str) -> tuple[str, list[str], str, bool]:
-        """A chunk's head, the words between its first and last white space, and its tail."""
-        found = SPACE.search(text)
-        if not found:
-            return text, [], "", False
-        first, last = found.start(), len(text)
-        while not text[last - 1].isspace():
-            last -= 1
-        return text[:first], self.vocabulary.cut(text[first:last]), text[last:], True
-
-    def compose(self, maps: list[StateMap]) -> StateMap:
-        """The up-sweep of a prefix scan: neighbours are composed until one map is left."""
-        while len(maps) > 1:
-            maps = [maps[k].then(maps[k + 1], self.one) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0]
+        self.merges = Merges(self.vocabulary.model)
+        self.bytes = dict(zip(range(256), _bytes_to_chars()))
+        self.letters, self.numbers = set(re.findall(f"[{_LETTERS}]", "".join(map(chr, range(0x2100))))), set(re.findall(f"[{_NUMBERS}]", "".join(map(chr, range(0x2100)))))
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(START, "", ((0, -1, 0),))
+
+    def _state(self, kind: str, begun: str, places: tuple) -> State:
+        key = (kind, begun, places)
+        if key not in self.states:
+            self.states[key] = State(self, *key)
+        return self.states[key]
+
+    def _grown(self, state: State, char: str, kind: str) -> tuple[State, int]:
+        """The state after one more character of the word, and how many tokens more that is."""
+        begun, places, total, m = state.begun, state.places, 0, self.merges
+        for byte in char.encode():
+            begun += self.bytes[byte]
+            for k, last, since in places:
+                token = m.inner.get(begun[len(begun) - k - 1 :])
+                if token is not None and (last < 0 or m.beside(last, token)):
+                    break
+            more = 1 - since
+            places = (*((k + 1, x, n + more) for k, x, n in places if begun[len(begun) - k - 1 :] in m.begun), (0, token, 0))
+            begun = begun[len(begun) - places[0][0] :]
+            total += more
+        return self._state(kind, begun, places), total
+
+    def _end(self, state: State) -> tuple[int, int, int]:
+        """The last token of a word that ends in a state, its bytes, and the tokens since before it."""
+        if state.end is None:
+            for k, last, since in state.places:
+                token = self.merges.ends.get(state.begun[len(state.begun) - k :]) if k else None
+                if token is not None and (last < 0 or self.merges.beside(last, token)):
+                    state.end = token, k, since
+        return state.end
+
+    def _closed(self, state: State) -> int:
+        """Tokens that a word's end adds."""
+        return 0 if state.kind == START else 1 - self._end(state)[2]
+
+    def _word(self, text: str) -> int:
+        state, n = self.start, 0
+        for c in text:
+            state, more = self._grown(state, c, LETTERS)
+            n += more
+        return n + self._closed(state)
+
+    def bound(self) -> None:
+        if len(self.states) > STATES:
+            self.clear()
+            self.merges.beside_known.clear()
+
+    def transition(self, state: State, char: str) -> tuple[State, int]:
+        """The state that a character leads to and the tokens emitted on the way."""
+        kind = state.kind
+        if kind.startswith(QUOTE) and char in CONTRACTIONS[kind]:
+            return self.start, self._word(kind + char) - (self._word_begun(kind) if kind == QUOTE else 0)
+        if kind == QUOTE and kind + char in CONTRACTIONS:  # emits nothing until it is known what it is
+            return self._state(kind + char, "", ((0, -1, 0),)), -self._word_begun(kind)
+        if len(kind) == 2:  # no contraction: the apostrophe was a word, the letter begins one
+            (word, n), quote = self._grown(self.start, kind[1], LETTERS), self._word(QUOTE)
+            after, more = word[char]
+            return after, quote + n + more
+        if char.isspace():
+            return self.start, self._closed(state)
+        if char in self.numbers:
+            return self.start, self._closed(state) + self._word(char)
+        to = LETTERS if char in self.letters else OTHERS
+        if kind == to or kind == QUOTE and to == OTHERS:
+            return self._grown(state, char, to)
+        after, n = self._grown(self.start, char, QUOTE if char == QUOTE else to)
+        return after, self._closed(state) + n
+
+    def _word_begun(self, text: str) -> int:
+        return self._grown(self.start, text, QUOTE)[1]
+
+    def read(self, text: str, state: State) -> tuple[State, int]:
+        total = 0
+        for c in text:
+            state, n = state[c]
+            total += n
+        return state, total
+
+    def mapped(self, chunk: str) -> StateMap:
+        """A chunk's state map."""
+        space = SPACE.search(chunk)
+        if not space:
+            return StateMap(chunk)
+        after, n = self.read(chunk[space.end() :], self.start)
+        return StateMap(chunk[: space.end()], n, after)
+
+    def scan(self, maps: list[StateMap]) -> list[StateMap]:
+        """Prefix compositions: of neighbours first, then of the pairs, in a logarithm of steps each
+        of which may run side by side."""
+        if len(maps) < 2:
+            return maps
+        pairs = self.scan([maps[k].then(maps[k + 1]) for k in range(0, len(maps) - 1, 2)])
+        return [maps[0], *(pairs[k // 2] if k % 2 else pairs[k // 2 - 1].then(maps[k]) for k in range(1, len(maps)))]
+
+    def one(self, text: str, size: int = CHUNK) -> int:
+        total = 0
+        for plain, part in stretches(text):
+            if not plain:
+                total += len(self.vocabulary.library(part)) // 2
+                continue
+            part = part.lower() + " "
+            if len(part) <= size:
+                total += self.read(part, self.start)[1]
+            else:
+                total += self.scan([self.mapped(part[k : k + size]) for k in range(0, len(part), size)])[-1].of(self.start)[1]
+        return total
 
     def count(self, texts: list[str], size: int = CHUNK) -> list[int]:
-        plain = [not ODD_SPACE.search(t) for t in texts]
-        chunks = [[self.parts(t[k : k + size]) for k in range(0, len(t), size)] if ok else [] for t, ok in zip(texts, plain)]
-        emitted = iter(self.vocabulary.found([words for c in chunks for _, words, _, _ in c]))
-        maps = [[StateMap(head, sum(map(len, next(emitted))) // 2, tail, reset) for head, _, tail, reset in c] for c in chunks]
-        out = []
-        for text, ok, m in zip(texts, plain, maps):
-            whole = self.compose(m) if m else StateMap("" if ok else text)
-            out.append(whole.emitted + sum(self.one(x) for x in (whole.head, whole.tail) if x))
-        return out
+        self.bound()
+        return [self.one(t, size) for t in texts]
 
 
 _loaded: dict[str, Transducer] = {}

@@ -293,15 +293,53 @@ def test_every_character_is_the_library(library):
 def test_state_maps_compose_associatively():
     machine = bpe.Transducer(tokens.vocabulary())
     r = random.Random(7)
+    for _ in range(200):
+        parts = [r.choice(["it", "'s", "'", "r", "e", " ", "ab cd", "\nx", "", "!!", "don't we", "7", "é"]) for _ in range(4)]
+        a, b, c, d = map(machine.mapped, parts)
+        assert a.then(b).then(c) == a.then(b.then(c)) and a.then(b).then(c).then(d) == a.then(b).then(c.then(d))
+        scanned = machine.scan([a, b, c, d])
+        assert scanned == [a, a.then(b), a.then(b).then(c), a.then(b).then(c).then(d)]
+        assert scanned[-1].of(machine.start) == machine.read("".join(parts), machine.start)
+
+
+def test_transitions_are_few_and_annotated(library, texts):
+    """States are shared by words: far fewer than the words' prefixes; each transition's annotation
+    is what the library's counts differ by."""
+    machine = bpe.Transducer(tokens.vocabulary())
+    machine.count(list(texts.values()))
+    words = {w for t in texts.values() for w in machine.vocabulary.cut(t)}
+    assert len(machine.states) < len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    for w in sorted(words)[:300]:
+        state, n = machine.read(w, machine.start)
+        assert n + state[" "][1] == len(library.encode(w, add_special_tokens=False).ids)
+
+
+def test_random_bytes_and_bounded_states(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 50)
+    machine = bpe.Transducer(tokens.vocabulary())
+    r = random.Random(11)
+    kept = [c for c in map(chr, range(0x21, 0x180)) if bpe.PLAIN.fullmatch(c)]
     for _ in range(40):
-        parts = [r.choice(["it", "'s", " ", "ab cd", "\nx", "", "!!", "don't we"]) for _ in range(3)]
-        maps = []
-        for p in parts:
-            head, words, tail, reset = machine.parts(p)
-            found = machine.vocabulary.found([words])[0]
-            maps.append(bpe.StateMap(head, sum(map(len, found)) // 2, tail, reset))
-        a, b, c = maps
-        assert a.then(b, machine.one).then(c, machine.one) == a.then(b.then(c, machine.one), machine.one)
+        batch = ["".join(r.choice(kept if r.random() < 0.3 else "aehinorst") for _ in range(r.randint(1, 200))) for _ in range(30)]
+        assert machine.count(batch, 16) == [len(library.encode(t, add_special_tokens=False).ids) for t in batch]
+    assert len(machine.states) < 20000
+
+
+def seconds(run):
+    import time
+
+    began = time.time()
+    run()
+    return time.time() - began
+
+
+def test_very_long_words(library):
+    r = random.Random(12)
+    machine = bpe.Transducer(tokens.vocabulary())
+    for text in ("a" * 1_000_000, "".join(r.choice("abcdefgh") for _ in range(1_000_000)), "1" * 1_000_000, "!?" * 500_000):
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert seconds(lambda: machine.count([text])) < 10
+        assert machine.count([text]) == [n] and len(machine.vocabulary.encode([text])[0]) == 2 * n
 
 
 def test_counts_and_packing(spark, library):
