@@ -1,7 +1,9 @@
 """Benchmark decontamination: BM25 with block-max WAND, then overlap of question and answer.
 
-The index holds the test items. Its size is checked: items go to the tasks in blocks of at most
-INDEX_BYTES of text, one pass over the documents for each block, so a benchmark of any size works.
+The index holds the test items. Its size is checked: items go to the tasks in blocks whose index is
+at most INDEX_BYTES, one pass over the documents for each block, so a benchmark of any size works.
+Numbers of items, their mean and greatest lengths and the words' document frequencies are counted
+once over all items, so scores, passages and what is retrieved do not depend on the blocks.
 Postings carry impacts: an item's BM25 share for a term, over the item's own threshold (RATIO of
 its score against itself), so that every item is retrieved at 1. Items are ordered by threshold,
 and postings keep the largest impact of each block of BLOCK items.
@@ -15,11 +17,14 @@ its question's and its answer's shingles both lie in the passage (CONTAINED of e
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +40,13 @@ CONTAINED = 0.8
 SHINGLE = 5
 #: Entries in a block of postings, and columns in the bounds of half passages at most.
 BLOCK, BOUNDS = 8, 256
+#: Terms whose postings a worker keeps as lists.
+LISTS = 20_000
 #: Words of an item that are one entry; a longer item is several entries.
 ENTRY = 256
-#: Bytes of item text in one index.
-INDEX_BYTES = 32 * 1024 * 1024
+#: Bytes of one index, and what it needs for a word of an item (a posting, its share of block tops and
+#: bounds, a shingle of its side) besides the text itself.
+INDEX_BYTES, WORD_BYTES = 64 * 1024 * 1024, 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -82,59 +90,92 @@ def parts(text: str) -> tuple[str, str]:
     return question or text, answer or text
 
 
-@dataclass
-class Posting:
-    entries: list[int]
-    impacts: list[float]
-    tops: list[float]  # of each block of entries, by number
-    top: float
+def entries(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text's number, words) of each entry of at most ENTRY words."""
+    owner, words = words_of(texts)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for k in range(len(texts)):
+        for a in range(cut[k], cut[k + 1], ENTRY):
+            yield k, words[a : min(a + ENTRY, cut[k + 1])]
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Of all items: entries, their words, the longest entry's and the longest item's words, and
+    in how many entries a term is (of the terms that an index needs)."""
+
+    n: int
+    words: int
+    stride: int
+    longest: int
+    found: dict[int, int]
+
+
+def totals(texts: list[str | None]) -> Totals:
+    """Totals of a list of items' texts."""
+    n, words, stride, sizes, found = 0, 0, 1, Counter(), Counter()
+    for k, w in entries(texts):
+        n, words, stride = n + 1, words + len(w), max(stride, len(w))
+        sizes[k] += len(w)
+        found.update(np.unique(w).tolist())
+    return Totals(n, words, stride, max(sizes.values(), default=0), dict(found))
 
 
 class Index:
-    """Test items for block-max WAND."""
+    """Test items for block-max WAND; all numbers are in arrays."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        owner, words = words_of([t for _, t in items])
-        cut = np.searchsorted(owner, np.arange(len(items) + 1))
-        lists = [(item, words[cut[k] + a : min(cut[k] + a + ENTRY, cut[k + 1])]) for k, (item, _) in enumerate(items) for a in range(0, cut[k + 1] - cut[k], ENTRY)]
+    def __init__(self, items: list[tuple[int, str]], of: Totals | None = None) -> None:
+        of = of or totals([t for _, t in items])
+        lists = [(items[k][0], w) for k, w in entries([t for _, t in items])]
         self.checks = {}
         for item, text in items:
             sides = [words_of([p])[1] for p in parts(text or "")]
             runs = [(n, shingles(w, n)) for w in sides if (n := min(SHINGLE, len(w)))]  # a side of fewer words is one run
             self.checks.setdefault(item, []).append(runs)
-        self.longest = max((cut[1:] - cut[:-1]).tolist(), default=0)
-        n = max(1, len(lists))
-        mean = sum(len(w) for _, w in lists) / n if lists else 1.0
-        found: dict[int, int] = {}
+        self.longest, self.stride = of.longest, of.stride
+        mean = of.words / max(1, of.n)
         counts = [np.unique(w, return_counts=True) for _, w in lists]
-        for terms, _ in counts:
-            for t in terms.tolist():
-                found[t] = found.get(t, 0) + 1
         shares = []
         for terms, tf in counts:
-            idf = np.array([np.log1p((n - found[t] + 0.5) / (found[t] + 0.5)) for t in terms.tolist()])
-            shares.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean)))
+            df = np.array([of.found[t] for t in terms.tolist()])
+            shares.append(np.log1p((of.n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean)))
         goal = [RATIO * float(s.sum()) for s in shares]
-        common = [sorted((-found[t], t) for t in terms.tolist())[:4] for terms, _ in counts]
+        common = [sorted((-of.found[t], t) for t in terms.tolist())[:4] for terms, _ in counts]
         order = sorted(range(len(lists)), key=lambda k: (common[k], goal[k], k))
         self.items = [lists[k][0] for k in order]
-        self.goals = [goal[k] for k in order]
-        self.vocabulary = np.array(sorted(found), np.uint64)
-        self.stride = max([len(w) for _, w in lists], default=1)
-        postings: list[tuple[list[int], list[float]]] = [([], []) for _ in found]
-        for entry, k in enumerate(order):
-            for t, share in zip(np.searchsorted(self.vocabulary, counts[k][0]).tolist(), (shares[k] / goal[k]).tolist()):
-                postings[t][0].append(entry)
-                postings[t][1].append(share)
+        words = np.concatenate([counts[k][0] for k in order]) if order else np.zeros(0, np.uint64)
+        impact = np.concatenate([shares[k] / goal[k] for k in order]) if order else np.zeros(0)
+        entry = np.repeat(np.arange(len(order)), [len(counts[k][0]) for k in order]).astype(np.int64)
+        self.vocabulary, term = np.unique(words, return_inverse=True)
+        by_term = np.lexsort((entry, term))
+        term, self.entry, self.impact = term[by_term], entry[by_term], impact[by_term]
+        self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         wide = max(1, -(-len(order) // BOUNDS))
-        self.bounds = np.zeros((len(found) + 1, -(-len(order) // wide)), np.float32)
-        self.postings = []
-        for t, (entries, impacts) in enumerate(postings):
-            tops: dict[int, float] = {}
-            for e, x in zip(entries, impacts):
-                tops[e // BLOCK] = max(tops.get(e // BLOCK, 0.0), x)
-                self.bounds[t, e // wide] = max(self.bounds[t, e // wide], x)
-            self.postings.append(Posting(entries, impacts, tops, max(impacts)))
+        self.columns = max(1, -(-len(order) // wide))
+        # The largest impact of a term in each block of entries, and in each column of the bounds.
+        self.block, self.block_first, self.block_top = self._tops(term, self.entry // BLOCK)
+        self.bound, self.bound_first, self.bound_top = self._tops(term, self.entry // wide)
+        self.lists: dict[int, tuple] = {}
+
+    def _tops(self, term: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts in which a term occurs, term by term; each term's first; the largest impacts there."""
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])])) if len(term) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
+        return part[new], np.searchsorted(term[new], np.arange(len(self.vocabulary) + 1)), tops
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "lists": {}}
+
+    def posting(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
+        """Entries, impacts, blocks' largest impacts and the largest of all, of a term; lists of the
+        terms asked for last are kept."""
+        found = self.lists.get(term)
+        if found is None:
+            if len(self.lists) >= LISTS:
+                self.lists.clear()
+            a, b, c, d = self.first[term], self.first[term + 1], self.block_first[term], self.block_first[term + 1]
+            found = self.lists[term] = (self.entry[a:b].tolist(), self.impact[a:b].tolist(), dict(zip(self.block[c:d].tolist(), self.block_top[c:d].tolist())), float(self.block_top[c:d].max()))
+        return found
 
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Each word's number in the vocabulary, or its size for other words."""
@@ -146,13 +187,13 @@ class Index:
 
     def search(self, terms: list[int], least: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
         """(entry, score over its goal) of all entries at or above `least`, by block-max WAND."""
-        cursors = [[p.entries[0], 0, p] for p in (self.postings[t] for t in terms)]
+        cursors = [[p[0][0], 0, p] for p in map(self.posting, terms)]
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += c[2].top
+                total += c[2][3]
                 if total >= least:
                     pivot = k
                     break
@@ -162,9 +203,9 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
             block = entry // BLOCK
-            if sum(c[2].tops.get(block, 0.0) for c in cursors[: pivot + 1]) >= least:
+            if sum(c[2][2].get(block, 0.0) for c in cursors[: pivot + 1]) >= least:
                 if cursors[0][0] == entry:
-                    score = sum(c[2].impacts[c[1]] for c in cursors[: pivot + 1])
+                    score = sum(c[2][1][c[1]] for c in cursors[: pivot + 1])
                     if score >= least:
                         out.append((entry, score))
                     goal = entry + 1
@@ -178,7 +219,7 @@ class Index:
             alive = []
             for k, c in enumerate(cursors):
                 if k <= pivot and c[0] < goal:
-                    entries, at = c[2].entries, c[1]
+                    entries, at = c[2][0], c[1]
                     while at < len(entries) and entries[at] < goal:
                         at += 1
                     if at == len(entries):
@@ -209,13 +250,18 @@ class Index:
         known = np.flatnonzero(terms < len(self.vocabulary))
         pairs = np.unique(number[known] * (len(self.vocabulary) + 1) + terms[known])
         halves, ids = pairs // (len(self.vocabulary) + 1), pairs % (len(self.vocabulary) + 1)
-        sums = np.zeros((first_half[-1] + 1, self.bounds.shape[1]), np.float32)
+        sums = np.zeros((first_half[-1] + 1, self.columns), np.float32)
         if len(halves):
             starts = np.flatnonzero(np.concatenate([[True], halves[1:] != halves[:-1]]))
             step = 1 << 11
-            for a in range(0, len(starts), step):  # bounds rows are gathered for some halves at a time
+            for a in range(0, len(starts), step):  # bounds are gathered for some halves at a time
                 lo, hi = starts[a], starts[a + step] if a + step < len(starts) else len(ids)
-                sums[halves[starts[a : a + step]]] = np.add.reduceat(self.bounds[ids[lo:hi]], starts[a : a + step] - lo, axis=0)
+                begin_at, n = self.bound_first[ids[lo:hi]], self.bound_first[ids[lo:hi] + 1] - self.bound_first[ids[lo:hi]]
+                at = np.repeat(begin_at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                base = halves[lo]
+                flat = np.repeat(halves[lo:hi] - base, n) * self.columns + self.bound[at]
+                rows = int(halves[hi - 1] - base + 1)
+                sums[base : base + rows] += np.bincount(flat, self.bound_top[at], rows * self.columns).reshape(rows, -1)
         last = np.zeros(len(sums), bool)
         last[first_half[1:] - 1] = True
         joint = sums[:-1] + np.where(last[:-1, None], 0, sums[1:])
@@ -237,20 +283,63 @@ class Index:
         return slice(max(int(begin[text]), passage.start - self.longest), min(int(begin[text + 1]), passage.stop + self.longest))
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, size: int = INDEX_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of at most `size` bytes of text, or one longer item; the driver holds one."""
-    held, n = [], 0
-    for key, text in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
-        if key is None or not text:
-            continue
-        length = len(text.encode())
-        if held and n + length > size:
+def blocks(items: DataFrame, id_col: str, text_col: str, size: int | None = None) -> Iterator[Index]:
+    """Indexes of at most `size` bytes, or of one longer item; the driver holds one at a time."""
+    size = size or INDEX_BYTES
+    items = items.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("t"))
+
+    def lists() -> Iterator[list[tuple[int, str]]]:
+        held, n = [], 0
+        for key, text in items.orderBy("item", "t").toLocalIterator():
+            length = len(text.encode()) + WORD_BYTES * len(words_of([text])[1])
+            if held and n + length > size:
+                yield held
+                held, n = [], 0
+            held.append((key, text))
+            n += length
+        if held:
             yield held
-            held, n = [], 0
-        held.append((key, text))
-        n += length
-    if held:
-        yield held
+
+    some = lists()
+    first, second = next(some, None), next(some, None)
+    if first is None:
+        return
+    if second is None:
+        yield Index(first)
+        return
+    known = counted(items)
+    for block in chain([first, second], some):
+        yield Index(block, known([t for _, t in block]))
+
+
+def counted(items: DataFrame):
+    """Totals over all items (item, t), counted by Spark; the result gives them with the frequencies
+    of the terms of some texts."""
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            sizes = Counter()
+            for k, w in entries(texts):
+                sizes[k] += len(w)
+            for k, w in entries(texts):
+                unique = np.unique(w)
+                n = np.full(len(unique), len(w))
+                lead = np.zeros(len(unique), np.int64)  # one row of each entry carries its size
+                lead[:1] = 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unique.view(np.int64), lead, n.astype(np.int64), np.full(len(unique), sizes[k]))], ["term", "lead", "n", "longest"])
+
+    rows = stored(items.select("t").mapInArrow(terms, "term long, lead long, n long, longest long"), "item-terms")
+    n, words, stride, longest = rows.agg(F.sum("lead"), F.sum(F.col("lead") * F.col("n")), F.max("n"), F.max("longest")).first()
+    frequency = stored(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-frequencies")
+
+    def of(texts: list[str]) -> Totals:
+        needed = np.unique(words_of(texts)[1]).view(np.int64)  # bounded by the block
+        asked = items.sparkSession.createDataFrame(pd.DataFrame({"term": needed}))
+        found = {t & (1 << 64) - 1: df for t, df in frequency.join(asked, "term", "left_semi").collect()}
+        return Totals(n or 0, words or 0, stride or 1, longest or 0, found)
+
+    return of
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -265,9 +354,9 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, text_col)
     schema = f"`{id_col}` {kind}, leaked array<long>, top_score double, place long"
-    run = lambda block: rows.mapInArrow(_leaks(Index(block), id_col), schema)
+    run = lambda index: rows.mapInArrow(_leaks(index, id_col), schema)
     lists = blocks(items, item_id, item_text)
-    found, more = run(next(lists, [])), next(lists, None)
+    found, more = run(next(lists, Index([]))), next(lists, None)
     if more is not None:  # a row's place is its task's number, so each pass is stored by itself
         passes = [stored(found, "leaks"), stored(run(more), "leaks"), *(stored(run(b), "leaks") for b in lists)]
         found = reduce(DataFrame.unionByName, passes).groupBy(id_col, "place")
@@ -292,8 +381,8 @@ def _leaks(index: Index, id_col: str):
 def keep(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df that hold no item, with df's columns; one pass for each block of items."""
     prepare(df.sparkSession)
-    for block in blocks(items, item_id, item_text):
-        df = df.mapInArrow(_clean(Index(block), text_col), df.schema)
+    for index in blocks(items, item_id, item_text):
+        df = df.mapInArrow(_clean(index, text_col), df.schema)
     return df
 
 

@@ -400,7 +400,7 @@ def test_wand_is_exhaustive_search(spark):
         assert {index.items[e] for e, _ in got} == want
 
 
-def test_decontamination(spark, texts):
+def test_decontamination(spark, texts, monkeypatch):
     r = random.Random(9)
     items = [(k, f"{prose(r, 14)} what is {word(r)}{k}? the {word(r)}{k} answer") for k in range(30)] + [(30, "two words"), (31, None), (None, "lost item text"), (32, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -408,17 +408,17 @@ def test_decontamination(spark, texts):
     dirty = [(300 + k, f"{prose(r, r.randint(0, 130))}. {items[k][1].upper() if k % 2 else items[k][1]} {prose(r, 40)}") for k in range(20)]
     half = [(400 + k, f"{prose(r, 60)} {items[k][1].split('?')[0]} {prose(r, 60)}") for k in range(5)]  # a question without its answer
     rows = AWKWARD + clean + dirty + half
-    for size in (1 << 20, 300):  # one block of items, and many
+    scores = set()
+    for size in (1 << 24, 40_000, 4_000):  # one block of items, some, and many
+        monkeypatch.setattr(decontam, "INDEX_BYTES", size)
         found = {}
-        monkey = decontam.INDEX_BYTES
-        try:
-            decontam.blocks.__defaults__ = (size,)
-            for x in decontam.decontaminate(docs(spark, rows), bench).collect():
-                found.setdefault(x.doc_id, x.leaked)
-        finally:
-            decontam.blocks.__defaults__ = (monkey,)
+        out = decontam.decontaminate(docs(spark, rows), bench).collect()
+        for x in out:
+            found.setdefault(x.doc_id, x.leaked)
+        scores.add(tuple(sorted((str(x.doc_id), tuple(x.leaked), round(x.top_score, 9)) for x in out)))
         assert all(found[300 + k] == [k] for k in range(20))
         assert not any(found[k] for k in found if k is None or k < 300 or k >= 400)
+    assert len(scores) == 1  # the same whatever the blocks
     left = decontam.keep(docs(spark, rows), bench)
     assert left.columns == SCHEMA_NAMES and left.count() == len(rows) - 20
     none = decontam.decontaminate(docs(spark, rows), bench.where("false"))
@@ -426,6 +426,24 @@ def test_decontamination(spark, texts):
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [2_000, 9_000])
+def test_retrieval_does_not_depend_on_blocks(spark, size):
+    r = random.Random(13)
+    items = [(k, prose(r, r.randint(4, 40))) for k in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, some = decontam.Index(items), [*decontam.blocks(bench, "item_id", "text", size)]
+    assert len(some) > 3
+    for _ in range(100):
+        query = " ".join(t for _, t in r.sample(items, 2)).split()[: r.randint(5, 60)]
+        words = np.unique(decontam.words_of([" ".join(query)])[1])
+
+        def got(index):
+            terms = np.unique(index.terms(words))
+            return {(index.items[e], round(s, 9)) for e, s in index.search(terms[terms < len(index.vocabulary)].tolist())}
+
+        assert got(one) == set().union(*map(got, some))
+
+
 def test_decontamination_finds_whole_items_of_the_tables(spark, texts):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     out = {x.doc_id: set(x.leaked) for x in decontam.op7_decontam(spark, SF).collect()}
