@@ -6,7 +6,7 @@ may hold such data, cut into tokens. A spelt-out sign with its spaces, the name
 each label after it are one token. A candidate segment is up to LONGEST tokens with a type, or up to
 ADDRESS_LONGEST from such a name; its features look at the whole span and what stands before and
 after it. Dynamic programming over segments and types chooses boundaries and types of a region
-jointly, at a cost of tokens * LONGEST, and ADDRESS_LONGEST for each name.
+jointly, at a cost of tokens * LONGEST at most, and ADDRESS_LONGEST for each name.
 
 Weights are trained on the driver by conditional log-likelihood over labelled regions made by rule
 from a fixed seed (SAMPLES of them, a documented bound) and sent with the task.
@@ -19,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,17 @@ KINDS = ["email", "ip", "card", "phone"]
 LONGEST = 20
 #: Tokens in a spelt-out address at most: a domain has 253 characters, so 127 labels, at most.
 ADDRESS_LONGEST = 2 + 2 * 127 - 1
+#: Digits of a number, least and most: a quad's least, and more than a card or a phone has.
+DIGITS = (4, 24)
 #: Edges whose segments are scored together.
 STARTS = 64
-SAMPLES = 240
+SAMPLES = 360
 EPOCHS = 6
 
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# Repetitions are possessive and begin where a run begins, so that no text is scanned twice: a match
+# can begin nowhere else, as the run before it would be part of it or of the match before.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,7 +90,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # Regions: numbers with separators, and words around a spelt-out at sign.
 NUMERIC = re.compile(r"[0-9][0-9()./\x20-]{6,}[0-9]")
-SPELT = re.compile(r"[A-Za-z0-9._%+-]+\x20?[(\[{](?:at|AT)[)\]}]\x20?[A-Za-z0-9-]+(?:\x20?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?[A-Za-z0-9-]+)+")
+#: What follows the name in a spelt-out address.
+SPELT = re.compile(r"\x20?+[(\[{](?:at|AT)[)\]}]\x20?+[A-Za-z0-9-]++(?:\x20?+(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?+[A-Za-z0-9-]++)+")
 SIGN = re.compile(r"[(\[{](?:at|AT)[)\]}]")
 #: A label, or what stands between two.
 PART = re.compile(r"\x20?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\x20?|[A-Za-z0-9-]+")
@@ -97,10 +103,27 @@ HINT = {w: k for k, ws in HINTS.items() for w in ws}
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+\s?[(\[{](?:at|AT)[)\]}]\s?[A-Za-z0-9-]+(?:\s?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\s?[A-Za-z0-9-]+)*\s?(?:[(\[{](?:dot|DOT)[)\]}]|\.)\s?[A-Za-z]{2,}")
 AREA = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?\(0?[0-9]{2,4}\)[ ]?[0-9]{3,4}([ .-][0-9]{2,4}){1,3}")
 GROUPED = re.compile(r"(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
-FEATURES = ["bias", "length", "spelt", "area", "grouped", "date", "digits7_9", "digits10_12", "digits13", "digits14_19", "luhn14_19", "digits20", "one_run", "four_parts", "parts_255", "slash", "joined_left", "joined_right", "space_edge", "letters", "hint_email", "hint_ip", "hint_card", "hint_phone", "few_digits", "fours", "more_labels", "stop_inside"]
+#: What parts numbers of a quad, written as one or apart.
+QUAD = re.compile(r"\x20?\.\x20?")
+FEATURES = ["bias", "length", "spelt", "area", "grouped", "date", "digits7_9", "digits10_12", "digits13", "digits14_19", "luhn14_19", "digits20", "one_run", "four_parts", "parts_255", "parts_more", "slash", "joined_left", "joined_right", "space_edge", "letters", "hint_email", "hint_ip", "hint_card", "hint_phone", "few_digits", "fours", "more_labels", "stop_inside"]
 DATE = re.compile(r"(?:19|20)[0-9]{2}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2(?:19|20)?[0-9]{2}")
 
 
+def spelt(text: str, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, start of what follows the name, end) of spelt-out addresses, leftmost first. Like
+    emails(): each sign needs one look back and one match."""
+    done = begin
+    for sign in SIGN.finditer(text, begin, end):
+        at = sign.start() - (sign.start() > done and text[sign.start() - 1] == " ")
+        first = at
+        while first > done and text[first - 1] in LOCAL:
+            first -= 1
+        found = SPELT.match(text, at, end) if first < at else None
+        if found:
+            yield first, at, found.end()
+            done = found.end()
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
     for m in NUMERIC.finditer(text):
         begin = m.start()
@@ -108,9 +131,8 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
             begin -= 1
         if sum(c.isdigit() for c in m[0]) >= 7:
             yield begin, m.end()
-    if SIGN.search(text):
-        for m in SPELT.finditer(text):
-            yield m.start(), m.end()
+    for begin, _, end in spelt(text, 0, len(text)):
+        yield begin, end
 
 
 def features(text: str, begin: int, end: int, hint: str) -> list[float]:
@@ -118,7 +140,7 @@ def features(text: str, begin: int, end: int, hint: str) -> list[float]:
     span = text[begin:end]
     digits = digits_of(span)
     n = len(digits)
-    parts = span.split(".")
+    parts = QUAD.split(span)
     before, after = text[begin - 1 : begin], text[end : end + 1]
     return [
         1.0,
@@ -136,6 +158,7 @@ def features(text: str, begin: int, end: int, hint: str) -> list[float]:
         float(span.isdigit()),
         float(len(parts) == 4 and all(p.isdigit() for p in parts)),
         float(len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)),
+        float(len(parts) > 4),
         float("/" in span),
         float(before.isalnum() or before in ".-+/" and before != ""),
         float(after.isalnum() or after in "-/" and after != ""),
@@ -152,19 +175,35 @@ def features(text: str, begin: int, end: int, hint: str) -> list[float]:
 def tokens(text: str, begin: int, end: int) -> tuple[list[int], set[int]]:
     """Token edges of a region, and the numbers of the tokens that are names before an at sign."""
     edges, names, done = [], set(), begin
-    for m in SPELT.finditer(text, begin, end) if SIGN.search(text, begin, end) else ():
-        sign = SIGN.search(text, m.start())
-        edges += [x.start() for x in TOKEN.finditer(text, done, m.start())]
+    for first, at, last in spelt(text, begin, end):
+        after = SIGN.search(text, at).end()
+        after += text[after] == " "
+        edges += [x.start() for x in TOKEN.finditer(text, done, first)]
         names.add(len(edges))
-        after = sign.end() + (text[sign.end()] == " ")
-        edges += [m.start(), sign.start() - (text[sign.start() - 1] == " "), *(x.start() for x in PART.finditer(text, after, m.end()))]
-        done = m.end()
+        edges += [first, at, *(x.start() for x in PART.finditer(text, after, last))]
+        done = last
     return [*edges, *(x.start() for x in TOKEN.finditer(text, done, end)), end], names
 
 
-def reach(i: int, n: int, names: set[int]) -> int:
-    """The last edge of the segments from edge i, of n tokens."""
-    return min(n, i + (ADDRESS_LONGEST if i in names else LONGEST))
+class Candidates:
+    """Which segments of a region may be entities: such as begin with a digit, plus or bracket and end
+    with a digit and have DIGITS digits, and such as begin with the name of a spelt-out address."""
+
+    def __init__(self, text: str, edges: list[int], names: set[int]) -> None:
+        self.n, self.names = len(edges) - 1, names
+        tokens = [text[a:b] for a, b in zip(edges, edges[1:])]
+        self.begins = [k in names or t[0] in "0123456789+(" for k, t in enumerate(tokens)]
+        self.ends = [False, *(t[-1].isalnum() for t in tokens)]
+        self.digits = [0, *accumulate(len(digits_of(t)) for t in tokens)]
+
+    def of(self, i: int) -> list[int]:
+        """The last edges of the segments from edge i."""
+        if not self.begins[i]:
+            return []
+        if i in self.names:
+            return [j for j in range(i + 1, min(self.n, i + ADDRESS_LONGEST) + 1) if self.ends[j]]
+        least, most = DIGITS[0] + self.digits[i], DIGITS[1] + self.digits[i]
+        return [j for j in range(i + 1, min(self.n, i + LONGEST) + 1) if self.ends[j] and least <= self.digits[j] <= most]
 
 
 def hint_before(text: str, begin: int) -> str:
@@ -173,11 +212,17 @@ def hint_before(text: str, begin: int) -> str:
 
 
 def lattice(text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
-    """Token edges of a region, all segments (from edge, to edge) and their features."""
+    """Token edges of a region, all segments (from edge, to edge) and their features. Single tokens
+    that can't be entities have no features (all 0)."""
     edges, names = tokens(text, begin, end)
-    hint = hint_before(text, begin)
-    segments = [(i, j) for i in range(len(edges) - 1) for j in range(i + 1, reach(i, len(edges) - 1, names) + 1)]
-    return edges, segments, np.array([features(text, edges[i], edges[j], hint) for i, j in segments])
+    hint, candidates = hint_before(text, begin), Candidates(text, edges, names)
+    segments, values = [], []
+    for i in range(candidates.n):
+        ends = candidates.of(i)
+        for j in sorted({i + 1, *ends}):
+            segments.append((i, j))
+            values.append(features(text, edges[i], edges[j], hint) if j in ends else [0.0] * len(FEATURES))
+    return edges, segments, np.array(values)
 
 
 #: Types: 0 is none, for single tokens only.
@@ -187,6 +232,7 @@ TYPES = 1 + len(KINDS)
 def scores(segments: list[tuple[int, int]], values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = values @ weights.T
     out[:, 0] = np.where(np.array([j - i for i, j in segments]) == 1, 0.0, -np.inf)
+    out[values[:, 0] == 0, 1:] = -np.inf
     return out
 
 
@@ -210,14 +256,23 @@ def decoded(text: str, begin: int, end: int, weights: np.ndarray) -> list[tuple[
     """What best() finds in a region, as (start, kind's number, end). Features are made for the
     segments from STARTS edges at a time, so a region may be of any length."""
     edges, names = tokens(text, begin, end)
-    hint, n = hint_before(text, begin), len(edges) - 1
+    hint, candidates = hint_before(text, begin), Candidates(text, edges, names)
+    n = candidates.n
     total, back = [0.0] + [-np.inf] * n, [(0, 0)] * (n + 1)
     for first in range(0, n, STARTS):
-        segments = [(i, j) for i in range(first, min(n, first + STARTS)) for j in range(i + 1, reach(i, n, names) + 1)]
-        score = scores(segments, np.array([features(text, edges[i], edges[j], hint) for i, j in segments]), weights)
-        for (i, j), kind, top in zip(segments, score.argmax(1).tolist(), score.max(1).tolist()):
-            if total[i] + top > total[j]:
-                total[j], back[j] = total[i] + top, (i, kind)
+        segments = [(i, j) for i in range(first, min(n, first + STARTS)) for j in candidates.of(i)]
+        at = 0
+        if segments:
+            score = np.array([features(text, edges[i], edges[j], hint) for i, j in segments]) @ weights[1:].T
+            kinds, tops = score.argmax(1).tolist(), score.max(1).tolist()
+        for i in range(first, min(n, first + STARTS)):
+            if total[i] > total[i + 1]:  # the token is nothing
+                total[i + 1], back[i + 1] = total[i], (i, 0)
+            while at < len(segments) and segments[at][0] == i:
+                j, top = segments[at][1], tops[at]
+                if total[i] + top > total[j]:
+                    total[j], back[j] = total[i] + top, (i, kinds[at] + 1)
+                at += 1
     out, j = [], n
     while j:
         i, kind = back[j]
@@ -262,8 +317,11 @@ def samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int, int, list[
         s, labels = r.choice([" ", " ", ""]), [word() for _ in range(r.choice([1, 1, 2, 3]))]
         return ".".join(word() for _ in range(r.randint(1, 3))) + f"{s}{o}at{c}{s}" + f"{s}{o}dot{c}{s}".join([*labels, r.choice(["com", "org", "net", "de"])])
 
-    plain = [lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: d(r.randint(8, 13)), lambda: f"{d(1)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(2)} {d(4)}", lambda: f"{d(5)}-{d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: d(r.choice([14, 15, 16, 20, 24])), lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", lambda: f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"]
-    makers = [(address, 1), (card, 3), (phone, 4)]
+    def quad() -> str:
+        return r.choice([" . ", ". ", " ."]).join(str(r.randint(0, 255)) for _ in range(4))
+
+    plain = [lambda: " . ".join(d(r.randint(1, 3)) for _ in range(r.choice([3, 5, 6]))), lambda: ". ".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: d(r.randint(8, 13)), lambda: f"{d(1)}.{d(3)}.{d(3)}", lambda: f"{d(3)} {d(2)} {d(4)}", lambda: f"{d(5)}-{d(3)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: d(r.choice([14, 15, 16, 20, 24])), lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", lambda: f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}"]
+    makers = [(address, 1), (quad, 2), (card, 3), (phone, 4)]
     out = []
     for _ in range(n):
         maker, kind = r.choice(makers) if r.random() < 0.55 else (r.choice(plain), 0)

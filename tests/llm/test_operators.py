@@ -463,7 +463,7 @@ def base_pii(text):
 
 
 def test_pii(spark, texts):
-    tricky = ["a@b.c@d.ee x@y z@.q @w.e .@a.b a@b..c", "1.2.3.4.5.6 256.1.1.1 0001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 +1 (269) 555-3296 4524132264652876", "+49 30 1234567 + 5 +12-", "Ä" * 20 + "ü@ex.de \U0001f600 9.9.9.9"]
+    tricky = ["1.1.1.1.1.1.1.1.1 1..1.1.1.1 12.34.56.78.9 a1.2.3.4b", "name (at) a.b_c (at) d.e","a@b.c@d.ee x@y z@.q @w.e .@a.b a@b..c", "1.2.3.4.5.6 256.1.1.1 0001.02.3.255 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 +1 (269) 555-3296 4524132264652876", "+49 30 1234567 + 5 +12-", "Ä" * 20 + "ü@ex.de \U0001f600 9.9.9.9"]
     rows = AWKWARD + [(70 + k, t) for k, t in enumerate(tricky)] + list(texts.items())
     weights = pii.trained()
     out = pii.find(docs(spark, rows), "doc_id", "text").collect()
@@ -525,6 +525,20 @@ def test_long_addresses_are_whole():
         assert pii.masked(f"write {address}. Then wait", pii.trained()) == "write [EMAIL]. Then wait"
 
 
+def test_quads_written_apart():
+    for quad in ["192 . 168 . 0 . 17", "10. 0. 0. 255", "88 .108 .64 .4"]:
+        assert found_kinds(f"server {quad} now") == [("ip", quad)]
+    for other in ["3 . 14 . 15", "1 . 2 . 3 . 4 . 5", "999. 888. 777. 666"]:
+        assert "ip" not in dict(found_kinds(f"see {other} now"))
+
+
+def test_long_junk_costs_its_length():
+    r, weights = random.Random(14), pii.trained()
+    letters = "".join(r.choice("abcdefgh") for _ in range(1_000_000))
+    for text in ("1" * 1_000_000, letters + " (at) " + letters[:1000], letters + "(at)", "1." * 500_000, "+1" * 500_000, "a@" * 500_000, "(at)" * 250_000, "1((" * 60_000):
+        assert seconds(lambda: pii.masked(text, weights)) < 10, text[:20]
+
+
 def test_long_regions_are_not_cut():
     numbers = [f"555 123 {4567 + k}" for k in range(120)]
     assert [x for _, x in found_kinds(f"call {' '.join(numbers)} now")] == numbers
