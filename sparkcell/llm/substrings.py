@@ -33,6 +33,10 @@ from .common import prepare, stored, table
 
 WINDOW = 100
 GRAM = 32
+#: A place is a row's number times 2 ** SHIFT plus the byte's place in the row. The number is 0, but
+#: for rows that share an id.
+SHIFT = 31
+PARTS = 64
 #: Windows that may have an anchor at their first to last place.
 REACH = WINDOW - GRAM
 #: Bytes that are worked on at once.
@@ -88,18 +92,18 @@ def _least(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
 class Segment:
     """The windows that start at places [begin, end) of a document, with the bytes they reach."""
 
-    def __init__(self, doc: int, raw: bytes, begin: int, end: int) -> None:
-        self.doc, self.size, self.begin, self.end = doc, len(raw), begin, end
+    def __init__(self, doc: int, base: int, raw: bytes, begin: int, end: int) -> None:
+        self.doc, self.base, self.size, self.begin, self.end = doc, base, len(raw), begin, end
         self.low = max(0, begin - REACH)
         self.raw = raw[self.low : min(len(raw), end + WINDOW + REACH)]
 
 
-def segments(rows: Iterable[tuple[int, bytes]], size: int = BLOCK) -> Iterator[list[Segment]]:
+def segments(rows: Iterable[tuple[int, int, bytes]], size: int = BLOCK) -> Iterator[list[Segment]]:
     """Blocks of segments of about `size` bytes; a longer document is cut into several."""
     held, n = [], 0
-    for doc, raw in rows:
+    for doc, base, raw in rows:
         for begin in range(0, len(raw) - WINDOW + 1, size):
-            held.append(Segment(doc, raw, begin, min(begin + size, len(raw) - WINDOW + 1)))
+            held.append(Segment(doc, base, raw, begin, min(begin + size, len(raw) - WINDOW + 1)))
             n += len(held[-1].raw)
             if n >= size:
                 yield held
@@ -148,8 +152,8 @@ def anchors(block: list[Segment]) -> tuple[np.ndarray, ...]:
     left, right = np.minimum(place, REACH), np.minimum(size - place - GRAM, REACH)
     begin, length = at - left, left + GRAM + right
     context = _spans(data, begin, length) + (left * 1000 + right).astype(np.uint64) * _SECOND
-    doc = np.array([s.doc for s in block], np.int64)[which]
-    return doc, place, hashes[at].view(np.int64), _mixed(context).view(np.int64), size
+    doc, base = (np.array(x, np.int64)[which] for x in ([s.doc for s in block], [s.base for s in block]))
+    return doc, place + base, hashes[at].view(np.int64), _mixed(context).view(np.int64), size
 
 
 def _spans(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -182,7 +186,7 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass one in a task: anchors with their contexts, of equal ones the first only (till 0); what
     the others cover comes out as runs [place, till), under an anchor of their own."""
-    rows = ((k, t.encode()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and k is not None)
+    rows = ((k, part << SHIFT, t.encode()) for b in batches for k, part, t in zip(*(c.to_pylist() for c in b.columns)) if t and k is not None)
     for block in segments(rows):
         doc, place, anchor, context, size = anchors(block)
         order = np.lexsort((place, doc, context, anchor))
@@ -192,7 +196,8 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = []
         for d in np.unique(doc[same]).tolist():
             on = same & (doc == d)
-            begin, end = np.maximum(place[on] - REACH, 0), np.minimum(place[on] + WINDOW, size[on])
+            base = place[on] >> SHIFT << SHIFT
+            begin, end = np.maximum(place[on] - REACH, base), np.minimum(place[on] + WINDOW, size[on] + base)
             begin, end = _merged(begin[end - begin >= WINDOW], end[end - begin >= WINDOW])
             runs += [(d, x, y) for x, y in zip(begin.tolist(), end.tolist())]
         run = np.array(runs, np.int64).reshape(-1, 3)
@@ -205,11 +210,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, crowd, doc, place, low, bytes): the bytes from `low` on that an open anchor reaches."""
     for batch in batches:
         rows = []
-        for doc, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
+        for doc, part, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            raw, base = (text or "").encode(), part << SHIFT
             for m in marks:
-                low = max(0, m["place"] - REACH)
-                rows.append((m["anchor"], m["crowd"], doc, m["place"], low, raw[low : m["place"] + WINDOW]))
+                place = m["place"] - base
+                if place >> SHIFT == 0:
+                    low = max(0, place - REACH)
+                    rows.append((m["anchor"], m["crowd"], doc, m["place"], low + base, raw[low : place + WINDOW]))
         columns = list(zip(*rows)) or [()] * 6
         kinds = [*[pa.int64()] * 5, pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "crowd", "doc", "place", "low", "bytes"])
@@ -314,12 +321,13 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.array(doc, np.int64)[row]), pa.array(at)], ["k1", "k2", "doc", "place"])
 
 
-def _cut(raw: bytes, covers: list[dict] | None) -> tuple[list[tuple[int, int]], bytes]:
+def _cut(raw: bytes, covers: list[dict] | None, base: int = 0) -> tuple[list[tuple[int, int]], bytes]:
     """The removed runs and the kept bytes. A cover may reach over the end; it counts if at least
     WINDOW bytes of it are there."""
     if not covers:
         return [], raw
-    begin, end = np.array([c["begin"] for c in covers], np.int64), np.minimum(np.array([c["end"] for c in covers], np.int64), len(raw))
+    own = [c for c in covers if (c["begin"] - base) >> SHIFT == 0]
+    begin, end = np.array([c["begin"] - base for c in own], np.int64), np.minimum(np.array([c["end"] - base for c in own], np.int64), len(raw))
     begin, end = _merged(begin[end - begin >= WINDOW], end[end - begin >= WINDOW])
     runs = list(zip(begin.tolist(), end.tolist()))
     kept, at = [], 0
@@ -331,7 +339,7 @@ def _cut(raw: bytes, covers: list[dict] | None) -> tuple[list[tuple[int, int]],
 
 def covers(texts: DataFrame) -> DataFrame:
     """(doc, covers): byte ranges that repeat an earlier string, for documents that have any; texts
-    is (doc, t) without null doc."""
+    is (doc, part, t) without null doc."""
     found = texts.mapInArrow(_firsts, "anchor long, context long, doc long, place long, till long")
     # Passes one and two share one exchange and sort, by anchor.
     me = F.struct("doc", "place")
@@ -343,7 +351,7 @@ def covers(texts: DataFrame) -> DataFrame:
     digits = stored(digits, "substring-digits")
     # Pass three. The texts are dealt by doc once, for this join and the caller's.
     opened = digits.where("not later and till = 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "crowd")).alias("marks"))
-    contexts = texts.join(opened, "doc").select("doc", "t", "marks").mapInArrow(_contexts, "anchor long, crowd long, doc long, place long, low long, bytes binary")
+    contexts = texts.join(opened, "doc").select("doc", "part", "t", "marks").mapInArrow(_contexts, "anchor long, crowd long, doc long, place long, low long, bytes binary")
     few = contexts.where(F.col("crowd") <= CROWD).select("anchor", "doc", "place", "low", "bytes").repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
     few = few.mapInArrow(_resolved, "doc long, begin long, end long")
     many = contexts.where(F.col("crowd") > CROWD).select("doc", "place", "low", "bytes").mapInArrow(_dealt, "k1 long, k2 long, doc long, place long")
@@ -351,36 +359,50 @@ def covers(texts: DataFrame) -> DataFrame:
     ranges = lambda d, b, e: d.select("doc", b.cast("long").alias("begin"), e.cast("long").alias("end"))
     place = F.col("place")
     every = ranges(digits.where("till > 0"), place, F.col("till"))
-    every = every.unionByName(ranges(digits.where("later and till = 0"), F.greatest(place - REACH, F.lit(0)), place + WINDOW))
+    every = every.unionByName(ranges(digits.where("later and till = 0"), F.greatest(place - REACH, F.shiftleft(F.shiftright(place, SHIFT), SHIFT)), place + WINDOW))
     every = every.unionByName(few).unionByName(ranges(many, place, place + WINDOW))
     return every.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """(doc, part, t) of (doc, t): part is 0, but tells rows apart that share an id."""
+    several = stored(texts.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc"), "substring-shared-ids")
+    alone = texts.select("doc", F.lit(0).cast("long").alias("part"), "t")
+    if several.isEmpty():
+        return alone
+    same = texts.join(several, "doc", "left_semi").repartition(PARTS, "doc", "t").sortWithinPartitions("doc", "t")
+    row = F.monotonically_increasing_id()
+    same = stored(same.select("doc", (row.bitwiseAND(F.lit((1 << 33) - 1)) * PARTS + F.shiftright(row, 33)).alias("part"), "t"), "substring-shared-texts")
+    if same.agg(F.max("part")).first()[0] >> (62 - SHIFT):
+        raise ValueError("too many rows share their ids")
+    return alone.join(several, "doc", "left_anti").unionByName(same)
+
+
 def dedup(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (spans).
 
     Strings are judged on the input. A null text is empty; texts of fewer than 100 bytes lose
-    nothing; rows with a null id lose nothing and count for no one; rows that repeat an id are taken
-    for one document (give each its own id); an empty table gives an empty result; other columns
-    are not read.
+    nothing; rows with a null id lose nothing and count for no one; rows that share an id stand one
+    after the other, in an order that depends on the rows only, and no match crosses from one to the
+    next; an empty table gives an empty result; other columns are not read.
     """
     prepare(df.sparkSession)
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
+    texts = numbered(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, part, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode()
-                runs, kept = _cut(raw, marks)
+                runs, kept = _cut(raw, marks, part << SHIFT)
                 rows.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs))
             kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = list(zip(*rows)) or [()] * 6
             columns[5] = [[{"start": b, "end": e} for b, e in runs] for runs in columns[5]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    known = texts.join(covers(texts), "doc", "left").select("doc", "t", "covers")
-    loose = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.col(text_col).alias("t"), F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("covers"))
+    known = texts.join(covers(texts), "doc", "left").select("doc", "part", "t", "covers")
+    loose = df.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.lit(0).cast("long").alias("part"), F.col(text_col).alias("t"), F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("covers"))
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     out = known.mapInArrow(cut, schema).unionByName(loose.mapInArrow(cut, schema))
     return out.withColumnRenamed("doc", id_col).withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))

@@ -587,6 +587,28 @@ def test_substrings(spark, monkeypatch, block, crowd):
     assert substrings.dedup(docs(spark, []), "doc_id", "text").count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Each row loses only what repeats in its own bytes, and one copy of each passage stays."""
+    r = random.Random(15)
+    passage, other, lone = (prose(r, 40) for _ in range(3))
+    rows = [(1, passage), (5, f"{lone} {passage}"), (5, other), (5, f"{prose(r, 9)} {other}"), (7, passage), (5, lone), (None, passage), (5, None)]
+    out = [x for x in substrings.dedup(docs(spark, rows).repartition(3), "doc_id", "text").collect()]
+    assert Counter((x.doc_id, x.n_bytes) for x in out) == Counter((k, len((t or "").encode())) for k, t in rows)
+    left, every = Counter(), {hashlib.sha256(b"").hexdigest()}
+    for k, t in rows:
+        for x in (y for y in out if (y.doc_id, y.n_bytes) == (k, len((t or "").encode()))):
+            raw, kept, at = (t or "").encode(), [], 0
+            for s in x.spans:
+                kept.append(raw[at : s.start])
+                at = s.end
+            kept = b"".join([*kept, raw[at:]])
+            assert hashlib.sha256(kept).hexdigest() == x.kept_sha256 and sum(s.end - s.start for s in x.spans) == x.n_removed
+            for name, text in (("passage", passage), ("other", other), ("lone", lone)):
+                left[name] += text.encode() in kept and k is not None
+    assert left == {"passage": 1, "other": 1, "lone": 1}
+    assert {tuple(x) for x in substrings.dedup(docs(spark, rows), "doc_id", "text").drop("spans").collect()} == {tuple(x)[:-1] for x in out}
+
+
 def base_secrets(text):
     a = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
     b = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]

@@ -42,3 +42,27 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(60), SF).columns == docs.columns, name
     assert decontam.CONTAINED == 0.8 and decontam.SHINGLE == 5
+
+
+def run_on(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_awkward_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    rows = [(*r, "x", k) for k, r in enumerate(docs)]
+    good = max(docs, key=lambda r: len(r.text))
+    rows += [(None, good.text, "en", "s", 5, "y", 1), (900, None, "en", "s", None, "y", 2), (901, "", None, None, 0, None, None), (902, good.text, "en", "s", 1, "z", 3), (902, good.text, "en", "s", 1, "z", 3)]
+    names = [f.name for f in spark.read.parquet(f"{SF}/documents.parquet").schema]
+    schema = ", ".join([*(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names), "__gone string", "kept long"])
+    pieces = run_on(spark, tmp_path, rows, schema)
+    ids = {p.doc_id for p in pieces}
+    assert ids and not ids & {900, 901, 902} and ids <= {None, *(r.doc_id for r in docs)}
+    assert sum(p.doc_tokens for p in pieces if p.start == 0) == sum(p.length for p in pieces)
+
+
+def test_empty_table(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    assert run_on(spark, tmp_path, [], schema) == []
