@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkcell.llm import decontam, neardup, packing, pii, quality
-from sparkcell.llm.common import stored, table
+from sparkcell.llm.common import remove, stored, table, tables
 from sparkcell.llm.tokens import vocabulary
 
 
@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of all stages. Null and empty texts fail the quality rules, rows that share an id are
+    judged as the stages' operators say, an empty table gives no pieces, extra columns go along until
+    packing. What a stage wrote on its way is removed once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), set(tables())
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"stage-{k}")
+            remove(spark, [p for p in tables() if p not in before][:-1])
     return docs
