@@ -33,7 +33,7 @@ from itertools import groupby
 import numpy as np
 
 #: Compiled words (about 200 bytes each) and states (about 700) that a worker keeps.
-WORDS_KEPT, STATES = 600_000, 250_000
+WORDS_KEPT, STATES = 1_000_000, 250_000
 #: Characters of a piece that the machine reads, at most.
 LONG = 512
 #: Characters in a chunk.
@@ -114,9 +114,7 @@ class Vocabulary:
     def cut(self, text: str) -> list[str]:
         """The keys of a text's words, in order. A piece for the library is one key, after a space."""
         if "<|" not in text and PLAIN.fullmatch(text):
-            out = WORDS.findall(text.lower())
-            if len(max(out, key=len, default="")) <= LONG:
-                return out
+            return WORDS.findall(text.lower())
         out = []
         for plain, part in stretches(text):
             out += WORDS.findall(part.lower()) if plain else [" " + part]
@@ -129,8 +127,8 @@ class Vocabulary:
             self.words.clear()
         by_size: dict[int, list[tuple[bytes, str]]] = {}
         for key in keys.difference(self.words):
-            if key[0] == " ":
-                self.words[key] = self.library(key[1:])
+            if key[0] == " " or len(key) > LONG:
+                self.words[key] = self.library(key.removeprefix(" "))
             else:
                 raw = key.encode()
                 by_size.setdefault(len(raw), []).append((raw, key))

@@ -41,7 +41,7 @@ MISS = 4e-7
 OP3_SHINGLE, OP3_PERCENT = 3, 85
 SHINGLE, PERCENT = 5, 80
 #: Places of the one-permutation hash whose samples a sketch folds, and its bits.
-PLACES, BITS = 2048, 2048
+PLACES, BITS = 16384, 2048
 #: Standard deviations that an estimate may lie below the threshold.
 SLACK = 5
 SALT = 1024
@@ -140,12 +140,10 @@ def signed(texts: list[str | None], shingle: int, percent: int) -> tuple[np.ndar
 
     keys = np.concatenate([folded(samples.reshape(len(texts), -1, WIDTH * w), w) for w in (1, 2, 4)], 1)
     # One permutation: a hash's high bits are its place, and the least hash of a place its sample.
-    hashed = mixed(value * _BASE)
-    place = owner * PLACES + (hashed >> np.uint64(53)).astype(np.int64)
-    least = np.full(len(texts) * PLACES, ~np.uint64(0))
-    np.minimum.at(least, place, hashed)
-    at = np.flatnonzero(np.bincount(place, minlength=len(least)))
-    doc, bit = at // PLACES, (mixed(least[at] ^ (_BASE >> np.uint64(7))) % np.uint64(BITS)).astype(np.int64)
+    # Hashes are in order, so that is the first of each place.
+    place = owner * PLACES + (value >> np.uint64(65 - PLACES.bit_length())).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+    doc, bit = owner[at], (mixed(value[at] * _BASE) % np.uint64(BITS)).astype(np.int64)
     parity = np.packbits((np.bincount(doc * BITS + bit, minlength=len(texts) * BITS) & 1).astype(np.uint8)).view(np.int64).reshape(len(texts), -1)
     return n, sums[0].view(np.int64), sums[1].view(np.int64), keys.view(np.int64), np.bincount(doc, minlength=len(texts)), parity
 
@@ -188,16 +186,20 @@ def _near(x: str, y: str, percent: int) -> Column:
     filled = lambda n: PLACES * (1 - F.pow(F.lit(1 - 1 / PLACES), n))
     union = (c("n", x) + c("n", y)) / (1 + t)
     places = filled(union) + (c("m", x) - filled(c("n", x)) + c("m", y) - filled(c("n", y))) / 2
-    apart = F.least(differing(c("sketch", x), c("sketch", y)) * (2.0 / BITS), F.lit(0.999))
-    lost = -BITS / 2 * F.log(1 - apart)
+    bits = differing(c("sketch", x), c("sketch", y))
+    lost = -BITS / 2 * F.log(1 - F.least(bits * (2.0 / BITS), F.lit(0.999)))
     # Variances at the threshold: the choice of `places` samples out of the union; whether what only
-    # one of the sets has falls on a filled place, half of which shows in m_x and m_y; and, of `there` samples that are not common, the
-    # BITS / 4 * (e ** r - 1 - r) with r = 4 * there / BITS that any odd sketch adds to `lost`.
+    # one of the sets has falls on a filled place, half of which shows in m_x and m_y; and, of the
+    # samples that are not common, the BITS / 4 * (e ** ratio - 1 - ratio) with ratio = 4 / BITS times
+    # their number that any odd sketch adds to `lost`.
     share = F.least(places / PLACES, F.lit(1.0))
     choice = places * (t * (1 - t)) * (1 - F.least(places / union, F.lit(1.0)))
     ratio = F.greatest(c("m", x) + c("m", y) - 2 * t * places, F.lit(1.0)) * (4.0 / BITS)
-    error = F.sqrt(choice + union * (1 - t) * share * (1 - share) * (t * t / 4) + BITS / 16 * (F.exp(ratio) - 1 - ratio))
-    return sizes & ((c("m", x) + c("m", y) - lost) / 2 >= t * places - SLACK * error - 1)
+    sampling = choice + union * (1 - t) * share * (1 - share) * (t * t / 4)
+    all_of = c("m", x) + c("m", y)
+    common = lambda error: t * places - SLACK * F.sqrt(error)
+    # Bits never count more than the samples that differ, which helps small sets; estimates large ones.
+    return sizes & (bits <= all_of - 2 * common(sampling)) & ((all_of - lost) / 2 >= common(sampling + BITS / 16 * (F.exp(ratio) - 1 - ratio)) - 1)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
