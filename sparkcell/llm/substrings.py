@@ -40,7 +40,7 @@ PARTS = 64
 #: Windows that may have an anchor at their first to last place.
 REACH = WINDOW - GRAM
 #: Bytes that are worked on at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Contexts of one anchor that one task may sort, and rows that it sorts together.
 CROWD, TOGETHER = 65_536, 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
