@@ -29,9 +29,13 @@ def entropy_term(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-def min_max_100(value: Column, *by: str) -> Column:
+def min_max_100(value: Column, *by: str, n: Column | None = None) -> Column:
+    """0 to 100 within `by`. With n, as many values belong to each: those that have no row are 0."""
     w = Window.partitionBy(*by)
     low, high = F.min(value).over(w), F.max(value).over(w)
+    if n is not None:
+        some = F.count(value).over(w) < n
+        low, high = F.when(some, F.least(low, F.lit(0.0))).otherwise(low), F.when(some, F.greatest(high, F.lit(0.0))).otherwise(high)
     return F.coalesce(F.try_divide(100 * (value - low), high - low), F.when(value.isNotNull(), 0.0))
 
 

@@ -74,7 +74,7 @@ def bootstrap_positive(counts: DataFrame, groups: DataFrame, samples: int = 100,
     Cell c has weight Poisson(1) in resample b, from a hash of (c, b), so it is repeatable and each
     gene sees the same resample. Bounds are the (1 - alpha) / 2 tails.
     """
-    u = F.pmod(F.xxhash64("cell_id", "b"), F.lit(1 << 30)) / float(1 << 30)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("cell_id").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     steps, cumulative, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         cumulative += term
@@ -101,10 +101,12 @@ def label_positions(points: DataFrame, groups: DataFrame, per: str = "grp", top:
     return places.join(size, "grp").select(*dict.fromkeys(["grp", per, "x", "y", "share"]))
 
 
-def marker_values(values: DataFrame, min_expr: float = 0.1, scale: bool = True) -> DataFrame:
-    """Values for colouring: 0 to 100 for each gene with `scale`, and null below min_expr."""
-    v = min_max_100(F.col("value"), "gene_id") if scale else F.col("value")
-    return values.select("cell_id", "gene_id", v.alias("value")).withColumn("value", F.when(F.col("value") >= min_expr, F.col("value")))
+def marker_values(values: DataFrame, cells: DataFrame, min_expr: float = 0.1, scale: bool = True) -> DataFrame:
+    """Values for colouring: 0 to 100 for each gene over all cells with `scale`, and null below
+    min_expr. A cell without a stored value has 0, which is null here, and has no row."""
+    every = values.crossJoin(F.broadcast(cells.agg(F.count(F.lit(1)).alias("n_cells"))))
+    v = min_max_100(F.col("value"), "gene_id", n=F.col("n_cells")) if scale else F.col("value")
+    return every.select("cell_id", "gene_id", v.alias("value")).withColumn("value", F.when(F.col("value") >= min_expr, F.col("value")))
 
 
 def violin_values(counts: DataFrame, factors: DataFrame, cells: DataFrame, genes: DataFrame, min_expr: float = 0, pseudocount: float = 0) -> DataFrame:
@@ -119,5 +121,5 @@ def violin_values(counts: DataFrame, factors: DataFrame, cells: DataFrame, genes
 
 def sampled(groups: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n cells of each group, by a hash of id and seed: the same ones each time."""
-    w = Window.partitionBy("grp").orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")
+    w = Window.partitionBy("grp").orderBy(F.md5(F.concat_ws(":", F.col("cell_id").cast("string"), F.lit(str(seed))).cast("binary")), "cell_id")
     return groups.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")

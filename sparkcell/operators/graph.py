@@ -88,6 +88,8 @@ def pseudotime(edges: DataFrame, nodes: DataFrame, roots: DataFrame, rounds: int
         d = new.select("node", "d")
         if new.where("less").isEmpty():
             break
+    else:
+        raise RuntimeError(f"distances still shrink after {rounds} rounds")
     return d.withColumnRenamed("d", "pseudotime")
 
 

@@ -52,8 +52,10 @@ def top_n(scores: DataFrame, n: int, by: str = "marker_score") -> DataFrame:
     return scores.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def logistic_test(x: np.ndarray, member: np.ndarray, n_all: int, rounds: int = 25) -> tuple[float, float]:
-    """(pseudo R squared, p) of member ~ ln(x + 0.1) against the intercept alone; (0, 1) on failure."""
+def logistic_test(x: np.ndarray, member: np.ndarray, n_all: int, rounds: int = 25, times: np.ndarray | None = None) -> tuple[float, float]:
+    """(pseudo R squared, p) of member ~ ln(x + 0.1) against the intercept alone; (0, 1) on failure.
+    times says for how many cells each row stands."""
+    times = np.ones(len(x)) if times is None else times
     design = np.column_stack([np.ones(len(x)), np.log(x + 0.1)])
 
     def fit(d: np.ndarray) -> tuple[float, bool]:
@@ -61,9 +63,9 @@ def logistic_test(x: np.ndarray, member: np.ndarray, n_all: int, rounds: int = 2
         for _ in range(rounds):
             mu = 1 / (1 + np.exp(-np.clip(d @ beta, -500, 500)))
             w = np.maximum(mu * (1 - mu), 1e-12)
-            beta = np.linalg.solve((d * w[:, None]).T @ d, d.T @ (w * (d @ beta) + member - mu))
+            beta = np.linalg.solve((d * (times * w)[:, None]).T @ d, d.T @ (times * (w * (d @ beta) + member - mu)))
             mu = np.clip(1 / (1 + np.exp(-np.clip(d @ beta, -500, 500))), 1e-15, 1 - 1e-15)
-            ll = float((member * np.log(mu) + (1 - member) * np.log(1 - mu)).sum())
+            ll = float((times * (member * np.log(mu) + (1 - member) * np.log(1 - mu))).sum())
             if abs(ll - before) < 1e-8 * (abs(ll) + 0.1):
                 return ll, True
             before = ll
@@ -85,8 +87,8 @@ def marker_test(candidates: DataFrame, counts: DataFrame, factors: DataFrame, gr
     """candidates with pseudo_R2, marker_test_p_value and its Bonferroni q over all genes and groups.
 
     Only candidate (gene, grp) rows are tested. A task gets one gene's stored entries with their
-    groups; cells without an entry are alike but for their group, so they come as counts by group:
-    the test needs them as weights only. With reference_cells, each group is tested against itself
+    groups; cells without an entry are alike but for being in the group or not, so they are two rows
+    with weights. With reference_cells, each group is tested against itself
     and so many sampled cells.
     """
     panel = groups if reference_cells is None else groups.join(sampled(groups.withColumn("grp", F.lit(1)), reference_cells).select("cell_id"), "cell_id", "left_semi")
@@ -101,13 +103,10 @@ def marker_test(candidates: DataFrame, counts: DataFrame, factors: DataFrame, gr
         out = []
         for grp in wanted["grp"]:
             used = rows[(rows["g"] == grp) | rows["in_panel"]]
-            values, member = [used["x"].to_numpy()], [(used["g"] == grp).to_numpy(float)]
-            for g in sizes:
-                total = sizes[g] if g == grp else rest.get(g, 0)
-                zeros = total - int((used["g"] == g).sum())
-                values.append(np.zeros(zeros))
-                member.append(np.full(zeros, float(g == grp)))
-            r2, p = logistic_test(np.concatenate(values), np.concatenate(member), n_all)
+            own = int((used["g"] == grp).sum())
+            zeros = [sizes[grp] - own, sum(n for g, n in rest.items() if g != grp) - (len(used) - own)]  # cells of the group and others
+            member = np.concatenate([(used["g"] == grp).to_numpy(float), [1.0, 0.0]])
+            r2, p = logistic_test(np.concatenate([used["x"].to_numpy(), [0.0, 0.0]]), member, n_all, times=np.concatenate([np.ones(len(used)), zeros]))
             out.append((key[0], grp, r2, p))
         return pd.DataFrame(out, columns=["gene_id", "grp", "pseudo_R2", "marker_test_p_value"])
 

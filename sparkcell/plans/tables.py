@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def r(e: str) -> str:
     return f"round({e}, 6) + 0.0::double"
 
 
+def normal_tail(z: str) -> str:
+    """Upper tail of the standard normal, by the error function's series of positive terms."""
+    terms = f"list_sum(list_transform(range(0, 160), lambda k: exp(k * ln(2) + (2 * k + 1) * ln(greatest(abs({z}), 1e-30::double) / sqrt(2)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    half = f"case when abs({z}) > 8 then 0.5::double else 0.5 * 2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * {terms} end"
+    return f"(0.5 - sign({z}) * ({half}))"
+
+
 def q01(s: SparkSession, d: str) -> DataFrame:
     ds = v.x1(s, d)
     a, b = v.factors(ds), v.factors(ds, nz.METHODS[1]).withColumnRenamed("size_factor", "b")
@@ -253,10 +262,10 @@ select grp, part, {r('x')} as x, {r('y')} as y, {r('share')} as share from m joi
 
 def q17(s, d):
     ds = v.x2(s, d)
-    return agg.marker_values(nz.normalized(ds.counts, v.factors(ds), "log"), 0.1).select("cell_id", "gene_id", r6("value").alias("value"))
+    return agg.marker_values(nz.normalized(ds.counts, v.factors(ds), "log"), ds.cells, 0.1).select("cell_id", "gene_id", r6("value").alias("value"))
 
 
-S17 = f"""with {X2}, e as (select x.cell_id, gene_id, log10(value / size_factor + 1) as v from x join sf using (cell_id)), m as (select *, min(v) over (partition by gene_id) as lo, max(v) over (partition by gene_id) as hi from e),
+S17 = f"""with {X2}, e as (select x.cell_id, gene_id, log10(value / size_factor + 1) as v from x join sf using (cell_id)), m as (select *, case when count(*) over (partition by gene_id) < (select count(*) from cells) then least(0, min(v) over (partition by gene_id)) else min(v) over (partition by gene_id) end as lo, max(v) over (partition by gene_id) as hi from e),
 z as (select cell_id, gene_id, case when hi > lo then 100 * (v - lo) / (hi - lo) else 0 end as v from m) select cell_id, gene_id, case when v >= 0.1::double then {r('v')} end as value from z"""
 
 
@@ -271,19 +280,13 @@ def adjusted(x):
 
 
 def q24(s, d):
-    """The fifth of the events that S24 is about; q24b adjusts all."""
-    return adjusted(event_p(s, d).where("event_id % 5 = 0"))
-
-
-def q24b(s, d):
     return adjusted(event_p(s, d))
 
 
-S24 = f"""with e as (select event_id, event_type as grp, case when event_id % 17 <> 0 then round((event_id * 7919 % 10007) / 10007.0::double * (event_id * 104729 % 10009) / 10009.0::double, 12) end as p from events where event_id % 5 = 0),
+S24 = f"""with e as (select event_id, event_type as grp, case when event_id % 17 <> 0 then round((event_id * 7919 % 10007) / 10007.0::double * (event_id * 104729 % 10009) / 10009.0::double, 12) end as p from events),
 i as (select *, count(p) over (partition by grp) as m, row_number() over (partition by grp order by p nulls last) as i from e)
 select event_id, case when p is not null then {r('least(1, max((m - i + 1) * p) over (partition by grp order by i rows unbounded preceding))')} end as holm,
 case when p is not null then {r('least(1, min(m / i * p) over (partition by grp order by i desc rows unbounded preceding))')} end as bh, case when p is not null then {r('least(1, m * p)')} end as bonferroni from i"""
-S24B = S24.replace(" where event_id % 5 = 0", "")
 
 
 def q46(s, d):
@@ -301,17 +304,28 @@ def q47(s, d):
     return agg.sampled(v.groups(v.x2(s, d), "segment"), 20, seed=3).select("cell_id", F.col("grp").alias("segment"))
 
 
+S47 = f"with {X2} select cell_id, segment from cells qualify row_number() over (partition by segment order by md5(cell_id::varchar || ':3'), cell_id) <= 20"
+
+
 def q51(s, d):
     ds = v.x2(s, d)
-    return agg.violin_values(ds.counts, v.factors(ds), ds.cells, ds.genes.where("gene_id in ('Brand#1', 'Brand#2')"), 0.5, 0.3).select("cell_id", "gene_id", r6("value").alias("value"))
+    return agg.violin_values(ds.counts, v.factors(ds), ds.cells, ds.genes, 0.5, 0.3).select("cell_id", "gene_id", r6("value").alias("value"))
 
 
-S51 = f"with {X2} select c.cell_id, g.gene_id, {r('greatest(coalesce(value, 0) / size_factor + 1, 0.5)')} as value from cells c cross join (select unnest(['Brand#1', 'Brand#2']) as gene_id) g left join x on x.cell_id = c.cell_id and x.gene_id = g.gene_id join sf on sf.cell_id = c.cell_id"
+S51 = f"with {X2} select c.cell_id, g.gene_id, {r('greatest(coalesce(value, 0) / size_factor + 1, 0.5)')} as value from cells c cross join (select distinct p_brand as gene_id from part) g left join x on x.cell_id = c.cell_id and x.gene_id = g.gene_id join sf on sf.cell_id = c.cell_id"
 
 
 def q52(s, d):
     ds = v.x2(s, d)
-    return agg.bootstrap_positive(ds.counts, v.groups(ds, "segment"), 50, min_expr=10).select("gene_id", F.col("grp").alias("segment"), "mean", "low", "high")
+    return agg.bootstrap_positive(ds.counts, v.groups(ds, "segment"), 50, min_expr=10).select("gene_id", F.col("grp").alias("segment"), *(r6(c).alias(c) for c in ("mean", "low", "high")))
+
+
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+S52 = f"""with {X2}, u as (select cell_id, segment, b, ('0x' || substr(md5(cell_id::varchar || ':' || b::varchar), 1, 8))::bigint / 4294967296.0::double as u from cells, range(1, 51) t(b)),
+w as (select cell_id, segment, b, {' + '.join(f'(u >= {x!r}::double)::int' for x in POISSON)} as w from u), n as (select segment, b, sum(w) as n from w where w > 0 group by 1, 2),
+h as (select gene_id, segment, b, sum(w) as k from x join w using (cell_id) where value > 10 group by 1, 2, 3),
+f as (select g.gene_id, n.segment, coalesce(k, 0) / n.n as f from (select distinct gene_id from x) g cross join n left join h on h.gene_id = g.gene_id and h.segment = n.segment and h.b = n.b)
+select gene_id, segment, {r('avg(f)')} as mean, {r('quantile_cont(f, 0.025)')} as low, {r('quantile_cont(f, 0.975)')} as high from f group by 1, 2"""
 
 
 QUERIES = {
@@ -320,6 +334,6 @@ QUERIES = {
     "q07_top_markers": (q07, S07), "q08_marker_lines": (q08, S08), "q09_umi_cutoff": (q09, S09), "q10_gene_lookup": (q10, S10),
     "q11a_combine_union": (q11, S11), "q11b_combine_intersection": (q11b, S11B), "q12a_tfidf": (q12a, S12A), "q12b_tfidf_documents": (q12b, S12B),
     "q13_log2_moments": (q13, S13), "q14_percent_positive": (q14, S14), "q15a_genes_by_group": (q15, S15), "q15b_genes_by_group_pivot": (q15b, S15B),
-    "q16_label_positions": (q16, S16), "q17_marker_values": (q17, S17), "q24_p_adjust": (q24, S24), "q24b_p_adjust_all": (q24b, S24B), "q46_excluded_groups": (q46, S46),
-    "q47_group_sample": (q47, None), "q51_violin_values": (q51, S51), "q52_bootstrap_positive": (q52, None),
+    "q16_label_positions": (q16, S16), "q17_marker_values": (q17, S17), "q24_p_adjust": (q24, S24), "q46_excluded_groups": (q46, S46),
+    "q47_group_sample": (q47, S47), "q51_violin_values": (q51, S51), "q52_bootstrap_positive": (q52, S52),
 }

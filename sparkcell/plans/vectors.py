@@ -11,7 +11,7 @@ from ..operators import plotdata as pd_
 from ..operators import spatial as sp
 from ..operators import transfer as tr
 from . import views as v
-from .tables import r
+from .tables import normal_tail, r
 
 V = "v as (select vec_id as id, embedding::double[] as e, label from embeddings)"
 
@@ -20,19 +20,19 @@ def knn_sql(k: int, distance: str, subject: str = "true", query: str = "true", o
     return f"select q.id, s.id as nb, {distance} as d, row_number() over (partition by q.id order by case when q.id = s.id then -1 else {distance} end, s.id) as r from v q join v s on {query} and {subject}{'' if own else ' and q.id <> s.id'} qualify r <= {k}"
 
 
-EUCLID = "list_distance(q.e, s.e)"
+EUCLID, COSINE = "list_distance(q.e, s.e)", "1 - list_cosine_similarity(q.e, s.e)"
 
 
 def q18(metric):
     def q(s, d):
         x = v.r1(s, d)
-        return nb.knn(x, x.where("cell_id % 2 = 0"), 6, nb.KnnConfig(metric=metric)).select("cell_id", "neighbor", r6("distance").alias("distance"), "rank")
+        return nb.knn(x, x, 6, nb.KnnConfig(metric=metric)).select("cell_id", "neighbor", r6("distance").alias("distance"), "rank")
 
     return q
 
 
 def s18(distance):
-    return f"with {V}, k as ({knn_sql(6, distance, query='q.id % 2 = 0')}) select id as cell_id, nb as neighbor, {r('case when id = nb then 0 else d end')} as distance, r::int as rank from k"
+    return f"with {V}, k as ({knn_sql(6, distance)}) select id as cell_id, nb as neighbor, {r('case when id = nb then 0 else d end')} as distance, r::int as rank from k"
 
 
 MANHATTAN = "list_sum(list_transform(list_zip(q.e, s.e), lambda z: abs(z[1] - z[2])))"
@@ -105,12 +105,17 @@ select c1, c2, links, {r('theta')} as theta, round(theta * (1 - theta) / t * 1e6
 
 def q23(s, d):
     t = links(s, d).withColumn("p", normal_sf_udf(F.coalesce("z", F.lit(0.0))))
-    return p_adjust(t, "p", "q").select("c1", "c2", "p", "q")
+    return p_adjust(t, "p", "q").select("c1", "c2", r6("p").alias("p"), r6("q").alias("q"))
+
+
+HOLM = "least(1, max((m - i + 1) * p) over (order by i rows unbounded preceding))"
+S23 = S22[: S22.rindex("select c1, c2, links")].rstrip() + f""", s as (select c1, c2, coalesce((links / t - theta) / nullif(sqrt(theta * (1 - theta) / t), 0), 0) as z from z), a as (select c1, c2, {normal_tail('z')} as p from s),
+i as (select *, count(*) over () as m, row_number() over (order by p) as i from a) select c1, c2, {r('p')} as p, {r(HOLM)} as q from i"""
 
 
 def spatial_inputs(s, d):
     x = v.r1(s, d)
-    w = sp.weights(nb.knn(x, x, 8, exclude_self=True))
+    w = v.kept(sp.weights(nb.knn(x, x, 8, exclude_self=True)))
     values = x.select("cell_id", F.posexplode("vec").alias("gene_id", "value")).where("value > 0")
     return values, x.select("cell_id"), w
 
@@ -120,28 +125,27 @@ def moran_geary(values, cells, w):
 
 
 def q25(s, d):
-    """The dimensions that S25 is about; q25c has all."""
-    values, cells, w = spatial_inputs(s, d)
-    return moran_geary(values.where("gene_id < 12"), cells, w)
-
-
-def q25c(s, d):
     return moran_geary(*spatial_inputs(s, d))
 
 
 S25 = f"""with {V}, k as ({knn_sql(8, EUCLID, own=False)}), w as (select id as i, nb as j, 0.125::double as w from k), n as (select count(*)::double as n from v),
-y as (select id, g, greatest(e[g + 1], 0) as y from v, range(12) t(g)), mu as (select g, avg(y) as m from y group by 1), z as (select id, y.g, y - m as z from y join mu using (g)),
+y as (select id, g, greatest(e[g + 1], 0) as y from v, range(64) t(g)), mu as (select g, avg(y) as m from y group by 1), z as (select id, y.g, y - m as z from y join mu using (g)),
 st as (select g, sum(z * z) as ss, avg(pow(z, 4)) / pow(avg(z * z), 2) as k from z group by 1), cr as (select a.g, sum(w * a.z * b.z) as wz, sum(w * pow(a.z - b.z, 2)) as wd from w join z a on a.id = i join z b on b.id = j and b.g = a.g group by 1),
 c as (select n, (select sum(w) from w) as s0, (select sum(pow(coalesce(a.w, 0) + coalesce(b.w, 0), 2)) / 2 from w a full join w b on a.i = b.j and a.j = b.i) as s1, (select sum(pow(o, 2)) from (select id, coalesce((select sum(w) from w where i = v.id), 0) + coalesce((select sum(w) from w where j = v.id), 0) as o from v)) as s2 from n),
 q as (select g, n / s0 * wz / ss as i, -1 / (n - 1) as e, (n * (s1 * (n * n - 3 * n + 3) - n * s2 + 3 * s0 * s0) - k * (s1 * (n * n - n) - 2 * n * s2 + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - 1 / pow(n - 1, 2) as vi,
 (n - 1) / (2 * s0) * wd / ss as gc, ((n - 1) * s1 * (n * n - 3 * n + 3 - k * (n - 1)) - 0.25::double * (n - 1) * s2 * (n * n + 3 * n - 6 - k * (n * n - n + 2)) + s0 * s0 * (n * n - 3 - k * pow(n - 1, 2))) / (n * (n - 2) * (n - 3) * s0 * s0) as vc from st join cr using (g) cross join c)
 select g::int as gene_id, {r('i')} as morans_i, {r('e')} as e_i, {r('(i - e) / sqrt(vi)')} as z_i, {r('gc')} as gearys_c, {r('(1 - gc) / sqrt(vc)')} as z_c from q"""
-S25C = S25.replace("range(12)", "range(64)")
 
 
 def q25b(s, d):
     values, cells, w = spatial_inputs(s, d)
-    return sp.graph_test(values, values.select("gene_id").distinct(), cells, w)
+    t = sp.graph_test(values, values.select("gene_id").distinct(), cells, w)
+    return t.select("gene_id", "status", *(r6(c).alias(c) for c in ("statistic", "z", "p_value", "q_value")))
+
+
+S25B = S25[: S25.rindex("select g::int")].rstrip() + f""", zz as (select g, i as stat, (i - e) / sqrt(vi) as z from q), a as (select g, stat, z, {normal_tail('z')} as p from zz),
+i as (select *, count(*) over () as m, row_number() over (order by p) as i from a)
+select g::int as gene_id, 'OK' as status, {r('stat')} as statistic, {r('z')} as z, {r('p')} as p_value, {r('least(1, min(m / i * p) over (order by i desc rows unbounded preceding))')} as q_value from i"""
 
 
 def split(x):
@@ -206,6 +210,11 @@ def q44(s, d):
     return gr.pseudotime_driver(s, tree, ["Y_0", "Y_5"]).where("not startswith(node, 'Y_')").select(F.col("node").alias("cell_id"), r6("pseudotime").alias("pseudotime"))
 
 
+S44 = S43[: S43.index("g as (select prev")].rstrip().rstrip(",").replace("l as (select cell, ", "l as (select cell, src, dst, i, ") + f""", g as (select cell, src, dst, i, abs(list_sum(p) - list_sum(pp)) as w from l), mn as (select min(w) as mn from g where w > 0),
+y as (select src, sum(list_distance(a, b)) over (order by src) - list_distance(a, b) as far from ed), dy as (select src, least(far, abs(far - (select far from y where src = 5))) as d from y)
+select cell as cell_id, {r('d + sum(w + mn) over (partition by g.src, dst order by i)')} as pseudotime from g join dy using (src), mn"""
+
+
 def q45(s, d):
     x = v.r1(s, d)
     nodes, edges = chain(x)
@@ -234,9 +243,9 @@ S55 = f"with {CENTROIDS} select a.node as src, b.node as dst, {r('a.c[1]')} as s
 
 QUERIES = {
     "q55_graph_segments": (q55, S55),
-    "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18("1 - list_cosine_similarity(q.e, s.e)")), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
+    "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18(COSINE)), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
     "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
-    "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, None), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, None), "q25c_moran_geary_all": (q25c, S25C),
+    "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, S23), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, S25B),
     "q26_label_transfer": (q26, S26), "q27_value_transfer": (q27, S27), "q28_fill_labels": (q28, S28), "q39_mutual_pairs": (q39, S39),
-    "q43_cell_tree": (q43, S43), "q44a_pseudotime": (q44, None), "q44b_degrees": (q44b, S44B), "q45_path_subset": (q45, S45),
+    "q43_cell_tree": (q43, S43), "q44a_pseudotime": (q44, S44), "q44b_degrees": (q44b, S44B), "q45_path_subset": (q45, S45),
 }

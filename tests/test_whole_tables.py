@@ -13,14 +13,14 @@ LARGER = "/root/testdata/sf0.01"
 
 
 def test_p_adjust_covers_all_events(spark):
-    query, sql = QUERIES["q24b_p_adjust_all"]
+    query, sql = QUERIES["q24_p_adjust"]
     assert query(spark, SF).count() == v.table(spark, SF, "events").count()
     assert "% 5" not in sql
     agrees(spark, query, sql)
 
 
 def test_gaussian_fits_cover_all_genes(spark):
-    query, sql = QUERIES["q29b_gaussian_fits_all"]
+    query, sql = QUERIES["q29_gaussian_fits"]
     assert v.x1(spark, LARGER).counts.select("gene_id").distinct().count() > 200 and "< 200" not in sql
     agrees(spark, query, sql, LARGER)
 
@@ -44,13 +44,13 @@ def test_tsne_lays_out_all_points(spark):
 
 
 def test_matrix_files_hold_all_cells(spark):
-    query, sql = QUERIES["q49b_matrix_files_all"]
+    query, sql = QUERIES["q49_matrix_files"]
     assert v.x1(spark, LARGER).cells.where("cell_id >= 40").count() and "< 40" not in sql
     agrees(spark, query, sql, LARGER)
 
 
 def test_graph_tests_cover_all_dimensions(spark):
-    query, sql = QUERIES["q25c_moran_geary_all"]
+    query, sql = QUERIES["q25a_moran_geary"]
     agrees(spark, query, sql)
     want = set(range(len(v.r1(spark, SF).first().vec)))
     assert {r.gene_id for r in QUERIES["q25b_graph_test"][0](spark, SF).collect()} == want and "range(64)" in sql
