@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .neighbors import dot, nearest_vertex, squared
+from ..functions.scalar import normal_sf_udf, p_adjust
+from .neighbors import cluster_links, dot, knn, nearest_vertex, squared
 
 #: A principal graph has fewer nodes than this, so it fits the driver and a broadcast.
 MAX_NODES = 10_000
@@ -157,13 +158,10 @@ def n_centers(cells: int, clusters: int) -> int:
     return int(min(round(15 * clusters * np.log10(max(cells, 2))), cells - 1))
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """((cell_id, vec, center), centres): Lloyd's rounds from evenly spaced cells in order of id, or,
-    above two million cells, by a hash of it. Centres are broadcast, sums are aggregates."""
-    n = points.count()
-    step = max(1, n // k)
-    spaced = points.select("cell_id", "vec", F.row_number().over(Window.orderBy("cell_id")).alias("i")) if n <= 2_000_000 else points.select("cell_id", "vec", F.xxhash64("cell_id").alias("i"))
-    centers = np.array([r.vec for r in spaced.where(F.pmod(F.col("i") - 1, F.lit(step)) == 0).orderBy("cell_id").limit(k).collect()])
+def kmeans(points: DataFrame, k: int, rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """((cell_id, vec, center), centres): Lloyd's rounds, until centres rest, from the k cells with the
+    least hashes of their ids. Centres are broadcast, sums are aggregates."""
+    centers = np.array([r.vec for r in points.orderBy(F.md5(F.col("cell_id").cast("string").cast("binary")), "cell_id").select("vec").limit(k).collect()])
     d = centers.shape[1]
     for _ in range(rounds):
         nodes = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "node int, vec array<double>")
@@ -265,10 +263,47 @@ def prune(tree: list[tuple[int, int, float]], minimal: int = 10, keep: set[int]
             edges.pop(frozenset((a, b)))
 
 
-def learn_graph(points: DataFrame, clusters: DataFrame | None = None, use_partition: bool = True, close_loop: bool = True, minimal_branch_len: int = 10, n_center: int | None = None, sigma: float = 0.01, gamma: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the principal graph: a tree for each partition, tips joined and short
-    branches dropped. points has cell_id and vec; clusters has cell_id, cluster and partition."""
-    spark = points.sparkSession
+#: Names of the control parameters, with the values they have unless given.
+CONTROL = {
+    "euclidean_distance_ratio": 1.0, "geodesic_distance_ratio": 1 / 3, "minimal_branch_len": 10, "orthogonal_proj_tip": False, "prune_graph": True, "scale": False,
+    "ncenter": None, "maxiter": 10, "eps": 1e-5, "L1.gamma": 0.5, "L1.sigma": 0.01, "nn.k": 25,
+}
+
+
+def checked_control(control: dict | None, **given) -> dict:
+    """CONTROL with what is given; unknown names and values out of range are errors."""
+    unknown = sorted(set(control or {}) - set(CONTROL))
+    if unknown:
+        raise ValueError(f"Unknown variable in learn_graph_control: {', '.join(unknown)}")
+    out = {**CONTROL, **{k: v for k, v in given.items() if v is not None}, **(control or {})}
+    for name in ("orthogonal_proj_tip", "prune_graph", "scale"):
+        if not isinstance(out[name], bool):
+            raise ValueError(f"learn_graph_control {name} must be TRUE or FALSE")
+    for name in ("euclidean_distance_ratio", "geodesic_distance_ratio", "maxiter", "eps", "L1.gamma", "L1.sigma", "nn.k"):
+        if not out[name] > 0:
+            raise ValueError(f"learn_graph_control {name} must be positive")
+    if out["orthogonal_proj_tip"]:
+        raise ValueError("learn_graph_control orthogonal_proj_tip is not supported: cells beyond a tip are projected to it")
+    if out["ncenter"] is not None and not 2 <= out["ncenter"] <= MAX_NODES:
+        raise ValueError(f"learn_graph_control ncenter must lie between 2 and {MAX_NODES}")
+    return out
+
+
+def linked_nodes(points: DataFrame, near: DataFrame, centers: np.ndarray, threshold: float = 0.05) -> set[tuple[int, int]]:
+    """Pairs of nodes whose cells are neighbours more often than their numbers suggest: the normal
+    test of links between clusters, with Holm's adjustment."""
+    nodes = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "node int, vec array<double>")
+    groups = nearest_vertex(points, nodes).select("cell_id", F.col("node").alias("cluster"))
+    t = cluster_links(near.select(F.col("cell_id").alias("src"), F.col("neighbor").alias("dst")), groups).where("links > 0")
+    t = p_adjust(t.withColumn("p", normal_sf_udf(F.coalesce("z", F.lit(0.0)))), "p", "q")
+    return {(r.c1, r.c2) for r in t.where(F.col("q") < threshold).select("c1", "c2").collect()}  # pairs of at most MAX_NODES nodes that are linked
+
+
+def learn_graph(points: DataFrame, clusters: DataFrame | None = None, use_partition: bool = True, close_loop: bool = True, minimal_branch_len: int | None = None, n_center: int | None = None, sigma: float | None = None, gamma: float | None = None, control: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the principal graph: a tree for each partition from the medoids of k-means,
+    linked tips joined and short branches dropped. points has cell_id and vec; clusters has cell_id,
+    cluster and partition; control has parameters by their names in CONTROL."""
+    spark, c = points.sparkSession, checked_control(control, **{"minimal_branch_len": minimal_branch_len, "ncenter": n_center, "L1.sigma": sigma, "L1.gamma": gamma})
     parts = [None] if clusters is None or not use_partition else [r[0] for r in clusters.select("partition").distinct().orderBy("partition").collect()]
     nodes, edges = [], []
     for part in parts:
@@ -277,15 +312,23 @@ def learn_graph(points: DataFrame, clusters: DataFrame | None = None, use_partit
         if n < 3:
             continue
         found = 1 if clusters is None else (clusters if part is None else clusters.where(F.col("partition") == part)).select("cluster").distinct().count()
-        k = max(2, min(n_center or n_centers(n, found), n - 1, MAX_NODES))
-        _, centers = kmeans(own, k)
-        centers, tree = elastic_tree(own, np.unique(centers, axis=0), sigma, gamma)
-        loops = close_loops(centers, tree) if close_loop else []
-        tree = prune(tree, minimal_branch_len, {n for pair in loops for n in pair})
+        k = max(2, min(c["ncenter"] or n_centers(n, found), n - 1, MAX_NODES))
+        mean, sd = 0.0, 1.0
+        if c["scale"]:
+            spread = own.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).orderBy("j").collect()  # a row a dimension
+            own = own.select("cell_id", F.array(*((F.get("vec", F.lit(r.j)) - r.m) / (r.s or 1.0) for r in spread)).alias("vec"))
+            mean, sd = np.array([r.m for r in spread]), np.array([r.s or 1.0 for r in spread])
+        placed, _ = kmeans(own, k)
+        near = knn(own, own, min(c["nn.k"], n - 1), exclude_self=True)
+        first = medoids(placed, near).groupBy("center").agg(F.min("cell_id").alias("cell_id"))
+        centers = np.array([r.vec for r in own.join(first, "cell_id").orderBy("center").select("vec").collect()])  # k rows
+        centers, tree = elastic_tree(own, np.unique(centers, axis=0), c["L1.sigma"], c["L1.gamma"], c["maxiter"], c["eps"])
+        loops = close_loops(centers, tree, linked_nodes(own, near, centers), c["euclidean_distance_ratio"], c["geodesic_distance_ratio"]) if close_loop else []
+        tree = prune(tree, c["minimal_branch_len"], {n for pair in loops for n in pair}) if c["prune_graph"] else [*tree]
         tree += [(a, b, float(((centers[a] - centers[b]) ** 2).sum())) for a, b in loops]
         base = len(nodes)
         number = {v: base + i + 1 for i, v in enumerate(sorted({v for a, b, _ in tree for v in (a, b)}))}
-        nodes += [(number[v], centers[v].tolist(), 1 if part is None else int(part)) for v in sorted(number)]
+        nodes += [(number[v], (centers[v] * sd + mean).tolist(), 1 if part is None else int(part)) for v in sorted(number)]
         edges += [(number[a], number[b], float(w) ** 0.5) for a, b, w in tree]
     return spark.createDataFrame(nodes, "node int, vec array<double>, partition int"), spark.createDataFrame(edges, "src int, dst int, weight double")
 

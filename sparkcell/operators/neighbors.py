@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,26 +13,39 @@ from pyspark.sql import functions as F
 METRICS = ("euclidean", "l2", "cosine", "manhattan", "hamming", "ip")
 
 
+#: Rows that an index's centroids are fitted on, and its lists, at most.
+SAMPLE, MAX_LISTS = 50_000, 4_096
+#: Share of nearest neighbours that an index is set up to find, and the queries and neighbours each
+#: that this is measured on.
+RECALL, ASKED, NEAREST = 0.96, 256, 15
+
+
 @dataclass(frozen=True)
 class KnnConfig:
-    """How to search: "exact" blocks, or "lsh" (Euclidean random projections) for large tables."""
+    """How to search: "exact" blocks; "ivf", inverted lists of which each query probes some, for large
+    tables; or "lsh" (Euclidean random projections). lists 0 stands for the square root of the rows,
+    at most MAX_LISTS; probes 0 for as many as give RECALL on the rows that centroids are fitted on."""
 
     method: str = "exact"
     metric: str = "euclidean"
     block: int = 2048
     bucket_length: float = 2.0
     tables: int = 8
+    lists: int = 0
+    probes: int = 0
     seed: int = 2016
 
     def __post_init__(self) -> None:
-        if self.method not in ("exact", "lsh"):
+        if self.method not in ("exact", "ivf", "lsh"):
             raise ValueError(f"unsupported nearest neighbor method {self.method!r}")
         if self.metric not in METRICS:
             raise ValueError(f"unsupported metric {self.metric!r} for method {self.method!r}")
         if self.method == "lsh" and self.metric != "euclidean":
             raise ValueError("lsh supports the euclidean metric")
-        if self.block < 1 or self.tables < 1:
-            raise ValueError("block and tables must be positive")
+        if self.block < 1 or self.tables < 1 or self.probes < 0 or not 0 <= self.lists <= MAX_LISTS:
+            raise ValueError("block, tables, lists and probes must be positive")
+        if self.method == "ivf" and self.metric not in ("euclidean", "l2", "cosine"):
+            raise ValueError("ivf supports the metrics euclidean, l2 and cosine")
 
     @classmethod
     def of(cls, control: dict | None = None, default: dict | None = None) -> "KnnConfig":
@@ -59,12 +72,140 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def packed(points: DataFrame, block: int) -> DataFrame:
-    """(n, ids, values): blocks of about `block` vectors as bytes, dealt by a hash of the id."""
-    blocks = points.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("blocks"))
-    dealt = points.select("cell_id", F.col("vec").cast("array<double>").alias("vec")).crossJoin(F.broadcast(blocks))
+def packed(points: DataFrame, block: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, cell_id, vec): blocks of about `block` vectors as lists, dealt by a hash of the id; with
+    `by`, of each of its values."""
+    rows = points.select(*by, "cell_id", F.col("vec").cast("array<double>").alias("vec"))
+    sizes = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), list(by)) if by else rows.crossJoin(F.broadcast(sizes))  # one row, or one a list
     dealt = dealt.withColumn("n", F.pmod(F.xxhash64("cell_id"), F.col("blocks")))
-    return dealt.groupBy("n").agg(F.collect_list(F.struct("cell_id", "vec")).alias("rows")).select("n", "rows.cell_id", "rows.vec")
+    return dealt.groupBy(*by, "n").agg(F.collect_list(F.struct("cell_id", "vec")).alias("rows")).select(*by, "rows.cell_id", "rows.vec")
+
+
+def _meet(k: int, metric: str, exclude_self: bool):
+    """Candidates of blocks (q, qv, s, sv): the k nearest of the subjects' block for each query."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, qv, s, sv in zip(*(c.to_pylist() for c in batch.columns)):
+                d = distances(np.array(qv), np.array(sv), metric)
+                order = np.argsort(np.array([(x,) for x in s], dtype=object)[:, 0], kind="stable")
+                place = np.empty(len(s), np.int64)
+                place[order] = np.arange(len(s))
+                own = {x: j for j, x in enumerate(s)}
+                out_q, out_s, out_d = [], [], []
+                for i, x in enumerate(q):
+                    row, mine = d[i], own.get(x, -1)
+                    if exclude_self and mine >= 0:
+                        row[mine] = np.inf
+                    elif mine >= 0:
+                        row[mine] = 0.0 if metric != "ip" else row[mine]
+                    best = np.argpartition(row, min(k, len(row) - 1))[:k] if len(row) > k else np.arange(len(row))
+                    edge = row[best].max()
+                    best = np.flatnonzero(row <= edge)
+                    best = best[np.lexsort((place[best], best != mine, row[best]))][:k]
+                    best = best[np.isfinite(row[best])]
+                    out_q += [x] * len(best)
+                    out_s += [s[j] for j in best]
+                    out_d += row[best].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_s), pa.array(out_d, pa.float64())], ["cell_id", "neighbor", "distance"])
+
+    return meet
+
+
+def _best(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The k best candidates of each query, with their ranks."""
+    if exclude_self:
+        found = found.where("cell_id <> neighbor")
+    w = Window.partitionBy("cell_id").orderBy("distance", F.col("cell_id") != F.col("neighbor"), "neighbor")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class KnnIndex:
+    """Inverted lists: every row is in the list of its nearest centroid, and a query looks through
+    the lists of its `probes` nearest. Centroids are fitted on at most SAMPLE rows (those with the
+    least hashes of their ids); distances within lists are exact. Built once, searched many times,
+    saved and loaded as Parquet."""
+
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, config: KnnConfig) -> None:
+        self.rows, self.centroids, self.config = rows, centroids, config
+
+    @classmethod
+    def build(cls, points: DataFrame, config: KnnConfig = KnnConfig(method="ivf")) -> "KnnIndex":
+        sample = np.array([r.vec for r in points.orderBy(F.md5(F.col("cell_id").cast("string").cast("binary")), "cell_id").select("vec").limit(SAMPLE).collect()], float)  # SAMPLE rows
+        if not len(sample):
+            raise ValueError("an index needs rows")
+        x = cls._scaled(sample, config.metric)
+        n = config.lists or max(1, min(MAX_LISTS, round(points.count() ** 0.5), len(x)))
+        centroids = x[:: max(1, len(x) // n)][:n].copy()
+        for _ in range(12):
+            own = np.concatenate([distances(x[a : a + 4096], centroids, "euclidean").argmin(1) for a in range(0, len(x), 4096)])
+            for j in np.unique(own).tolist():
+                centroids[j] = x[own == j].mean(0)
+        if not config.probes:
+            config = replace(config, probes=cls._probes(x, centroids))
+        return cls(cls._listed(points, centroids, config.metric, 1), centroids, config)
+
+    @staticmethod
+    def _probes(x: np.ndarray, centroids: np.ndarray) -> int:
+        """Lists to probe so that RECALL of the true neighbours within the sample lie in them."""
+        own = np.concatenate([distances(x[a : a + 4096], centroids, "euclidean").argmin(1) for a in range(0, len(x), 4096)])
+        asked = np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int)
+        d = distances(x[asked], x, "euclidean")
+        near = np.argsort(d, axis=1, kind="stable")[:, : NEAREST + 1]
+        order = np.argsort(distances(x[asked], centroids, "euclidean"), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)  # of each list, how many are nearer
+        return int(np.quantile(np.take_along_axis(place, own[near], 1), RECALL, method="higher")) + 1
+
+    @staticmethod
+    def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1)[:, None], 1e-300) if metric == "cosine" else x
+
+    @staticmethod
+    def _listed(points: DataFrame, centroids: np.ndarray, metric: str, probes: int) -> DataFrame:
+        """(list, cell_id, vec): each row under its `probes` nearest centroids."""
+        id_type = points.schema["cell_id"].dataType
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, vectors = (c.to_pylist() for c in batch.columns)
+                d = distances(KnnIndex._scaled(np.array(vectors, float), metric), centroids, "euclidean")
+                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                row = np.repeat(np.arange(len(ids)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), pa.array([ids[r] for r in row]), pa.array([vectors[r] for r in row], pa.list_(pa.float64()))], ["list", "cell_id", "vec"])
+
+        return points.select("cell_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(place, f"list long, cell_id {id_type.simpleString()}, vec array<double>")
+
+    def search(self, query: DataFrame, k: int, exclude_self: bool = False, probes: int | None = None) -> DataFrame:
+        """(cell_id, neighbor, distance, rank) of the k nearest rows in the lists probed."""
+        if k < 1:
+            raise ValueError("k must be positive")
+        config, kind = self.config, self.rows.schema["cell_id"].dataType.simpleString()
+        asked = self._listed(query, self.centroids, config.metric, min(probes or config.probes, len(self.centroids)))
+        left = packed(asked, config.block, ("list",)).select("list", F.col("cell_id").alias("q"), F.col("vec").alias("qv"))
+        right = packed(self.rows, config.block, ("list",)).select("list", F.col("cell_id").alias("s"), F.col("vec").alias("sv"))
+        met = left.join(right, "list").select("q", "qv", "s", "sv").mapInArrow(_meet(k, config.metric, exclude_self), f"cell_id {query.schema['cell_id'].dataType.simpleString()}, neighbor {kind}, distance double")
+        return _best(met, k, exclude_self)
+
+    def save(self, path: str) -> None:
+        spark = self.rows.sparkSession
+        self.rows.write.parquet(f"{path}/rows")
+        spark.createDataFrame([(j, c.tolist()) for j, c in enumerate(self.centroids)], "list long, vec array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        spark.createDataFrame([tuple(str(getattr(self.config, f)) for f in ("method", "metric", "block", "probes"))], "method string, metric string, block string, probes string").coalesce(1).write.parquet(f"{path}/config")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "KnnIndex":
+        c = spark.read.parquet(f"{path}/config").first()
+        centroids = np.array([r.vec for r in spark.read.parquet(f"{path}/centroids").orderBy("list").collect()])  # MAX_LISTS rows
+        return cls(spark.read.parquet(f"{path}/rows"), centroids, KnnConfig(method=c.method, metric=c.metric, block=int(c.block), probes=int(c.probes)))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours that are found."""
+    hits = exact.select("cell_id", "neighbor").join(found.select("cell_id", "neighbor"), ["cell_id", "neighbor"], "left_semi").count()
+    return hits / max(1, exact.count())
 
 
 def knn(subject: DataFrame, query: DataFrame, k: int, config: KnnConfig = KnnConfig(), exclude_self: bool = False) -> DataFrame:
@@ -77,44 +218,16 @@ def knn(subject: DataFrame, query: DataFrame, k: int, config: KnnConfig = KnnCon
     """
     if k < 1:
         raise ValueError("k must be positive")
+    if config.method == "ivf":
+        return KnnIndex.build(subject, config).search(query, k, exclude_self)
     if config.method == "lsh":
         found = _lsh(subject, query, k, config)
     else:
         id_type = query.schema["cell_id"].dataType.simpleString()
-        metric = config.metric
         left = packed(query, config.block).select(F.col("cell_id").alias("q"), F.col("vec").alias("qv"))
         right = packed(subject, config.block).select(F.col("cell_id").alias("s"), F.col("vec").alias("sv"))
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for q, qv, s, sv in zip(*(c.to_pylist() for c in batch.columns)):
-                    d = distances(np.array(qv), np.array(sv), metric)
-                    order = np.argsort(np.array([(x,) for x in s], dtype=object)[:, 0], kind="stable")
-                    place = np.empty(len(s), np.int64)
-                    place[order] = np.arange(len(s))
-                    own = {x: j for j, x in enumerate(s)}
-                    out_q, out_s, out_d = [], [], []
-                    for i, x in enumerate(q):
-                        row, mine = d[i], own.get(x, -1)
-                        if exclude_self and mine >= 0:
-                            row[mine] = np.inf
-                        elif mine >= 0:
-                            row[mine] = 0.0 if metric != "ip" else row[mine]
-                        best = np.argpartition(row, min(k, len(row) - 1))[:k] if len(row) > k else np.arange(len(row))
-                        edge = row[best].max()
-                        best = np.flatnonzero(row <= edge)
-                        best = best[np.lexsort((place[best], best != mine, row[best]))][:k]
-                        best = best[np.isfinite(row[best])]
-                        out_q += [x] * len(best)
-                        out_s += [s[j] for j in best]
-                        out_d += row[best].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_s), pa.array(out_d, pa.float64())], ["cell_id", "neighbor", "distance"])
-
-        found = left.crossJoin(right).mapInArrow(meet, f"cell_id {id_type}, neighbor {id_type}, distance double")
-    if exclude_self:
-        found = found.where("cell_id <> neighbor")
-    w = Window.partitionBy("cell_id").orderBy("distance", F.col("cell_id") != F.col("neighbor"), "neighbor")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = left.crossJoin(right).mapInArrow(_meet(k, config.metric, exclude_self), f"cell_id {id_type}, neighbor {id_type}, distance double")
+    return _best(found, k, exclude_self)
 
 
 def _lsh(subject: DataFrame, query: DataFrame, k: int, config: KnnConfig) -> DataFrame:

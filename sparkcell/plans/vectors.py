@@ -35,6 +35,13 @@ def s18(distance):
     return f"with {V}, k as ({knn_sql(6, distance)}) select id as cell_id, nb as neighbor, {r('case when id = nb then 0 else d end')} as distance, r::int as rank from k"
 
 
+def q18d(s, d):
+    """By inverted lists, saved and loaded; queries are the rows whose id 100 divides."""
+    x, path = v.r1(s, d), v.scratch(s)
+    nb.KnnIndex.build(x).save(path)
+    return nb.KnnIndex.load(s, path).search(x.where("cell_id % 100 = 0"), 6).select("cell_id", "neighbor", r6("distance").alias("distance"), "rank")
+
+
 MANHATTAN = "list_sum(list_transform(list_zip(q.e, s.e), lambda z: abs(z[1] - z[2])))"
 
 
@@ -244,7 +251,7 @@ S55 = f"with {CENTROIDS} select a.node as src, b.node as dst, {r('a.c[1]')} as s
 QUERIES = {
     "q55_graph_segments": (q55, S55),
     "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18(COSINE)), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
-    "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
+    "q18d_knn_index": (q18d, None), "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
     "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, S23), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, S25B),
     "q26_label_transfer": (q26, S26), "q27_value_transfer": (q27, S27), "q28_fill_labels": (q28, S28), "q39_mutual_pairs": (q39, S39),
     "q43_cell_tree": (q43, S43), "q44a_pseudotime": (q44, S44), "q44b_degrees": (q44b, S44B), "q45_path_subset": (q45, S45),

@@ -12,6 +12,8 @@ from sparkcell.operators import graph as gr
 from sparkcell.operators import models as md
 from sparkcell.operators import neighbors as nb
 from sparkcell.operators import reduce as rd
+from sparkcell.plans import views as v
+from tests.compare import SF
 
 
 def points(spark, x, ids=None):
@@ -151,3 +153,68 @@ def test_umap_keeps_groups_apart(spark):
     d = nb.distances(y, y, "euclidean")
     np.fill_diagonal(d, np.inf)
     assert ((d.argmin(1) < 30) == (np.arange(60) < 30)).mean() > 0.95
+
+
+def test_index_recall_and_round_trip(spark, tmp_path):
+    x = v.r1(spark, SF.replace("0.001", "0.1"))
+    query = x.where("cell_id % 100 = 0")
+    for metric in ("euclidean", "cosine"):
+        index = nb.KnnIndex.build(x, nb.KnnConfig(method="ivf", metric=metric))
+        exact = nb.knn(x, query, 10, nb.KnnConfig(metric=metric)).cache()
+        assert nb.recall(index.search(query, 10), exact) >= 0.9
+        every = index.search(query, 10, probes=10_000)
+        assert nb.recall(every, exact) == 1.0 and every.count() == exact.count()
+    index.save(str(tmp_path / "i"))
+    again = nb.KnnIndex.load(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, again.search(query, 5).collect())) == sorted(map(tuple, index.search(query, 5).collect()))
+    with pytest.raises(ValueError):
+        nb.KnnConfig(method="ivf", metric="hamming")
+
+
+def test_pca_of_many_genes(spark, monkeypatch):
+    """The block iteration against a dense decomposition, and the Gram matrix's way."""
+    r = np.random.default_rng(3)
+    n, g = 60, 20_000
+    base = r.normal(size=(n, 4)) @ r.normal(size=(4, g)) * np.array([3.0])
+    dense = np.where(r.random((n, g)) < 0.05, np.round(np.abs(base) * 4 + 1), 0.0)
+    cell, gene = np.nonzero(dense)
+    values = spark.createDataFrame(pd.DataFrame({"cell_id": cell, "gene_id": gene, "value": dense[cell, gene]}))
+    cells = spark.createDataFrame([(k,) for k in range(n)], "cell_id long")
+    live = dense.std(0) > 0
+    z = (dense[:, live] - dense[:, live].mean(0)) / dense[:, live].std(0, ddof=1)
+    u, sv, vt = np.linalg.svd(z, full_matrices=False)
+    model = rd.fit(values, cells, 5, "PCA")
+    assert len(model.genes) == live.sum() > rd.MAX_GRAM
+    assert model.sdev == pytest.approx(sv[:5] / np.sqrt(n - 1), rel=1e-4)
+    scores = np.array([x.vec for x in model.project(values, cells).orderBy("cell_id").collect()])
+    assert np.abs(np.abs(scores[:, 0]) - np.abs(u[:, 0] * sv[0])).max() < 0.02 * sv[0]
+    few = values.where("gene_id < 300")
+    want = rd.fit(few, cells, 3, "PCA")
+    monkeypatch.setattr(rd, "MAX_GRAM", 100)
+    got = rd.fit(few, cells, 3, "PCA")
+    assert got.sdev == pytest.approx(want.sdev, rel=1e-6) and np.abs(got.loadings - want.loadings).max() < 1e-2
+
+
+@pytest.mark.parametrize("control", [{"ncentre": 3}, {"prune_graph": 1}, {"eps": 0}, {"ncenter": 1}, {"orthogonal_proj_tip": True}])
+def test_graph_control_is_checked(spark, control):
+    x = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(9)], "cell_id long, vec array<double>")
+    with pytest.raises(ValueError, match="learn_graph_control"):
+        gr.learn_graph(x, control=control)
+
+
+def test_tips_are_joined_only_where_cells_link(spark):
+    """A ring is closed; the two ends of an open arc of the same width are not."""
+    a = np.linspace(0, 2 * np.pi, 240, endpoint=False)
+    for width, closed in ((1.0, True), (0.8, False)):
+        rows = [(k, [float(np.cos(t * width)), float(np.sin(t * width))]) for k, t in enumerate(a)]
+        x = spark.createDataFrame(rows, "cell_id long, vec array<double>")
+        nodes, edges = gr.learn_graph(x, control={"ncenter": 12, "minimal_branch_len": 2, "nn.k": 8, "euclidean_distance_ratio": 3.0})
+        assert (edges.count() >= nodes.count()) == closed
+
+
+def test_relaxation_that_does_not_settle_raises(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(9)], "node int")
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(8)], "src int, dst int, weight double")
+    assert gr.pseudotime(edges, nodes, nodes.where("node = 0")).where("node = 8").first().pseudotime == 8.0
+    with pytest.raises(RuntimeError):
+        gr.pseudotime(edges, nodes, nodes.where("node = 0"), rounds=3)
