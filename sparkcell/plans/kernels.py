@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from .. import api
+from ..dataset import CellDataset
 from ..functions.scalar import r6
 from ..operators import cluster as cl
 from ..operators import graph as gr
+from ..operators import mapping as mp
 from ..operators import neighbors as nb
 from ..operators import normalize as nz
 from ..operators import reduce as rd
@@ -54,6 +58,16 @@ def q38(s, d):
 S38 = f"with {V}, y as (select id, label % 2 as odd, (k - 1)::int as dim, e[k] as z from v, range(1, 65) t(k)), m as (select dim, avg(z) filter (odd = 0) as m0, avg(z) filter (odd = 1) as m1 from y group by 1) select id as cell_id, dim, {r('z - case when odd = 1 then m1 - m0 else 0 end')} as value from y join m using (dim)"
 
 
+def q38b(s, d):
+    """The label as a factor."""
+    x = v.r1(s, d)
+    out = rd.residuals(x.select("cell_id", "vec"), x.select("cell_id", F.col("label").cast("string").alias("label")), "~ label")
+    return out.select("cell_id", F.posexplode("vec").alias("dim", "z")).select("cell_id", "dim", r6("z").alias("value"))
+
+
+S38B = f"with {V}, y as (select id, label, (k - 1)::int as dim, e[k] as z from v, range(1, 65) t(k)), m as (select dim, label, avg(z) as m from y group by 1, 2), b as (select dim, arg_min(m, label::varchar) as m0 from m group by 1) select id as cell_id, dim, {r('z - (m - m0)')} as value from y join m using (dim, label) join b using (dim)"
+
+
 def q39b(s, d):
     v.scratch(s)
     x = v.r1(s, d).select("cell_id", "vec", (F.col("cell_id") % 2).alias("side"))
@@ -149,6 +163,68 @@ def q49(s, d):
 S49 = f"with {X1}, k as (select cell_id from x group by 1 having sum(value) >= 100) select gene_short_name, {r('sum(value)')} as total, count(*) as n from x join k using (cell_id) join genes using (gene_id) group by 1"
 
 
+def by_gene(ds):
+    named = ds.counts.join(ds.genes, "gene_id")
+    return named.groupBy("gene_short_name").agg(r6(F.sum("value")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def q49c(s, d):
+    """A folder as Cell Ranger 2 leaves it; cells with more than 100."""
+    path = v.scratch(s)
+    mx.write_matrix(v.x1(s, d), f"{path}/outs/filtered_gene_bc_matrices/tpch")
+    return by_gene(mx.load_cellranger(s, path))
+
+
+S49C = S49.replace("sum(value) >= 100", "sum(value) > 100")
+
+
+def q49d(s, d):
+    """A folder as Cell Ranger 3 leaves it: every fifth feature is no gene and stays out."""
+    path, ds = v.scratch(s), v.x1(s, d)
+    folder = f"{path}/outs/filtered_feature_bc_matrix"
+    mx.write_matrix(ds, f"{path}/plain")
+    for old, new in (("matrix.mtx", "matrix.mtx.gz"), ("barcodes.tsv", "barcodes.tsv.gz")):
+        s.read.text(f"{path}/plain/{old}").coalesce(1).write.text(f"{folder}/{new}")
+    kind = F.when(F.split("value", "\t")[0].cast("long") % 5 == 0, "Antibody Capture").otherwise("Gene Expression")
+    s.read.text(f"{path}/plain/genes.tsv").select(F.concat_ws("\t", "value", kind).alias("value")).coalesce(1).write.text(f"{folder}/features.tsv.gz")
+    return by_gene(mx.load_cellranger(s, path))
+
+
+S49D = S49C.replace("from x group by 1", "from x where gene_id % 5 <> 0 group by 1").replace("using (gene_id) group by 1", "using (gene_id) where gene_id % 5 <> 0 group by 1")
+
+
+def q49e(s, d):
+    """Lines of gene, cell and count; cells with at least 100."""
+    path = v.scratch(s)
+    mx.write_matrix(v.x1(s, d), path)
+    s.read.text(f"{path}/matrix.mtx").where("not startswith(value, '%')").withColumn("i", F.monotonically_increasing_id()).where("i > 0").select("value").coalesce(1).write.text(f"{path}/triplets.txt")
+    return by_gene(mx.load_mtx(s, f"{path}/triplets.txt", f"{path}/genes.tsv", f"{path}/barcodes.tsv"))
+
+
+def q56(s, d):
+    """A function of one gene: its largest and mean stored count, and in how many cells."""
+    def one(gene, rows):
+        return pd.DataFrame([(gene, float(rows["value"].max()), float(rows["value"].mean()), len(rows))], columns=["gene_id", "largest", "mean", "n"])
+
+    out = mp.map_genes(v.x1(s, d).counts, one, "gene_id long, largest double, mean double, n long")
+    return out.select("gene_id", "largest", r6("mean").alias("mean"), "n")
+
+
+S56 = f"with {X1} select gene_id, max(value)::double as largest, {r('avg(value)')} as mean, count(*) as n from x group by 1"
+
+
+def q57(s, d):
+    """The cells of a region, with their entries."""
+    x = v.r1(s, d)
+    counts = x.select("cell_id", F.posexplode("vec").alias("gene_id", "value")).where("value > 0")
+    ds = CellDataset(counts, x.select("cell_id", "label"), counts.select("gene_id").distinct(), {"PCA": x.select("cell_id", "vec")})
+    chosen = api.choose_cells(ds, F.expr("x1 > 0 and x2 < 0.05"), "PCA")
+    return chosen.counts.join(chosen.cells, "cell_id").groupBy("cell_id", "label").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
+S57 = f"with {V} select id as cell_id, label, len(list_filter(e, lambda z: z > 0)) as n, {r('list_sum(list_filter(e, lambda z: z > 0))')} as total from v where e[1] > 0 and e[2] < 0.05::double and len(list_filter(e, lambda z: z > 0)) > 0"
+
+
 def q50(s, d):
     events = v.table(s, d, "events").select(F.col("user_id").alias("cell_id"), F.col("event_type").alias("gene_id"), "value")
     path = v.scratch(s)
@@ -171,9 +247,9 @@ def q54(s, d):
 S54 = "select * from (values (0, 0.0::double), (1, 1.0::double), (2, 3.0::double), (3, 1.5::double), (4, 'Infinity'::double), (5, 'Infinity'::double)) t(node, pseudotime)"
 
 QUERIES: dict[str, tuple] = {
-    "q35_pca": (q35, None), "q36_lsi": (q36, None), "q37_projection": (q37, None), "q38_residual_alignment": (q38, S38), "q39b_mnn_alignment": (q39b, None),
+    "q35_pca": (q35, None), "q36_lsi": (q36, None), "q37_projection": (q37, None), "q38_residual_alignment": (q38, S38), "q38b_residual_factor": (q38b, S38B), "q39b_mnn_alignment": (q39b, None),
     "q40a_umap": (q40a, None), "q40b_leiden": (q40b("leiden"), None), "q40c_louvain": (q40b("louvain"), None), "q40d_gene_modules": (q40d, None),
     "q40e_umap_transform": (q40e, S40E), "q40f_label_propagation": (q40f, None), "q40g_tsne": (q40g, None), "q41_kmeans_medoids": (q41, None),
     "q42a_principal_graph": (q42a, None), "q42b_pseudotime": (q42b, None), "q48_save_load": (q48, S48), "q49_matrix_files": (q49, S49),
-    "q50_stream_counts": (q50, S50), "q54_unreachable_nodes": (q54, S54),
+    "q49c_cellranger2": (q49c, S49C), "q49d_cellranger3": (q49d, S49D), "q49e_triplets": (q49e, S49), "q56_map_genes": (q56, S56), "q57_choose_cells": (q57, S57), "q50_stream_counts": (q50, S50), "q54_unreachable_nodes": (q54, S54),
 }

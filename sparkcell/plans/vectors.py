@@ -155,6 +155,38 @@ i as (select *, count(*) over () as m, row_number() over (order by p) as i from
 select g::int as gene_id, 'OK' as status, {r('stat')} as statistic, {r('z')} as z, {r('p')} as p_value, {r('least(1, min(m / i * p) over (order by i desc rows unbounded preceding))')} as q_value from i"""
 
 
+def q25d(s, d):
+    """Neighbour pairs that the principal graph allows: in one vertex, or in two that an edge joins."""
+    x = v.r1(s, d)
+    nodes, edges = chain(x)
+    return sp.feasible(nb.knn(x, x, 8, exclude_self=True), nb.nearest_vertex(x, nodes), edges).select("cell_id", "neighbor")
+
+
+S25D = f"with {CENTROIDS}, {NEAREST}, k as ({knn_sql(8, EUCLID, own=False)}) select k.id as cell_id, k.nb as neighbor from k join nn a on a.id = k.id join nn b on b.id = k.nb where abs(a.node - b.node) <= 1"
+
+
+def q58(s, d):
+    """Roots and leaves of a graph, with their places."""
+    nodes, edges = chain(v.r1(s, d))
+    return pd_.node_points(nodes, edges, [0]).select("node", "kind", r6("x1").alias("x1"), r6("x2").alias("x2"))
+
+
+S58 = f"with {CENTROIDS} select node, case when node = 0 then 'root' else 'leaf' end as kind, {r('c[1]')} as x1, {r('c[2]')} as x2 from ce where node in (0, 9)"
+
+
+def q18e(s, d):
+    """Whether the index finds at least nine tenths of the true neighbours of its queries."""
+    x = v.r1(s, d)
+    query = x.where("cell_id % 100 = 0")
+    exact = nb.knn(x, query, 10)
+    found = nb.KnnIndex.build(x).search(query, 10)
+    hits = exact.select("cell_id", "neighbor").join(found.select("cell_id", "neighbor", F.lit(1).alias("hit")), ["cell_id", "neighbor"], "left")
+    return hits.agg(F.count_distinct("cell_id").alias("queries"), F.count(F.lit(1)).alias("neighbors"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+S18E = f"with {V} select count(*) as queries, 10 * count(*) as neighbors, true as recall_reached from v where id % 100 = 0"
+
+
 def split(x):
     return x.where("cell_id % 4 <> 0"), x.where("cell_id % 4 = 0")
 
@@ -251,7 +283,7 @@ S55 = f"with {CENTROIDS} select a.node as src, b.node as dst, {r('a.c[1]')} as s
 QUERIES = {
     "q55_graph_segments": (q55, S55),
     "q18a_knn_euclidean": (q18("euclidean"), s18(EUCLID)), "q18b_knn_cosine": (q18("cosine"), s18(COSINE)), "q18c_knn_manhattan": (q18("manhattan"), s18(MANHATTAN)),
-    "q18d_knn_index": (q18d, None), "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
+    "q18d_knn_index": (q18d, None), "q18e_index_recall": (q18e, S18E), "q25d_feasible_pairs": (q25d, S25D), "q58_graph_points": (q58, S58), "q19a_jaccard_edges": (q19(True), S19A), "q19b_unweighted_edges": (q19(False), S19B), "q20_nearest_vertex": (q20, S20), "q21_segment_projection": (q21, S21),
     "q22_cluster_links": (q22, S22), "q23_partition_tests": (q23, S23), "q25a_moran_geary": (q25, S25), "q25b_graph_test": (q25b, S25B),
     "q26_label_transfer": (q26, S26), "q27_value_transfer": (q27, S27), "q28_fill_labels": (q28, S28), "q39_mutual_pairs": (q39, S39),
     "q43_cell_tree": (q43, S43), "q44a_pseudotime": (q44, S44), "q44b_degrees": (q44b, S44B), "q45_path_subset": (q45, S45),
