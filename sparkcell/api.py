@@ -164,6 +164,25 @@ def transfer_cell_labels(query: CellDataset, reference: CellDataset, column: str
     return query.with_(cells=query.cells.drop(column).join(found.withColumnRenamed("label", column), "cell_id", "left"))
 
 
+def make_index(ds: CellDataset, method: str = "UMAP", config: _nb.KnnConfig = _nb.KnnConfig(method="ivf")) -> CellDataset:
+    """ds with a neighbour index of its cells' coordinates: built once, searched many times."""
+    return ds.put("indexes", method, _nb.KnnIndex.build(ds.part("coords", method), config))
+
+
+def search_index(ds: CellDataset, query: DataFrame, k: int, method: str = "UMAP", **options) -> DataFrame:
+    """The k nearest of ds's cells to each row of query (cell_id, vec)."""
+    return ds.part("indexes", method).search(query, k, **options)
+
+
+def has_index(ds: CellDataset, method: str = "UMAP") -> bool:
+    return method in ds.indexes
+
+
+def clear_indexes(ds: CellDataset, method: str | None = None) -> CellDataset:
+    """ds without the index of a method, or without any."""
+    return ds.with_(indexes={} if method is None else {k: i for k, i in ds.indexes.items() if k != method})
+
+
 def fix_missing_cell_labels(ds: CellDataset, column: str, method: str = "UMAP", k: int = 10, **options) -> CellDataset:
     labels = ds.cells.select("cell_id", F.col(column).alias("label"))
     found = _tr.fill_missing(ds.part("coords", method), labels, k, **options)

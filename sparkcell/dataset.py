@@ -29,6 +29,7 @@ class CellDataset:
     pseudotime: Mapping[str, DataFrame] = field(default_factory=dict)
     models: Mapping[str, dict] = field(default_factory=dict)
     lineage: tuple[tuple[str, str, str, str], ...] = ()
+    indexes: Mapping[str, object] = field(default_factory=dict)
 
     def with_(self, **members) -> "CellDataset":
         return replace(self, **members)
@@ -37,7 +38,7 @@ class CellDataset:
         """A member of one method; says what has to run first if it is missing."""
         found = getattr(self, name).get(method)
         if found is None:
-            first = {"coords": "preprocess or reduce_dimension", "clusters": "cluster_cells", "graphs": "learn_graph", "pseudotime": "order_cells", "models": "preprocess"}[name]
+            first = {"coords": "preprocess or reduce_dimension", "clusters": "cluster_cells", "graphs": "learn_graph", "pseudotime": "order_cells", "models": "preprocess", "indexes": "make_index"}[name]
             raise ValueError(f"No {name} calculated for method {method}. Please run {first} with method {method} first.")
         return found
 

@@ -191,9 +191,9 @@ class KnnIndex:
 
     def save(self, path: str) -> None:
         spark = self.rows.sparkSession
-        self.rows.write.parquet(f"{path}/rows")
-        spark.createDataFrame([(j, c.tolist()) for j, c in enumerate(self.centroids)], "list long, vec array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-        spark.createDataFrame([tuple(str(getattr(self.config, f)) for f in ("method", "metric", "block", "probes"))], "method string, metric string, block string, probes string").coalesce(1).write.parquet(f"{path}/config")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(j, c.tolist()) for j, c in enumerate(self.centroids)], "list long, vec array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        spark.createDataFrame([tuple(str(getattr(self.config, f)) for f in ("method", "metric", "block", "probes"))], "method string, metric string, block string, probes string").coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
 
     @classmethod
     def load(cls, spark, path: str) -> "KnnIndex":

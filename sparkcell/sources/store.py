@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import CellDataset
+from ..operators.neighbors import KnnIndex
 from ..operators.reduce import Reduction
 
 VERSION = "1"
@@ -43,7 +44,9 @@ def save(ds: CellDataset, path: str, comment: str = "") -> DataFrame:
     for name, df in _members(ds).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         made[name] = _digest(spark.read.parquet(f"{path}/{name}"))
-    _put(spark, f"{path}/manifest", json.dumps({"kind": "dataset", "version": VERSION, "comment": comment, "members": made, "lineage": ds.lineage}))
+    for name, index in ds.indexes.items():
+        index.save(f"{path}/indexes/{name}")
+    _put(spark, f"{path}/manifest", json.dumps({"kind": "dataset", "version": VERSION, "comment": comment, "members": made, "lineage": ds.lineage, "indexes": sorted(ds.indexes)}))
     return report(spark, path)
 
 
@@ -63,7 +66,7 @@ def load(spark: SparkSession, path: str, check: bool = True) -> CellDataset:
                 raise ValueError(f"checksum of {name} differs")
     pick = lambda kind: {k.split("/")[1]: v for k, v in read.items() if k.startswith(f"{kind}/")}
     graphs = {k.split("/")[1]: (read[k], read[k.replace("nodes", "edges")]) for k in read if k.startswith("graphs/") and k.endswith("/nodes")}
-    return CellDataset(read["counts"], read["cells"], read["genes"], pick("coords"), pick("clusters"), graphs, pick("pseudotime"), {}, tuple(map(tuple, manifest["lineage"])))
+    return CellDataset(read["counts"], read["cells"], read["genes"], pick("coords"), pick("clusters"), graphs, pick("pseudotime"), {}, tuple(map(tuple, manifest["lineage"])), {k: KnnIndex.load(spark, f"{path}/indexes/{k}") for k in manifest.get("indexes", [])})
 
 
 def save_model(spark: SparkSession, model: Reduction, path: str, comment: str = "") -> None:

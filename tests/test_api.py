@@ -8,6 +8,7 @@ from sparkcell import api
 from sparkcell.dataset import new_dataset
 from sparkcell.operators.mapping import entropy, js_distance, map_genes, ward_order
 from sparkcell.operators.normalize import estimate_size_factors
+from sparkcell.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,17 @@ def test_helpers(spark, ds):
     assert sorted(ward_order(np.random.default_rng(2).normal(size=(5, 4)))) == list(range(5))
     sums = map_genes(ds.counts, lambda g, rows: rows.groupby(lambda _: g)["value"].sum().reset_index().rename(columns={"index": "gene_id"}), "gene_id string, value double")
     assert {r.gene_id: r.value for r in sums.collect()} == {r.gene_id: r.s for r in ds.counts.groupBy("gene_id").agg(F.sum("value").alias("s")).collect()}
+
+
+def test_index_goes_with_the_dataset(spark, tmp_path):
+    x = spark.createDataFrame([(k, [float(k % 7), float(k // 7)]) for k in range(70)], "cell_id long, vec array<double>")
+    counts = spark.createDataFrame([(k, 1, 2.0) for k in range(70)], "cell_id long, gene_id long, value double")
+    ds = new_dataset(counts).with_(coords={"PCA": x})
+    with pytest.raises(ValueError, match="make_index"):
+        api.search_index(ds, x, 3, "PCA")
+    ds = api.make_index(ds, "PCA")
+    assert api.has_index(ds, "PCA") and not api.has_index(api.clear_indexes(ds, "PCA"), "PCA") and not api.clear_indexes(ds).indexes
+    store.save(ds, str(tmp_path / "d"))
+    again = store.load(spark, str(tmp_path / "d"))
+    pick = lambda d: sorted(map(tuple, api.search_index(d, x.where("cell_id < 9"), 4, "PCA").collect()))
+    assert pick(again) == pick(ds) and len(pick(ds)) == 36
