@@ -31,7 +31,8 @@ LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
-STEP = 1 << 16
+#: Bytes that are decompressed at once, and of a record's headers at most.
+STEP, HEADERS = 1 << 16, 1 << 20
 
 
 def _urn(page_id: int | None) -> str:
@@ -66,39 +67,59 @@ class Broken(ValueError):
     """An archive whose framing, compression or digests don't hold."""
 
 
-def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The decompressed members of a gzip stream that comes in chunks; holds one member at a time."""
-    unpacker, out = None, []
+def inflated(chunks: Iterable[bytes]) -> Iterator[bytes | None]:
+    """The decompressed bytes of a gzip stream that comes in chunks, STEP bytes at most at a time, and
+    None at the end of each member."""
+    unpacker = None
     for chunk in chunks:
         while chunk:
             unpacker = unpacker or zlib.decompressobj(31)
             try:
-                out.append(unpacker.decompress(chunk))
+                piece = unpacker.decompress(chunk, STEP)
             except zlib.error as e:
                 raise Broken(f"gzip: {e}") from e
-            chunk = b""
+            if piece:
+                yield piece
+            chunk = unpacker.unconsumed_tail
             if unpacker.eof:
                 chunk = unpacker.unused_data
-                yield b"".join(out)
-                unpacker, out = None, []
+                yield None
+                unpacker = None
     if unpacker:
         raise Broken("the archive ends inside a member")
 
 
+def headers_of(head: bytes) -> dict[str, str]:
+    """A record's headers, names in lower case."""
+    first, *lines = head.decode().split("\r\n")
+    if not first.startswith("WARC/"):
+        raise Broken("no WARC header")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    if not headers.get("content-length", "").isdigit():
+        raise Broken("no content-length")
+    return headers
+
+
 def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record, framed by content-length."""
-    for data in members(chunks):
-        head, gap, rest = data.partition(b"\r\n\r\n")
-        first, *lines = head.decode().split("\r\n")
-        if not gap or not first.startswith("WARC/"):
+    """Headers (names in lower case) and block of each record, framed by content-length as bytes come:
+    a record is held only up to the length that it declares, its headers up to HEADERS bytes."""
+    held, headers, start = bytearray(), None, 0
+    for piece in inflated(chunks):
+        if piece is not None:
+            held += piece
+            if headers is None and (end := held.find(b"\r\n\r\n")) >= 0:
+                headers, start = headers_of(bytes(held[:end])), end + 4
+            if headers is None and len(held) > HEADERS:
+                raise Broken("no WARC header")
+            if headers is None or len(held) <= start + int(headers["content-length"]) + 4:
+                continue
+        size = -1 if headers is None else int(headers["content-length"])
+        if size < 0:
             raise Broken("no WARC header")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        if not headers.get("content-length", "").isdigit():
-            raise Broken("no content-length")
-        size = int(headers["content-length"])
-        if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+        if len(held) != start + size + 4 or held[start + size :] != b"\r\n\r\n":
             raise Broken("content-length does not frame the record")
-        yield headers, rest[:size]
+        yield headers, bytes(held[start : start + size])
+        held, headers, start = bytearray(), None, 0
 
 
 def parse(chunks: Iterable[bytes]) -> Iterator[tuple]:

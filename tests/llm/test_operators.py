@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkcell.llm import bpe, decontam, graph, neardup, packing, pii, quality, secrets, sharding, substrings, tokens, warc
-from tests.compare import SF
+from tests.compare import SF, agrees
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, t string, n long, __q string, anchor string"
 
@@ -62,6 +62,17 @@ def test_sharding(spark):
     assert sharding.shard(df.where("false"), F.octet_length("text"), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("limit", [130_000, 300_000])
+def test_sharding_agrees_with_sql_where_it_splits(spark, limit):
+    def query(session, folder):
+        d = session.read.parquet(f"{folder}/documents.parquet")
+        return sharding.shard(d, F.octet_length("text"), ["doc_id"], limit=limit).select("doc_id", "n_bytes", "shard_id", "shard_bytes", "oversized")
+
+    folder = SF.replace("0.001", "0.01")
+    agrees(spark, query, sharding.oracle(limit), folder)
+    assert query(spark, folder).select("shard_id").distinct().count() > 10
+
+
 def base_stats(text):
     text = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", text)
@@ -263,6 +274,22 @@ def test_warc_reader_finds_damage():
             list(warc.parse([bad]))
 
 
+def test_warc_reader_is_bounded_by_the_declared_length():
+    """A member that inflates to far more than it declares is refused before it is held."""
+    import tracemalloc
+
+    head = b"WARC/1.1\r\nContent-Length: 10\r\n\r\n"
+    bomb = gzip.compress(head + b"0" * 50_000_000)
+    tracemalloc.start()
+    with pytest.raises(warc.Broken):
+        list(warc.records([bomb[k : k + 4096] for k in range(0, len(bomb), 4096)]))
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+    text = "x" * 5_000_000
+    one = warc.member(1, "u", text.encode(), hashlib.sha256(text.encode()).hexdigest())
+    assert [len(b) for _, b in warc.records([one, one])] == [5_000_000] * 2
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
