@@ -176,7 +176,7 @@ def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return score(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("p_good", F.round("p_good", 6))
 
 
 def oracle() -> str:
@@ -214,4 +214,4 @@ v as materialized (select *{pick} from s),
 pat as materialized (select {vs}, count(*) as n from v group by all),
 {', '.join(steps)},
 z as (select v.*, 1 / (1 + exp(-({odds}))) as p_good, {BASE_FAILED} as base_failed from v, {at})
-select doc_id, {', '.join(STATS)}, base_failed, p_good, not base_failed and p_good >= 0.5 as kept from z"""
+select doc_id, {', '.join(STATS)}, base_failed, round(p_good, 6) as p_good, not base_failed and p_good >= 0.5 as kept from z"""
