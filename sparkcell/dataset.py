@@ -95,9 +95,11 @@ def gene_ids(genes: DataFrame, names: DataFrame, order: str = "gene_id") -> Data
     return as_id.unionByName(by_name)
 
 
-def combine(datasets: Mapping[str, CellDataset], keep_all_genes: bool = True, cell_names_unique: bool = False, sample_col: str = "sample") -> CellDataset:
+def combine(datasets: Mapping[str, CellDataset], keep_all_genes: bool = True, cell_names_unique: bool = False, sample_col: str = "sample", keep_reduced_dims: bool = False) -> CellDataset:
     """One dataset of several. Cell ids get "_<name>" unless they are unique; genes are the union or
-    the intersection; missing metadata are null; gene metadata that differ become "conf"."""
+    the intersection; missing metadata are null; gene metadata that differ become "conf", and columns
+    without any such gene keep their type. With keep_reduced_dims, coordinates of methods that all
+    datasets have are kept."""
     if not datasets:
         raise ValueError("there is nothing to combine")
     if len(datasets) == 1:
@@ -108,9 +110,12 @@ def combine(datasets: Mapping[str, CellDataset], keep_all_genes: bool = True, ce
     cells = union([rename(d.cells, k).withColumn(sample_col, F.lit(k)) for k, d in datasets.items()])
     rows = union([d.genes.withColumn("__n", F.lit(n)) for n, d in enumerate(datasets.values())])
     attributes = [c for c in rows.columns if c not in ("gene_id", "__n")]
-    merged = [F.when(F.count_distinct(c) > 1, F.lit("conf")).otherwise(F.min(F.col(c).cast("string"))).alias(c) for c in attributes]
+    differ = rows.groupBy("gene_id").agg(*((F.count_distinct(c) > 1).alias(c) for c in attributes)).agg(*(F.max(c).alias(c) for c in attributes)).first() if attributes else {}
+    merged = [F.when(F.count_distinct(c) > 1, F.lit("conf")).otherwise(F.min(F.col(c).cast("string"))).alias(c) if differ[c] else F.min(c).alias(c) for c in attributes]
     genes = rows.groupBy("gene_id").agg(*merged, F.count_distinct("__n").alias("__n"))
     if not keep_all_genes:
         genes = genes.where(F.col("__n") == len(datasets))
         counts = counts.join(genes.select("gene_id"), "gene_id", "left_semi")
-    return CellDataset(counts, cells, genes.drop("__n"))
+    shared = [m for m in next(iter(datasets.values())).coords if all(m in d.coords for d in datasets.values())] if keep_reduced_dims else []
+    coords = {m: union([rename(d.coords[m], k) for k, d in datasets.items()]) for m in shared}
+    return CellDataset(counts, cells, genes.drop("__n"), coords)

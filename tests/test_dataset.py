@@ -95,3 +95,16 @@ def test_empty_tables(spark, ds):
     assert nz.size_factors(empty.counts, empty.cells).count() == 0
     assert nz.detect_genes(empty).genes.agg(F.sum("num_cells_expressed")).first()[0] == 0
     assert agg.percent_positive(none, ds.cells.select("cell_id", F.col("kind").alias("grp"))).count() == 0
+
+
+def test_combine_keeps_types_and_places(spark):
+    counts = spark.createDataFrame([(1, 10, 2.0), (2, 11, 1.0)], "cell_id long, gene_id long, value double")
+    place = spark.createDataFrame([(1, [0.0, 1.0]), (2, [2.0, 3.0])], "cell_id long, vec array<double>")
+    genes = lambda names: spark.createDataFrame([(10, names[0], 5), (11, names[1], 6)], "gene_id long, gene_short_name string, length int")
+    one = new_dataset(counts, genes=genes(["a", "b"])).with_(coords={"PCA": place, "UMAP": place})
+    two = new_dataset(counts, genes=genes(["a", "z"])).with_(coords={"PCA": place})
+    both = combine({"x": one, "y": two}, keep_reduced_dims=True)
+    assert dict(both.genes.dtypes)["length"] == "int"
+    assert {(r.gene_id, r.gene_short_name, r.length) for r in both.genes.collect()} == {(10, "a", 5), (11, "conf", 6)}
+    assert set(both.coords) == {"PCA"} and both.coords["PCA"].count() == 4 and not combine({"x": one, "y": two}).coords
+    assert both.coords["PCA"].join(both.cells, "cell_id", "left_anti").isEmpty()
