@@ -14,7 +14,8 @@
    confirm the rest, and components are taken.
 4. What stars can miss: a bucket with members of several components. There, each member outside
    the hub's component is compared with the members of other components, sketch by sketch in
-   blocks of BLOCK by BLOCK, in the join's condition. Pairs that pass are confirmed on full sets.
+   blocks of BLOCK by BLOCK, whose sketches are compared as arrays. These comparisons grow with the
+   square of a bucket's outsiders, all else in proportion. Pairs that pass are confirmed on full sets.
    Pairs inside a component are never made. Components are taken again. No bucket is capped.
 
 Joins with a bucket's one row are salted by its size, SALT members at a time.
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from types import ModuleType, SimpleNamespace
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ SALT = 1024
 BLOCK = 256
 #: Members that one copy of a hub's text is sent along with.
 CHUNK = 32
+#: Pairs whose sketches are read at once.
+READ = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _RNG = np.random.default_rng(20240229)
@@ -172,8 +177,18 @@ def differing(a: Column, b: Column) -> Column:
     return out
 
 
-def _near(x: str, y: str, percent: int) -> Column:
-    """Whether set sizes and the sketches' estimate allow a link.
+#: The functions of `allowed`, for arrays.
+_ARRAYS = SimpleNamespace(least=np.minimum, greatest=np.maximum, pow=np.power, sqrt=np.sqrt, exp=np.exp, log=np.log, lit=lambda x: x)
+
+
+def sized(n_x: Any, n_y: Any, percent: int, f: ModuleType | SimpleNamespace) -> Any:
+    """Whether set sizes allow a link."""
+    return f.least(n_x, n_y) * 100 >= f.greatest(n_x, n_y) * percent
+
+
+def allowed(n_x: Any, n_y: Any, m_x: Any, m_y: Any, bits: Any, percent: int, f: ModuleType | SimpleNamespace) -> Any:
+    """Whether the estimate from sketches that differ in `bits` allows a link: of columns with f the
+    functions of Spark, of arrays with _ARRAYS.
 
     At the threshold t the union has (n_x + n_y) / (1 + t) shingles and fills `places` places (as
     expected, and as many more as the two sets fill above what is expected of them), of which a
@@ -181,25 +196,65 @@ def _near(x: str, y: str, percent: int) -> Column:
     -BITS / 2 * ln(1 - 2 z / BITS) samples that are not common, so (m_x + m_y - that) / 2 are.
     """
     t = percent / 100
-    c = lambda k, side: F.col(f"{k}_{side}")
-    sizes = F.least(c("n", x), c("n", y)) * 100 >= F.greatest(c("n", x), c("n", y)) * percent
-    filled = lambda n: PLACES * (1 - F.pow(F.lit(1 - 1 / PLACES), n))
-    union = (c("n", x) + c("n", y)) / (1 + t)
-    places = filled(union) + (c("m", x) - filled(c("n", x)) + c("m", y) - filled(c("n", y))) / 2
-    bits = differing(c("sketch", x), c("sketch", y))
-    lost = -BITS / 2 * F.log(1 - F.least(bits * (2.0 / BITS), F.lit(0.999)))
+    filled = lambda n: PLACES * (1 - f.pow(f.lit(1 - 1 / PLACES), n))
+    union = (n_x + n_y) / (1 + t)
+    places = filled(union) + (m_x - filled(n_x) + m_y - filled(n_y)) / 2
+    lost = -BITS / 2 * f.log(1 - f.least(bits * (2.0 / BITS), f.lit(0.999)))
     # Variances at the threshold: the choice of `places` samples out of the union; whether what only
     # one of the sets has falls on a filled place, half of which shows in m_x and m_y; and, of the
     # samples that are not common, the BITS / 4 * (e ** ratio - 1 - ratio) with ratio = 4 / BITS times
     # their number that any odd sketch adds to `lost`.
-    share = F.least(places / PLACES, F.lit(1.0))
-    choice = places * (t * (1 - t)) * (1 - F.least(places / union, F.lit(1.0)))
-    ratio = F.greatest(c("m", x) + c("m", y) - 2 * t * places, F.lit(1.0)) * (4.0 / BITS)
+    share = f.least(places / PLACES, f.lit(1.0))
+    choice = places * (t * (1 - t)) * (1 - f.least(places / union, f.lit(1.0)))
+    ratio = f.greatest(m_x + m_y - 2 * t * places, f.lit(1.0)) * (4.0 / BITS)
     sampling = choice + union * (1 - t) * share * (1 - share) * (t * t / 4)
-    all_of = c("m", x) + c("m", y)
-    common = lambda error: t * places - SLACK * F.sqrt(error)
+    all_of = m_x + m_y
+    common = lambda error: t * places - SLACK * f.sqrt(error)
     # Bits never count more than the samples that differ, which helps small sets; estimates large ones.
-    return sizes & (bits <= all_of - 2 * common(sampling)) & ((all_of - lost) / 2 >= common(sampling + BITS / 16 * (F.exp(ratio) - 1 - ratio)) - 1)
+    return (bits <= all_of - 2 * common(sampling)) & ((all_of - lost) / 2 >= common(sampling + BITS / 16 * (f.exp(ratio) - 1 - ratio)) - 1)
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether set sizes and the sketches' estimate allow a link."""
+    c = lambda k, side: F.col(f"{k}_{side}")
+    return sized(c("n", x), c("n", y), percent, F) & allowed(c("n", x), c("n", y), c("m", x), c("m", y), differing(c("sketch", x), c("sketch", y)), percent, F)
+
+
+def _across(percent: int):
+    """Pairs (u, v) of each block: its outsiders, which come first, with the members after them that
+    are in other components, as far as sizes and sketches allow a link. Rows are ordered by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, late, doc, comp, main, n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(9))
+            rows = doc, comp, n, m, batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            for a, b in zip(begin, [*begin[1:], batch.num_rows]):
+                if (key[a], i[a], j[a]) != block:
+                    block, held = (key[a], i[a], j[a]), []
+                cut = a + np.count_nonzero(~late[a:b])
+                if cut > a:
+                    held.append([r[a:cut] for r in rows])
+                if cut == b or not held:
+                    continue
+                if len(held) > 1:
+                    held = [[np.concatenate(r) for r in zip(*held)]]
+                doc_x, comp_x, n_x, m_x, sketch_x = held[0]
+                doc_y, comp_y, n_y, m_y, sketch_y = (r[cut:b] for r in rows)
+                # A pair of two outsiders would come twice.
+                once = (comp_y == main[cut:b]) | (doc_x[:, None] < doc_y)
+                x, y = np.nonzero(once & (comp_x[:, None] != comp_y) & sized(n_x[:, None], n_y, percent, _ARRAYS))
+                for k in range(0, len(x), READ):
+                    p, q = x[k : k + READ], y[k : k + READ]
+                    bits = np.bitwise_count(sketch_x[p] ^ sketch_y[q]).sum(1, dtype=np.int64)
+                    good = allowed(n_x[p], n_y[q], m_x[p], m_y[q], bits, percent, _ARRAYS)
+                    if good.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_x[p[good]]), pa.array(doc_y[q[good]])], ["u", "v"])
+
+    return run
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -261,17 +316,14 @@ def links(signs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tup
     main = hubs.join(first, F.col("hub") == F.col("node"), "left").select("key", "c", F.coalesce("component", "hub").alias("main"))
     placed = stored(_salted(placed, main.join(mixed_up, "key"), ["main"]).join(marks, "doc"), "near-mixed")
     counts = placed.groupBy("key").agg(F.sum((F.col("comp") != F.col("main")).cast("long")).alias("few"), F.max("c").alias("c"))
-    sized = _salted(placed, counts, ["few"]).select("*", F.ceil(F.col("few") / BLOCK).alias("bf"), F.ceil(F.col("c") / BLOCK).alias("bc"))
+    parts = _salted(placed, counts, ["few"]).select("*", F.ceil(F.col("few") / BLOCK).alias("bf"), F.ceil(F.col("c") / BLOCK).alias("bc"))
     block = lambda x: F.pmod(F.xxhash64("doc"), F.greatest(F.col(x), F.lit(1)))
     each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(x), F.lit(1)).cast("long") - 1))
-    cols = lambda s: [F.col(k).alias(f"{k}_{s}") for k in ("doc", "comp", "n", *SKETCH)]
-    few = sized.where("comp <> main").select("key", "at", block("bf").alias("i"), each("bc").alias("j"), *cols("x"))
-    rest = sized.select("key", block("bc").alias("j"), each("bf").alias("i"), F.col("main").alias("m"), *cols("y"))
-    # A pair of two outsiders would come twice.
-    once = (F.col("comp_y") == F.col("m")) | (F.col("doc_x") < F.col("doc_y"))
-    block_pair = (few["key"] == rest["key"]) & (few["i"] == rest["i"]) & (few["j"] == rest["j"])
-    over = few.join(rest, block_pair & (F.col("comp_x") != F.col("comp_y")) & once & _near("x", "y", percent))
-    over = over.select(F.col("doc_x").alias("u"), F.col("doc_y").alias("v")).distinct()
+    cols = ["doc", "comp", "main", "n", *SKETCH]
+    few = parts.where("comp <> main").select("key", block("bf").alias("i"), each("bc").alias("j"), F.lit(False).alias("late"), *cols)
+    rest = parts.select("key", each("bf").alias("i"), block("bc").alias("j"), F.lit(True).alias("late"), *cols)
+    blocks = few.unionByName(rest).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "late")
+    over = blocks.mapInArrow(_across(percent), "u long, v long").distinct()
     over = over.join(stars, ["u", "v"], "left_anti").join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     over = stored(over, "near-pairs")
     edges = first.select(F.col("node").alias("u"), F.col("component").alias("v"))

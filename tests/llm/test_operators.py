@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,39 @@ def test_shared_ids_lose_no_text(spark):
     assert left == Counter([(3, b), (5, a), (7, c), (7, None), (9, d), (9, d)])
 
 
+def test_a_shared_passage_costs_little(spark):
+    """3,000 texts with one passage in common share buckets of half of them, but few links."""
+    r, took = random.Random(6), []
+    for passage in ("", " ".join(f"p{k}" for k in range(120))):
+        rows = [(k, f"{passage} {' '.join(f'w{r.randrange(10**6)}' for _ in range(45 if passage else 165))}") for k in range(3000)]
+        rows += [(3000 + k, rows[k][1] + " x") for k in range(40)]
+        out = []
+        took.append(seconds(lambda: out.extend(neardup.near_dedup(docs(spark, rows), "doc_id", "text", 3, 85).collect())))
+        assert {x.doc_id: x.component_id for x in out} == {k: k % 3000 for k, _ in rows}
+    assert took[1] < 2 * took[0]
+
+
+def test_blocks_of_sketches_lose_no_pair():
+    """Blocks that go over several batches give the pairs of all with all."""
+    r = random.Random(7)
+    texts = [prose(r, 60) for _ in range(6)]
+    texts = [" ".join(w if r.random() > 0.01 else w + "q" for w in r.choice(texts).split()) for _ in range(40)]
+    n, _, _, _, m, sketch = neardup.signed(texts, 3, 85)
+    few = [k for k in range(40) if k % 3]  # main is 0: of the others each is its own component
+    rows = [(key, 0, 0, late, k, k if k % 3 else 0, 0, int(n[k]), int(m[k]), sketch[k].tolist()) for key in (5, 6) for late, ks in ((False, few), (True, range(40))) for k in ks]
+    names = ["key", "i", "j", "late", "doc", "comp", "main", "n", "m", "sketch"]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows])
+    want = set()
+    for x, y in itertools.product(few, range(40)):
+        if x != y and (y % 3 == 0 or x < y) and neardup.sized(n[x], n[y], 85, neardup._ARRAYS):
+            bits = sum(bin(a ^ b & (1 << 64) - 1).count("1") for a, b in zip(sketch[x].view(np.uint64).tolist(), sketch[y].view(np.uint64).tolist()))
+            want |= {(x, y)} if neardup.allowed(n[x], n[y], m[x], m[y], bits, 85, neardup._ARRAYS) else set()
+    assert 20 < len(want) < len(few) * 20
+    for size in (1, 7, 30, 1000):
+        out = [(u, v) for b in neardup._across(85)(whole.slice(k, size) for k in range(0, len(rows), size)) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())]
+        assert sorted(out) == sorted([*want, *want])
+
+
 @pytest.mark.parametrize("name", ["__gone", "gone0", "id", "node", "first", "component", "keys"])
 def test_near_dedup_keeps_columns_of_any_name(spark, name):
     a = prose(random.Random(1), 40)
