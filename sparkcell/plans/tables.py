@@ -317,7 +317,9 @@ S51 = f"with {X2} select c.cell_id, g.gene_id, {r('greatest(coalesce(value, 0) /
 
 def q52(s, d):
     ds = v.x2(s, d)
-    return agg.bootstrap_positive(ds.counts, v.groups(ds, "segment"), 50, min_expr=10).select("gene_id", F.col("grp").alias("segment"), *(r6(c).alias(c) for c in ("mean", "low", "high")))
+    # Bounds between shares such as 209/310 and 11/16 may lie on half a unit of the sixth place, which
+    # arithmetic on doubles misses by 1e-16: round that off first.
+    return agg.bootstrap_positive(ds.counts, v.groups(ds, "segment"), 50, min_expr=10).select("gene_id", F.col("grp").alias("segment"), *(r6(F.round(c, 12)).alias(c) for c in ("mean", "low", "high")))
 
 
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]

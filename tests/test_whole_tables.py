@@ -54,3 +54,11 @@ def test_graph_tests_cover_all_dimensions(spark):
     agrees(spark, query, sql)
     want = set(range(len(v.r1(spark, SF).first().vec)))
     assert {r.gene_id for r in QUERIES["q25b_graph_test"][0](spark, SF).collect()} == want and "range(64)" in sql
+
+
+def test_bootstrap_bounds_on_half_a_unit(spark):
+    """On this table one bound is 0.6771875, between 209/310 and 11/16."""
+    query, sql = QUERIES["q52_bootstrap_positive"]
+    got = query(spark, LARGER).where("gene_id = 'Brand#12' and segment = 'FURNITURE'").first()
+    assert got.low == 0.677188
+    agrees(spark, query, sql, LARGER)
