@@ -15,8 +15,8 @@ VERSION = "1"
 
 
 def _digest(df: DataFrame) -> str:
-    """Count and order-free hash of a member's rows."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40))).alias("h")).first()
+    """Count and order-free hash of a member's rows. Sums are decimal: a long overflows at 17 million rows."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)).cast("decimal(13,0)")).alias("h")).first()
     return f"{row.n}:{row.h or 0}"
 
 

@@ -58,3 +58,9 @@ def test_store(spark, tmp_path):
     counts.union(counts).write.mode("overwrite").parquet(f"{tmp_path}/s/counts")
     with pytest.raises(ValueError, match="checksum"):
         store.load(spark, f"{tmp_path}/s")
+
+
+def test_digest_of_many_rows(spark):
+    """Hashes of 20 million rows add up to more than a long holds."""
+    n, total = store._digest(spark.range(20_000_000)).split(":")
+    assert n == "20000000" and int(total) > 2**63
