@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import min_max_100
+from ..functions.scratch import kept
 
 FUNS = ("sum", "mean", "count")
 
@@ -72,18 +73,23 @@ def bootstrap_positive(counts: DataFrame, groups: DataFrame, samples: int = 100,
     """(gene_id, grp, mean, low, high) of the fraction over Poisson resamples of each group's cells.
 
     Cell c has weight Poisson(1) in resample b, from a hash of (c, b), so it is repeatable and each
-    gene sees the same resample. Bounds are the (1 - alpha) / 2 tails.
+    gene sees the same resample. Bounds are the (1 - alpha) / 2 tails. A cell's weights are one array,
+    which is written once and opened only where it is summed, so cells meet their entries but once.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("cell_id").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     steps, cumulative, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         cumulative += term
         steps.append(cumulative)
         term /= k + 1
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = groups.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("w", weight).where("w > 0")
-    sizes = drawn.groupBy("grp", "b").agg(F.sum("w").alias("n"))
-    hits = counts.where(F.col("value") > min_expr).select("cell_id", "gene_id").join(drawn, "cell_id").groupBy("gene_id", "grp", "b").agg(F.sum("w").alias("k"))
+
+    def weight(b: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("cell_id").cast("string"), b.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        return F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: u >= s)).cast("tinyint")
+
+    drawn = kept(groups.select("cell_id", "grp", F.transform(F.sequence(F.lit(1), F.lit(samples)), weight).alias("ws")))
+    sizes = drawn.select("grp", F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("grp", "b").agg(F.sum("w").alias("n"))
+    hits = counts.where(F.col("value") > min_expr).select("cell_id", "gene_id").join(drawn.hint("merge"), "cell_id")
+    hits = hits.select("gene_id", "grp", F.posexplode("ws").alias("b", "w")).where("w > 0").groupBy("gene_id", "grp", "b").agg(F.sum("w").alias("k"))
     every = counts.select("gene_id").distinct().join(sizes)
     share = every.join(hits, ["gene_id", "grp", "b"], "left").withColumn("f", F.coalesce("k", F.lit(0)) / F.col("n"))
     tail = (1 - alpha) / 2

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkcell.operators import aggregate as agg
 from sparkcell.operators import glm
 from sparkcell.plans import views as v
 from sparkcell.plans.catalog import QUERIES
@@ -62,3 +63,10 @@ def test_bootstrap_bounds_on_half_a_unit(spark):
     got = query(spark, LARGER).where("gene_id = 'Brand#12' and segment = 'FURNITURE'").first()
     assert got.low == 0.677188
     agrees(spark, query, sql, LARGER)
+
+
+def test_bootstrap_weights_are_not_broadcast(spark):
+    """All cells' weights for all resamples would go through the driver."""
+    ds = v.x2(spark, SF)
+    plan = agg.bootstrap_positive(ds.counts, v.groups(ds, "segment"), 50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell_id" in plan and "BroadcastHashJoin [cell_id" not in plan
