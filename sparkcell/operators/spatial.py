@@ -20,7 +20,7 @@ def feasible(neighbors: DataFrame, closest: DataFrame, graph_edges: DataFrame) -
     near = neighbors.join(closest.select("cell_id", F.col("node").alias("a")), "cell_id").join(closest.select(F.col("cell_id").alias("neighbor"), F.col("node").alias("b")), "neighbor")
     e = graph_edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return near.where("a = b").select("cell_id", "neighbor").unionByName(near.where("a <> b").join(both, ["a", "b"], "left_semi").select("cell_id", "neighbor"))
+    return near.join(F.broadcast(both.withColumn("joined", F.lit(True))), ["a", "b"], "left").where("a = b or joined").select("cell_id", "neighbor")
 
 
 def constants(w: DataFrame, n: DataFrame) -> DataFrame:
