@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_sf_udf, p_adjust
-from .neighbors import cluster_links, dot, knn, nearest_vertex, squared
+from ..functions.scratch import kept
+from .neighbors import cluster_links, dot, knn, nearest_vertex, squared, with_vertex
 
 #: A principal graph has fewer nodes than this, so it fits the driver and a broadcast.
 MAX_NODES = 10_000
@@ -21,7 +22,7 @@ def project(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cell_id, node, src, dst, t, proj, distance): each cell's nearest node, and its nearest place
     on the edges at that node, the share t of the way from src to dst. Places equally near (to nine
     decimals) go to the smaller edge."""
-    closest = points.select("cell_id", "vec").join(nearest_vertex(points, nodes).select("cell_id", "node"), "cell_id")
+    closest = with_vertex(points.select("cell_id", "vec"), nodes).drop("d")
     ends = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src"), F.col("vec").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("vec").alias("b")), "dst")
     at = ends.withColumn("node", F.explode(F.array("src", "dst")))
     minus = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
@@ -160,12 +161,13 @@ def n_centers(cells: int, clusters: int) -> int:
 
 def kmeans(points: DataFrame, k: int, rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
     """((cell_id, vec, center), centres): Lloyd's rounds, until centres rest, from the k cells with the
-    least hashes of their ids. Centres are broadcast, sums are aggregates."""
+    least hashes of their ids. Centres are broadcast, sums are aggregates; points are written once."""
+    points = kept(points.select("cell_id", "vec"))
     centers = np.array([r.vec for r in points.orderBy(F.md5(F.col("cell_id").cast("string").cast("binary")), "cell_id").select("vec").limit(k).collect()])
     d = centers.shape[1]
     for _ in range(rounds):
         nodes = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "node int, vec array<double>")
-        placed = points.select("cell_id", "vec").join(nearest_vertex(points, nodes).select("cell_id", F.col("node").alias("center")), "cell_id")
+        placed = with_vertex(points.select("cell_id", "vec"), nodes).select("cell_id", "vec", F.col("node").alias("center"))
         means = placed.groupBy("center").agg(*(F.avg(F.get("vec", F.lit(j))).alias(f"m{j}") for j in range(d))).collect()
         new = centers.copy()
         for r in means:
@@ -319,7 +321,7 @@ def learn_graph(points: DataFrame, clusters: DataFrame | None = None, use_partit
             own = own.select("cell_id", F.array(*((F.get("vec", F.lit(r.j)) - r.m) / (r.s or 1.0) for r in spread)).alias("vec"))
             mean, sd = np.array([r.m for r in spread]), np.array([r.s or 1.0 for r in spread])
         placed, _ = kmeans(own, k)
-        near = knn(own, own, min(c["nn.k"], n - 1), exclude_self=True)
+        near = kept(knn(own, own, min(c["nn.k"], n - 1), exclude_self=True))
         first = medoids(placed, near).groupBy("center").agg(F.min("cell_id").alias("cell_id"))
         centers = np.array([r.vec for r in own.join(first, "cell_id").orderBy("center").select("vec").collect()])  # k rows
         centers, tree = elastic_tree(own, np.unique(centers, axis=0), c["L1.sigma"], c["L1.gamma"], c["maxiter"], c["eps"])
@@ -339,7 +341,7 @@ def order_cells(points: DataFrame, nodes: DataFrame, edges: DataFrame, root_node
         raise ValueError("Please provide either root_nodes or root_cells, not both")
     if nodes.count() >= MAX_NODES:
         raise ValueError(f"principal graph is too large; order_cells doesn't support more than {MAX_NODES} nodes")
-    placed = project(points, nodes, edges)
+    placed = kept(project(points, nodes, edges))
     if root_cells is not None:
         root_nodes = [r[0] for r in placed.where(F.col("cell_id").isin(list(root_cells))).select("node").distinct().orderBy("node").collect()]
     known = {r[0] for r in nodes.select("node").collect()}

@@ -12,6 +12,7 @@ from sparkcell.operators import graph as gr
 from sparkcell.operators import models as md
 from sparkcell.operators import neighbors as nb
 from sparkcell.operators import reduce as rd
+from sparkcell.operators import spatial as sp
 from sparkcell.plans import views as v
 from tests.compare import SF
 
@@ -30,6 +31,49 @@ def test_knn_is_brute_force(spark, metric):
         assert [r.neighbor for r in sorted((r for r in got if r.cell_id == i), key=lambda r: r.rank)] == want
 
 
+@pytest.mark.parametrize("metric", nb.METRICS)
+def test_nearest_measures_every_pair_that_counts(metric):
+    """Far from the origin, with copies (ties), against all distances; own rows first or left out."""
+    r = np.random.default_rng(11)
+    x = np.round(r.normal(size=(3000, 6)), 1 if metric == "hamming" else 9) + (1000.0 if metric in ("euclidean", "l2", "manhattan") else 0.0)
+    x[500:900] = x[100:500]
+    x[900:950] = x[900]
+    s, own = x[400:], np.arange(3000) - 400
+    for exclude in (False, True):
+        i, j, d = nb.nearest(x, s, np.maximum(own, -1), 7, metric, exclude)
+        for q in [0, 150, 399, 420, 555, 905, 949, 2999]:
+            want = nb.distances(x[q : q + 1], s, metric)[0]
+            if own[q] >= 0:
+                want[own[q]] = np.inf if exclude else 0.0 if metric != "ip" else want[own[q]]
+            got = i == q
+            assert d[got] == pytest.approx(np.sort(want)[:7], abs=1e-9)
+            if metric not in ("cosine", "ip"):
+                assert j[got].tolist() == sorted(range(len(s)), key=lambda c: (want[c], c != own[q], c))[:7]
+
+
+def test_knn_of_many_blocks(spark):
+    """Tiles of 32 subjects and 16 queries; a row without a distance is nobody's neighbour."""
+    x = np.random.default_rng(12).normal(size=(300, 3))
+    x[7] = np.nan
+    got = nb.knn(points(spark, x), points(spark, x), 5, nb.KnnConfig(block=2), exclude_self=True)
+    d = nb.distances(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(300) if i != 7 for j in np.argsort(np.nan_to_num(d[i], nan=np.inf))[:5]}
+    assert {(r.cell_id, r.neighbor) for r in got.collect()} == want
+
+
+def test_search_runs_once(spark):
+    """What uses a neighbour table several times writes it once, or uses it once."""
+    x = points(spark, np.random.default_rng(13).normal(size=(40, 3)))
+    found = nb.knn(x, x, 4, exclude_self=True)
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("meet(")
+    assert searches(found) == 1 and searches(nb.jaccard_edges(found)) == 0 and searches(nb.jaccard_edges(found, False)) == 1
+    nodes = x.where("cell_id < 3").select(F.col("cell_id").alias("node"), "vec")
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    assert searches(sp.feasible(found, nb.nearest_vertex(x, nodes), edges)) == 1
+    assert searches(cl.label_propagation(nb.jaccard_edges(found, False), x, 1)) == 0
+
+
 def test_knn_edges(spark):
     x = points(spark, [[0, 0], [0, 0], [1, 1]])
     rows = {(r.cell_id, r.rank): r.neighbor for r in nb.knn(x, x, 9).collect()}
