@@ -1,5 +1,6 @@
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -199,6 +200,31 @@ def test_umap_keeps_groups_apart(spark):
     assert ((d.argmin(1) < 30) == (np.arange(60) < 30)).mean() > 0.95
 
 
+def test_tsne_beyond_the_exact_limit(spark):
+    """The interpolated gradient is the exact one, and groups of points lie apart, by either way."""
+    r = np.random.default_rng(14)
+    y = r.normal(0, 9, (700, 2))
+    d = y[:, None] - y[None]
+    w = 1 / (1 + (d * d).sum(2))
+    near, p = np.array([r.choice(np.delete(np.arange(700), i), 20, False) for i in range(700)]), r.random((700, 20)).astype(np.float32)
+    dense = np.zeros((700, 700))
+    np.put_along_axis(dense, near, p, 1)
+    with ThreadPoolExecutor(2) as pool:
+        away, total = rd.repulsion(y, pool)
+        pull = rd.attraction(y, near, p, pool, 100)
+    assert total == pytest.approx(w.sum() - 700, rel=3e-3)
+    assert np.abs(away - (d * (w * w)[:, :, None]).sum(1)).max() < 0.01 * np.abs(away).max()
+    assert np.allclose(pull, (d * (w * (dense + dense.T) / 2)[:, :, None]).sum(1))
+    x = np.vstack([r.normal(0, 0.1, (100, 4)) + 2 * np.eye(4)[c] for c in range(3)])
+    for exact in (1000, 100):
+        y = np.array([v.vec for v in rd.tsne(points(spark, x), rounds=250, perplexity=20, exact=exact).orderBy("cell_id").collect()])
+        d = nb.distances(y, y, "euclidean")
+        np.fill_diagonal(d, np.inf)
+        assert len(y) == 300 and (d.argmin(1) // 100 == np.arange(300) // 100).mean() > 0.98
+        mid = y.reshape(3, 100, 2).mean(1)
+        assert min(np.linalg.norm(mid[a] - mid[b]) for a, b in ((0, 1), (0, 2), (1, 2))) > 2 * y.reshape(3, 100, 2).std(1).max()
+
+
 def test_index_recall_and_round_trip(spark, tmp_path):
     x = v.r1(spark, SF.replace("0.001", "0.1"))
     query = x.where("cell_id % 100 = 0")
