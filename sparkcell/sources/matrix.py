@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dataset import CellDataset, new_dataset
+from ..functions.scratch import kept
 from ..operators.normalize import umi_cutoff
 
 
@@ -24,13 +25,49 @@ def is_matrix_market(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0].value.startswith("%%MatrixMarket")
 
 
+#: monotonically_increasing_id has the partition above these bits, and the row's place in it in them.
+PLACE = (1 << 33) - 1
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """(i, value): lines of one file with their numbers from 1. A line's place is its partition and
     place there; the partitions' sizes, one row each, give the offsets."""
-    at = lines.where("trim(value) <> ''").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    return _offset(lines.where("trim(value) <> ''").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "i").select("i", "value")
+
+
+def _offset(at: DataFrame, name: str) -> DataFrame:
+    """Rows with partition p and monotonic id m get their number from 1 over all partitions."""
     sizes = at.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return at.join(F.broadcast(before), "p").select((F.row_number().over(Window.partitionBy("p").orderBy("m")) + F.col("before")).cast("long").alias("i"), "value")
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row a partition
+    return at.join(F.broadcast(before), "p").withColumn(name, (F.col("m").bitwiseAND(F.lit(PLACE)) + F.col("before") + 1).cast("long")).drop("p", "m", "before")
+
+
+def ranked(table: DataFrame, key: str, name: str) -> DataFrame:
+    """The table with the place of each row by key, from 1: sorted by ranges and written once."""
+    return _offset(kept(table.orderBy(key).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))), name)
+
+
+def write_lines(lines: DataFrame, path: str, head: str = "") -> None:
+    """One text file of sorted lines: tasks write parts, whose bytes are then put one after the other."""
+    spark = lines.sparkSession
+    lines.write.mode("overwrite").text(f"{path}-parts")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}-parts")
+    fs = whole.getFileSystem(conf)
+    fs.delete(whole, True)
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for name in files(spark, f"{path}-parts"):
+            if name.startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+    fs.delete(parts, True)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -149,15 +186,12 @@ def load_cellranger(spark: SparkSession, path: str, genome: str | None = None, b
 
 
 def write_matrix(ds: CellDataset, path: str) -> None:
-    """matrix, features and barcodes as text below path, in order of id; for moderate sizes, as one
-    file each."""
-    g = ds.genes.select("gene_id", "gene_short_name", F.row_number().over(Window.orderBy("gene_id")).alias("row"))
-    c = ds.cells.select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("column"))
-    x = ds.counts.join(g, "gene_id").join(c, "cell_id")
-    size = f"{g.count()} {c.count()} {x.count()}"
-    spark = ds.counts.sparkSession
-    head = spark.createDataFrame([(0, 0, "%%MatrixMarket matrix coordinate real general"), (0, 1, size)], "column long, row long, value string")
-    body = x.select(F.col("column").cast("long").alias("column"), F.col("row").cast("long").alias("row"), F.concat_ws(" ", F.col("row").cast("string"), F.col("column").cast("string"), F.col("value").cast("string")).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("column", "row").select("value").write.mode("overwrite").text(f"{path}/matrix.mtx")
-    g.coalesce(1).sortWithinPartitions("row").select(F.concat_ws("\t", F.col("gene_id").cast("string"), "gene_short_name").alias("value")).write.mode("overwrite").text(f"{path}/genes.tsv")
-    c.coalesce(1).sortWithinPartitions("column").select(F.col("cell_id").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/barcodes.tsv")
+    """matrix, features and barcodes as text below path, in order of id, one file each. Places are given
+    and lines sorted by ranges of ids, so no task has more than its share."""
+    g = ranked(ds.genes.select("gene_id", "gene_short_name"), "gene_id", "row")
+    c = ranked(ds.cells.select("cell_id"), "cell_id", "column")
+    x = kept(ds.counts.join(g.select("gene_id", "row"), "gene_id").join(c, "cell_id").select("column", "row", "value"))
+    head = f"%%MatrixMarket matrix coordinate real general\n{g.count()} {c.count()} {x.count()}\n"
+    write_lines(x.orderBy("column", "row").select(F.concat_ws(" ", F.col("row").cast("string"), F.col("column").cast("string"), F.col("value").cast("string")).alias("value")), f"{path}/matrix.mtx", head)
+    write_lines(g.orderBy("row").select(F.concat_ws("\t", F.col("gene_id").cast("string"), "gene_short_name").alias("value")), f"{path}/genes.tsv")
+    write_lines(c.orderBy("column").select(F.col("cell_id").cast("string").alias("value")), f"{path}/barcodes.tsv")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sparkcell.dataset import CellDataset
 from sparkcell.sources import matrix as mx
@@ -64,3 +65,23 @@ def test_digest_of_many_rows(spark):
     """Hashes of 20 million rows add up to more than a long holds."""
     n, total = store._digest(spark.range(20_000_000)).split(":")
     assert n == "20000000" and int(total) > 2**63
+
+
+def test_matrix_is_one_file_that_many_tasks_wrote(spark, tmp_path):
+    """Files hold all lines in order, and no task sorts or numbers a whole table."""
+    counts = spark.range(3000).select((F.col("id") % 50).alias("cell_id"), (F.col("id") % 61).alias("gene_id"), F.lit(2.0).alias("value"))
+    genes = spark.range(61).select(F.col("id").alias("gene_id"), F.concat(F.lit("g"), "id").alias("gene_short_name"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mx.write_matrix(CellDataset(counts, spark.range(50).select(F.col("id").alias("cell_id")), genes), str(tmp_path))
+        table = mx.ranked(genes.repartition(7), "gene_id", "row")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r.gene_id, r.row) for r in table.collect()} == {(k, k + 1) for k in range(61)}
+    lines = (tmp_path / "matrix.mtx").read_text().splitlines()
+    assert lines[:2] == ["%%MatrixMarket matrix coordinate real general", "61 50 3000"]
+    want = sorted((k % 50 + 1, k % 61 + 1) for k in range(3000))
+    assert [tuple(map(int, x.split()[:2][::-1])) for x in lines[2:]] == want
+    assert (tmp_path / "barcodes.tsv").read_text() == "".join(f"{k}\n" for k in range(50))
+    assert (tmp_path / "genes.tsv").read_text() == "".join(f"{k}\tg{k}\n" for k in range(61))
