@@ -189,6 +189,36 @@ def test_communities_find_cliques(method, quality, resolution):
     assert cl.modularity(g, label) > 0.6
 
 
+def test_graph_on_the_driver_is_arrays(spark):
+    """A pair of cells takes some 60 bytes, not a dictionary's hundreds, and communities keep their order."""
+    import tracemalloc
+
+    r = np.random.default_rng(17)
+    a, b = r.integers(0, 5000, 60_000), r.integers(0, 5000, 60_000)
+    pairs = {(int(min(p)), int(max(p))): 1.0 for p in zip(a, b) if p[0] != p[1]}
+    arrays = (*np.array(list(pairs)).T, np.ones(len(pairs)))
+    tracemalloc.start()
+    g = cl.Graph(5000, arrays)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * len(pairs)
+    label = [k % 7 for k in range(5000)]
+    small, where = cl._shrunk(g, label)
+    assert small.n == 7 and where == label and small.total == pytest.approx(g.total)
+    assert cl.modularity(small, list(range(7))) == pytest.approx(cl.modularity(g, label))
+
+
+def test_partitions_take_linked_clusters_only(spark):
+    """Thousands of small clusters: pairs that have links are tested, against all pairs."""
+    n = 3000
+    e = spark.range(n).select((F.col("id") * 2).alias("src"), (F.col("id") * 2 + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    e = e.unionByName(spark.createDataFrame([(4 * k, 4 * k + 2, 1.0) for k in range(10)] * 40, e.schema))
+    c = spark.range(2 * n).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / 2).cast("int").alias("cluster"))
+    got = {r.cluster: r.partition for r in cl.partitions(e, c).collect()}
+    assert len(got) == n and got[0] == got[1] != got[2] == got[3] and len(set(got.values())) == n - 10
+    assert nb.cluster_links(e, c, linked=True).count() == 20
+
+
 def test_components_of_label_propagation(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 1.0)], "src long, dst long, weight double")
     cells = spark.createDataFrame([(k,) for k in (1, 2, 3, 7, 8, 9)], "cell_id long")
